@@ -75,26 +75,59 @@ def drop_noise(rows: DataFrame) -> DataFrame:
     return drop_subtrees(rows, is_seed())
 
 
-def drop_empty(rows: DataFrame) -> DataFrame:
-    """Remove links and headings without text or image, then images without ``alt``.
+def _prints() -> Column:
+    """A node that puts something into the Markdown whatever it contains."""
+    element = F.col("kind") == "elem"
+    return ((F.col("kind") == "text") & (text_trim(F.col("text")) != "")) | (
+        element & F.col("tag").isin("hr", "q", "td", "th", "tr", "video"))
 
-    An element is empty when the next text (or image) in document order lies behind its end.
-    Adds ``has_text`` for elements, which link statistics need.
-    """
-    judged = rows.withColumn("_text_at", _next_position(is_run())).withColumn(
-        "_image_at", _next_position(F.col("tag") == "img"))
-    has_text = F.coalesce(F.col("_text_at") < F.col("post"), F.lit(False))
-    has_image = F.coalesce(F.col("_image_at") < F.col("post"), F.lit(False))
-    empty = F.col("tag").isin("a", *HEADING_TAGS) & ~has_text & ~has_image
-    decorative = F.coalesce(
+
+def _is_decorative() -> Column:
+    return F.coalesce(
         (F.col("tag") == "img")
         & (text_trim(F.coalesce(F.col("attrs")["alt"], F.lit(""))) == ""), F.lit(False))
-    marked = judged.withColumn("has_text", has_text).withColumn(
-        "_empty", F.coalesce(empty, F.lit(False)))
-    return drop_subtrees(marked, F.col("_empty")).where(~decorative).drop(
-        "_text_at", "_image_at", "_empty")
 
 
-def clean_nodes(rows: DataFrame) -> DataFrame:
-    """Node rows that may reach the Markdown."""
-    return drop_empty(drop_noise(rows))
+def drop_empty(rows: DataFrame, prints: Column | None = None) -> DataFrame:
+    """Remove links and headings without text or image, then images without ``alt``.
+
+    An element is empty when the next text (or image) in document order lies behind its end.
+    Adds ``has_text`` for elements, which link statistics need, and ``has_atom`` for those with
+    anything to print below them.
+    """
+    if prints is None:
+        prints = _prints() | ((F.col("tag") == "img") & ~_is_decorative())
+    judged = rows.withColumns({
+        "_text_at": _next_position(is_run()),
+        "_image_at": _next_position(F.col("tag") == "img"),
+        "_atom_at": _next_position(prints)})
+
+    def below(name: str) -> Column:
+        # Looking backward the row itself is included, which for an element is its own start.
+        return F.coalesce(F.col(name) < F.col("post"), F.lit(False))
+
+    empty = F.col("tag").isin("a", *HEADING_TAGS) & ~below("_text_at") & ~below("_image_at")
+    marked = judged.withColumns({
+        "has_text": below("_text_at"),
+        "has_atom": below("_atom_at"),
+        "_empty": F.coalesce(empty, F.lit(False))})
+    return drop_subtrees(marked, F.col("_empty")).where(~_is_decorative()).drop(
+        "_text_at", "_image_at", "_atom_at", "_empty")
+
+
+def clean_nodes(rows: DataFrame, links: str = "keep", images: str = "keep") -> DataFrame:
+    """Node rows that may reach the Markdown.
+
+    The policies remove nothing here; they only decide what counts as printed (``has_atom``).
+    """
+    link = (F.col("kind") == "elem") & (F.col("tag") == "a")
+    marks = {"_cut": in_marked_subtree(is_seed())}
+    if links == "strip":
+        marks["_in_link"] = in_marked_subtree(link)
+    kept = rows.withColumns(marks).where(~F.col("_cut")).drop("_cut")
+    prints = _prints()
+    if images != "strip":
+        prints = prints | ((F.col("tag") == "img") & ~_is_decorative())
+    if links == "strip":
+        prints = prints & ~F.col("_in_link")
+    return drop_empty(kept, prints).drop("_in_link")

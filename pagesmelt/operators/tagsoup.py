@@ -21,7 +21,8 @@ _BOXES = frozenset(("li", "blockquote", "dd"))
 
 NODES_TYPE = (
     "array<struct<pre:int,post:int,parent:int,grandparent:int,parent_tag:string,kind:string,"
-    "tag:string,attrs:map<string,string>,text:string,raw:boolean,inert:boolean,boxes:array<int>>>"
+    "tag:string,attrs:map<string,string>,text:string,raw:boolean,inert:boolean,boxes:array<int>,"
+    "list_start:string>>"
 )
 _NODE_TYPE = pa.struct([
     ("pre", pa.int32()),
@@ -36,6 +37,7 @@ _NODE_TYPE = pa.struct([
     ("raw", pa.bool_()),
     ("inert", pa.bool_()),
     ("boxes", pa.list_(pa.int32())),
+    ("list_start", pa.string()),
 ])
 
 
@@ -47,7 +49,7 @@ class _NodeWalker(HTMLParser):
         self.columns: dict[str, list] = {
             name: []
             for name in ("pre", "post", "parent", "grandparent", "parent_tag", "kind", "tag",
-                         "text", "raw", "inert")
+                         "text", "raw", "inert", "list_start")
         }
         self.attr_ends, self.attr_keys, self.attr_values = [0], [], []
         self.box_ends, self.box_values = [0], []
@@ -56,8 +58,9 @@ class _NodeWalker(HTMLParser):
     def _new_page(self) -> None:
         self.reset()
         self.clock = 0
-        # One entry per open element: row, tag, pre, raw, inert, number of enclosing boxes.
-        self.stack: list[tuple] = [(-1, "", -1, False, False, 0)]
+        # One entry per open element: row, tag, pre, raw, inert, number of enclosing boxes and
+        # the number a list says it starts with.
+        self.stack: list[tuple] = [(-1, "", -1, False, False, 0, None)]
         self.open_names: dict[str, int] = {}
         self.boxes: list[int] = []
         self.run: list[str] = []
@@ -95,6 +98,7 @@ class _NodeWalker(HTMLParser):
         c["text"].append(text)
         c["raw"].append(raw)
         c["inert"].append(inert)
+        c["list_start"].append(parent[6])
         self.attr_ends.append(len(self.attr_keys))
         if self.boxes:
             self.box_values.extend(self.boxes)
@@ -102,7 +106,7 @@ class _NodeWalker(HTMLParser):
         return pre
 
     def _pop(self) -> None:
-        row, tag, _, _, _, boxes = self.stack.pop()
+        row, tag, _, _, _, boxes, _ = self.stack.pop()
         self.columns["post"][row] = self.clock
         self.clock += 1
         self.open_names[tag] -= 1
@@ -133,7 +137,9 @@ class _NodeWalker(HTMLParser):
             self.columns["post"][-1] = self.clock
             self.clock += 1
             return
-        self.stack.append((len(self.columns["pre"]) - 1, tag, pre, raw, inert, len(self.boxes)))
+        self.stack.append((
+            len(self.columns["pre"]) - 1, tag, pre, raw, inert, len(self.boxes),
+            named.get("start") if tag == "ol" else None))
         self.open_names[tag] = self.open_names.get(tag, 0) + 1
         if tag in _BOXES:
             self.boxes.append(pre)
