@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagesmelt.functions.text import text_trim
-
 # --- fixed values: the URL pattern of RFC 3986, appendix B, and the schemes with relative paths -
 _URL_PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
 _HIERARCHICAL = (
@@ -15,89 +13,99 @@ _HIERARCHICAL = (
 )
 
 
-def _part(url: Column, group: int) -> Column:
-    return F.regexp_extract(url, _URL_PARTS, group)
-
-
-def _has_authority(url: Column) -> Column:
-    return url.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//")
+# Scheme, authority with its slashes, path, query and fragment of the tidied URLs.
+_SPLIT = r"""
+    transform(array(regexp_replace(regexp_replace({url}, r'[\t\r\n]', ''), r'^[\x00-\x20]+', '')),
+      u -> named_struct(
+        'scheme', lower(regexp_extract(u, r'{pattern}', 1)),
+        'site', regexp_extract(u, r'^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?#]*)', 1),
+        'path', regexp_extract(u, r'{pattern}', 3),
+        'query', nullif(regexp_extract(u, r'{pattern}', 4), '?'),
+        'fragment', nullif(regexp_extract(u, r'{pattern}', 5), '#')))[0]
+"""
+# Path of the reference against the base, before dot segments: a relative one replaces the
+# base's last segment, and a merged path keeps no empty segment inside.
+_MERGED = r"""
+    CASE WHEN startswith(r.path, '/') THEN r.path
+         ELSE regexp_replace(
+           concat(CASE WHEN b.path = '' THEN '/' ELSE regexp_replace(b.path, r'[^/]*$', '') END,
+                  r.path), r'(?<=.)/{2,}', '/') END
+"""
+_UNDOTTED = r"""
+    transform(array(split(path, '/', -1)),
+      s -> transform(
+        array(aggregate(
+          slice(s, 2, greatest(size(s) - 1, 0)), cast(array() AS array<string>),
+          (kept, x) -> CASE WHEN x = '.' THEN kept
+                            WHEN x = '..' THEN slice(kept, 1, greatest(size(kept) - 1, 0))
+                            ELSE concat(kept, array(x)) END)),
+        kept -> concat('/', array_join(kept, '/'),
+          CASE WHEN s[size(s) - 1] IN ('.', '..') AND size(kept) > 0 THEN '/' ELSE '' END))[0])[0]
+"""
+
+
+def resolve_url_sql(base: str, reference: str) -> str:
+    """SQL text that resolves ``reference`` against ``base``, both SQL expressions.
+
+    Each URL is taken apart once and bound to a lambda variable, so that the expression stays
+    small; simple absolute references never get there.
+    """
+    pattern = _URL_PARTS
+    base_parts = _SPLIT.format(url=base, pattern=pattern)
+    reference_parts = _SPLIT.format(url=reference, pattern=pattern)
+    schemes = ", ".join(f"'{scheme}'" for scheme in _HIERARCHICAL)
+    return f"""
+    CASE WHEN coalesce({base}, '') = '' THEN {reference}
+         WHEN {reference} = '' THEN {base}
+         ELSE transform(
+           array(named_struct('b', {base_parts}, 'r', {reference_parts})),
+           u -> transform(array(named_struct(
+             'b', u.b, 'r', u.r,
+             'head', concat(CASE WHEN u.b.scheme = '' THEN '' ELSE concat(u.b.scheme, ':') END,
+                            CASE WHEN u.r.site = '' THEN u.b.site ELSE u.r.site END),
+             'tail', concat(coalesce(u.r.query, ''), coalesce(u.r.fragment, '')))),
+             v -> CASE
+               WHEN (v.r.scheme <> '' AND v.r.scheme <> v.b.scheme)
+                    OR v.b.scheme NOT IN ({schemes}) THEN {reference}
+               WHEN v.r.site <> '' THEN concat(v.head, v.r.path, v.tail)
+               WHEN v.r.path = '' THEN concat(
+                 v.head, v.b.path,
+                 CASE WHEN coalesce(v.r.query, '') = '' THEN coalesce(v.b.query, '')
+                      ELSE v.r.query END, coalesce(v.r.fragment, ''))
+               ELSE concat(v.head, transform(
+                 array(transform(array(v), w -> transform(array(w.b), b -> transform(
+                   array(w.r), r -> {_MERGED})[0])[0])[0]),
+                 path -> CASE WHEN path RLIKE r'(?:^|/)[.]{{1,2}}(?:/|$)' THEN {_UNDOTTED}
+                              ELSE path END)[0], v.tail) END)[0])[0] END
+    """
+
+
+def resolve_url(base: str, reference: str) -> Column:
+    """Resolve a reference against a base URL as a browser would; no base leaves it alone.
+
+    Both arguments are SQL expressions, such as a column name or ``attrs['href']``.
+    """
+    return F.expr(resolve_url_sql(base, reference))
+
+
+def resolve_srcset(base: str, srcset: str) -> Column:
+    """Resolve every image of a ``srcset`` list, keeping the size descriptors."""
+    space = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
+    resolved = resolve_url_sql(base, "parts[0]")
+    return F.expr(f"""
+    CASE WHEN {base} IS NULL THEN {srcset} ELSE array_join(transform(
+      filter(transform(split({srcset}, ','), c -> filter(split(c, r'{space}'), t -> t <> '')),
+             parts -> size(parts) > 0),
+      parts -> array_join(concat(
+        array({resolved}), slice(parts, 2, size(parts))), ' ')), ', ') END
+    """)
 
 
 def _tidy(url: Column) -> Column:
-    """Drop what URL parsers drop: line breaks and tabs, and leading control characters."""
     return F.regexp_replace(
         F.regexp_replace(url, r"[\t\r\n]", ""), r"^[\x00-\x20]+", "")
 
 
-def _without_dot_segments(path: Column) -> Column:
-    """Resolve ``.`` and ``..`` segments of an absolute path."""
-    segments = F.split(path, "/", -1)
-    last = F.element_at(segments, -1)
-    folded = F.aggregate(
-        F.slice(segments, 2, F.greatest(F.size(segments) - 1, F.lit(0))),
-        F.array().cast("array<string>"),
-        lambda kept, segment: F.when(segment == ".", kept)
-        .when(segment == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))))
-        .otherwise(F.concat(kept, F.array(segment))))
-    resolved = F.concat(
-        F.lit("/"), F.array_join(folded, "/"),
-        F.when(last.isin(".", "..") & (F.size(folded) > 0), F.lit("/")).otherwise(F.lit("")))
-    return F.when(path.rlike(r"(?:^|/)\.{1,2}(?:/|$)"), resolved).otherwise(path)
-
-
-def _without_empty_segments(path: Column) -> Column:
-    """A merged path keeps its first and last segment but no empty segment between them."""
-    return F.regexp_replace(path, r"(?<=.)/{2,}", "/")
-
-
-def resolve_url(base: Column, reference: Column) -> Column:
-    """Resolve ``reference`` against ``base`` as a browser would; no base leaves it alone."""
-    b, r = _tidy(base), _tidy(reference)
-    base_scheme, scheme = F.lower(_part(b, 1)), F.lower(_part(r, 1))
-    base_site = F.concat(
-        F.when(base_scheme != "", F.concat(base_scheme, F.lit(":"))).otherwise(F.lit("")),
-        F.when(_has_authority(b), F.concat(F.lit("//"), _part(b, 2))).otherwise(F.lit("")))
-    query, fragment = _part(r, 4), _part(r, 5)
-    path, base_path = _part(r, 3), _part(b, 3)
-    tail = F.concat(
-        F.when(query == "?", F.lit("")).otherwise(query),
-        F.when(fragment == "#", F.lit("")).otherwise(fragment))
-    merged = F.concat(
-        F.when(base_path == "", F.lit("/"))
-        .otherwise(F.regexp_replace(base_path, r"[^/]*$", "")), path)
-    return (
-        F.when(base.isNull() | (base == ""), reference)
-        .when(reference == "", base)
-        .when((scheme != "") & (scheme != base_scheme), reference)
-        .when(~base_scheme.isin(*_HIERARCHICAL), reference)
-        .when(_has_authority(r), F.concat(
-            F.when(base_scheme != "", F.concat(base_scheme, F.lit(":"))).otherwise(F.lit("")),
-            F.lit("//"), _part(r, 2), path, tail))
-        .when(path == "", F.concat(
-            base_site, base_path,
-            F.when(F.length(query) > 1, query).otherwise(
-                F.when(_part(b, 4) == "?", F.lit("")).otherwise(_part(b, 4))),
-            F.when(fragment == "#", F.lit("")).otherwise(fragment)))
-        .when(path.startswith("/"), F.concat(base_site, _without_dot_segments(path), tail))
-        .otherwise(F.concat(
-            base_site, _without_dot_segments(_without_empty_segments(merged)), tail)))
-
-
-def resolve_srcset(base: Column, srcset: Column) -> Column:
-    """Resolve every image of a ``srcset`` list, keeping the size descriptors."""
-    def resolved(candidate: Column) -> Column:
-        tokens = F.split(candidate, r"[\s\x0b\x1c-\x1f\x85\p{Z}]+")
-        return F.array_join(
-            F.concat(F.array(resolve_url(base, tokens[0])), F.slice(tokens, 2, F.size(tokens))),
-            " ")
-
-    candidates = F.filter(
-        F.transform(F.split(srcset, ","), text_trim), lambda candidate: candidate != "")
-    return F.when(
-        srcset.isNotNull() & base.isNotNull(), F.array_join(F.transform(candidates, resolved), ", ")
-    ).otherwise(srcset)
-
-
 def percent_decode(column: Column) -> Column:
     """Percent-decode, leaving ``+`` and malformed escapes as they stand."""
     guarded = F.regexp_replace(
@@ -107,7 +115,7 @@ def percent_decode(column: Column) -> Column:
 
 def output_name(url: Column) -> Column:
     """The ``.md`` file name for a page: its last path segment, or ``index.md``."""
-    path = F.regexp_replace(_part(_tidy(url), 3), r"/+$", "")
+    path = F.rtrim(F.regexp_extract(_tidy(url), _URL_PARTS, 3), F.lit("/"))
     segment = percent_decode(F.regexp_extract(path, r"(?s)([^/]*)$", 1))
     stem = F.regexp_replace(segment, r"(?s)\.[^.]*$", "")
     return F.when(stem == "", F.lit("index.md")).otherwise(F.concat(stem, F.lit(".md")))

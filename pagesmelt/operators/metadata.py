@@ -2,71 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesmelt.functions.text import text_trim
-from pagesmelt.functions.urls import resolve_url
+from pagesmelt.fixed_values import UNICODE_SPACE
+from pagesmelt.functions.urls import resolve_url_sql
 from pagesmelt.functions.yaml_text import iso_timestamp
-from pagesmelt.operators.nodes import subtree_text
 
 
-def _first(nodes: Column, condition) -> Column:
-    return F.try_element_at(F.filter(nodes, condition), F.lit(1))
+_HEAD = "filter(nodes, n -> n.tag IN ('meta', 'title', 'h1', 'link', 'html'))"
 
 
-def _meta_tag(head: Column, attribute: str, value: str) -> Column:
-    return _first(head, lambda n: (n["tag"] == "meta") & (n["attrs"][attribute] == value))
+def _first(condition: str, field: str) -> str:
+    return f"try_element_at(filter(_head, n -> {condition}), 1).{field}"
 
 
-def _meta(head: Column, *keys: tuple[str, str]) -> Column:
-    """Trimmed content of the first tag for each key; a blank one yields to the next key."""
-    return F.coalesce(*[
-        F.nullif(text_trim(_meta_tag(head, *key)["attrs"]["content"]), F.lit("")) for key in keys])
-
-
-def _element_text(nodes: Column, element: Column) -> Column:
-    return F.when(
-        element.isNotNull(),
-        F.nullif(subtree_text(nodes, element["pre"], element["post"]), F.lit("")))
+def _trimmed(expression: str) -> str:
+    return f"nullif(btrim({expression}, _space), '')"
 
 
-def metadata_struct(
-    nodes: Column, base_url: Column | None = None, fetched_at: Column | None = None
-) -> Column:
-    """The seven nullable fields as one struct.  Hidden elements count; nothing is dropped yet."""
-    head = F.filter(nodes, lambda n: n["tag"].isin("meta", "title", "h1", "link", "html"))
+def _meta(*keys: tuple[str, str]) -> str:
+    """Trimmed content of the first tag for each key; a blank one yields to the next key."""
+    contents = [
+        _first(f"n.tag = 'meta' AND n.attrs['{attribute}'] = '{value}'", "attrs['content']")
+        for attribute, value in keys
+    ]
+    return f"coalesce({', '.join(_trimmed(content) for content in contents)})"
 
-    def element(tag: str) -> Column:
-        return _first(head, lambda n: n["tag"] == tag)
 
-    canonical = _first(
-        head, lambda n: (n["tag"] == "link") & F.contains(n["attrs"]["rel"], F.lit("canonical")))
-    href = canonical["attrs"]["href"]
-    if base_url is not None:
-        href = resolve_url(base_url, href)
-    fetched = F.lit(None).cast("string") if fetched_at is None else iso_timestamp(fetched_at)
-    return F.struct(
-        F.coalesce(
-            _meta(head, ("property", "og:title")),
-            _element_text(nodes, element("title")),
-            _element_text(nodes, element("h1"))).alias("title"),
-        _meta(head, ("name", "description"), ("property", "og:description")).alias("description"),
-        F.nullif(text_trim(href), F.lit("")).alias("canonical_url"),
-        _meta(head, ("name", "author"), ("property", "article:author")).alias("author"),
-        _meta(head, ("property", "article:published_time"), ("name", "date"),
-              ("name", "datePublished")).alias("published_time"),
-        F.nullif(text_trim(element("html")["attrs"]["lang"]), F.lit("")).alias("language"),
-        fetched.alias("fetched_at"))
+def _text_below(tag: str) -> str:
+    """Readable text in the first element with this tag, runs joined by one space."""
+    element = f"try_element_at(filter(_head, n -> n.tag = '{tag}'), 1)"
+    return f"""
+      transform(array({element}), e -> CASE WHEN e IS NOT NULL THEN nullif(array_join(filter(
+        transform(
+          filter(nodes, n -> n.kind = 'text' AND NOT n.raw AND n.pre > e.pre AND n.pre < e.post),
+          n -> btrim(n.text, _space)), t -> t <> ''), ' '), '') END)[0]
+    """
 
 
 def page_metadata(
     parsed: DataFrame, *, base_url: str | None = None, fetched_at: str | None = None
 ) -> DataFrame:
-    """``page_id`` and a ``metadata`` struct; without ``base_url`` links stay as written."""
-    return parsed.select(
+    """``page_id`` and a struct of seven nullable strings for every parsed page.
+
+    ``base_url`` and ``fetched_at`` name columns; without ``base_url`` links stay as written.
+    Hidden elements count, as nothing is dropped yet.  The few nodes that can matter are
+    filtered out of the array once, in a projection of their own.
+    """
+    carried = [name for name in (base_url, fetched_at) if name]
+    heads = parsed.select("page_id", *carried, "nodes", F.expr(_HEAD).alias("_head")).withColumn(
+        "_space", F.lit(UNICODE_SPACE))
+    found = heads.selectExpr(
+        "page_id", *carried, "_space",
+        f"coalesce({_meta(('property', 'og:title'))}, {_text_below('title')}, "
+        f"{_text_below('h1')}) AS title",
+        f"{_meta(('name', 'description'), ('property', 'og:description'))} AS description",
+        _first("n.tag = 'link' AND contains(n.attrs['rel'], 'canonical')", "attrs")
+        + " AS _canonical",
+        f"{_meta(('name', 'author'), ('property', 'article:author'))} AS author",
+        _meta(("property", "article:published_time"), ("name", "date"), ("name", "datePublished"))
+        + " AS published_time",
+        f"{_trimmed(_first("n.tag = 'html'", "attrs['lang']"))} AS language")
+    href = "_canonical['href']"
+    if base_url is not None:
+        href = f"CASE WHEN {href} IS NOT NULL THEN {resolve_url_sql(base_url, href)} END"
+    fetched = F.lit(None).cast("string") if fetched_at is None else iso_timestamp(F.col(fetched_at))
+    return found.select(
         "page_id",
-        metadata_struct(
-            F.col("nodes"),
-            None if base_url is None else F.col(base_url),
-            None if fetched_at is None else F.col(fetched_at)).alias("metadata"))
+        F.struct(
+            "title", "description", F.expr(_trimmed(href)).alias("canonical_url"), "author",
+            "published_time", "language", fetched.alias("fetched_at")).alias("metadata"))

@@ -63,12 +63,3 @@ def with_closes(rows: DataFrame, closing: Column) -> DataFrame:
         F.explode_outer(
             F.when((F.col("kind") == "elem") & closing, F.array("pre", "post"))
             .otherwise(F.array("pre"))))
-
-
-def subtree_text(nodes: Column, start: Column, end: Column) -> Column:
-    """Readable text below one element of a ``nodes`` array, runs joined by one space."""
-    runs = F.filter(
-        nodes,
-        lambda n: (n["kind"] == "text") & ~n["raw"] & (n["pre"] > start) & (n["pre"] < end))
-    return F.array_join(
-        F.filter(F.transform(runs, lambda n: text_trim(n["text"])), lambda t: t != ""), " ")
