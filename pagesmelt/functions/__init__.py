@@ -2,6 +2,8 @@
 
 from pagesmelt.functions.text import class_tokens, collapse_space, text_trim
 from pagesmelt.functions.urls import (
+    resolve_srcset_sql,
+    resolve_url_sql,
     joined_output_path,
     output_name,
     percent_decode,

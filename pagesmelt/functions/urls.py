@@ -16,67 +16,71 @@ _HIERARCHICAL = (
 # Scheme, authority with its slashes, path, query and fragment of the tidied URLs.
 _SPLIT = r"""
     transform(array(regexp_replace(regexp_replace({url}, r'[\t\r\n]', ''), r'^[\x00-\x20]+', '')),
-      u -> named_struct(
-        'scheme', lower(regexp_extract(u, r'{pattern}', 1)),
-        'site', regexp_extract(u, r'^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?#]*)', 1),
-        'path', regexp_extract(u, r'{pattern}', 3),
-        'query', nullif(regexp_extract(u, r'{pattern}', 4), '?'),
-        'fragment', nullif(regexp_extract(u, r'{pattern}', 5), '#')))[0]
+      u_ -> named_struct(
+        'scheme', lower(regexp_extract(u_, r'{pattern}', 1)),
+        'site', regexp_extract(u_, r'^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?#]*)', 1),
+        'path', regexp_extract(u_, r'{pattern}', 3),
+        'query', nullif(regexp_extract(u_, r'{pattern}', 4), '?'),
+        'fragment', nullif(regexp_extract(u_, r'{pattern}', 5), '#')))[0]
 """
 # Path of the reference against the base, before dot segments: a relative one replaces the
 # base's last segment, and a merged path keeps no empty segment inside.
 _MERGED = r"""
-    CASE WHEN startswith(r.path, '/') THEN r.path
+    CASE WHEN startswith(r_.path, '/') THEN r_.path
          ELSE regexp_replace(
-           concat(CASE WHEN b.path = '' THEN '/' ELSE regexp_replace(b.path, r'[^/]*$', '') END,
-                  r.path), r'(?<=.)/{2,}', '/') END
+           concat(CASE WHEN b_.path = '' THEN '/' ELSE regexp_replace(b_.path, r'[^/]*$', '') END,
+                  r_.path), r'(?<=.)/{2,}', '/') END
 """
 _UNDOTTED = r"""
-    transform(array(split(path, '/', -1)),
-      s -> transform(
+    transform(array(split(path_, '/', -1)),
+      s_ -> transform(
         array(aggregate(
-          slice(s, 2, greatest(size(s) - 1, 0)), cast(array() AS array<string>),
-          (kept, x) -> CASE WHEN x = '.' THEN kept
-                            WHEN x = '..' THEN slice(kept, 1, greatest(size(kept) - 1, 0))
-                            ELSE concat(kept, array(x)) END)),
-        kept -> concat('/', array_join(kept, '/'),
-          CASE WHEN s[size(s) - 1] IN ('.', '..') AND size(kept) > 0 THEN '/' ELSE '' END))[0])[0]
+          slice(s_, 2, greatest(size(s_) - 1, 0)), cast(array() AS array<string>),
+          (kept_, x_) -> CASE WHEN x_ = '.' THEN kept_
+                            WHEN x_ = '..' THEN slice(kept_, 1, greatest(size(kept_) - 1, 0))
+                            ELSE concat(kept_, array(x_)) END)),
+        kept_ -> concat('/', array_join(kept_, '/'),
+          CASE WHEN s_[size(s_) - 1] IN ('.', '..') AND size(kept_) > 0 THEN '/' ELSE '' END))[0])[0]
 """
 
 
-def resolve_url_sql(base: str, reference: str) -> str:
+def url_parts_sql(url: str) -> str:
+    """SQL text for the struct of a URL's parts."""
+    return _SPLIT.format(url=url, pattern=_URL_PARTS)
+
+
+def resolve_url_sql(base: str, reference: str, base_parts: str | None = None) -> str:
     """SQL text that resolves ``reference`` against ``base``, both SQL expressions.
 
     Each URL is taken apart once and bound to a lambda variable, so that the expression stays
-    small; simple absolute references never get there.
+    small.  ``base_parts`` names a column that already holds the parts of the base.
     """
-    pattern = _URL_PARTS
-    base_parts = _SPLIT.format(url=base, pattern=pattern)
-    reference_parts = _SPLIT.format(url=reference, pattern=pattern)
+    base_parts = base_parts or url_parts_sql(base)
+    reference_parts = url_parts_sql(reference)
     schemes = ", ".join(f"'{scheme}'" for scheme in _HIERARCHICAL)
     return f"""
     CASE WHEN coalesce({base}, '') = '' THEN {reference}
          WHEN {reference} = '' THEN {base}
          ELSE transform(
            array(named_struct('b', {base_parts}, 'r', {reference_parts})),
-           u -> transform(array(named_struct(
-             'b', u.b, 'r', u.r,
-             'head', concat(CASE WHEN u.b.scheme = '' THEN '' ELSE concat(u.b.scheme, ':') END,
-                            CASE WHEN u.r.site = '' THEN u.b.site ELSE u.r.site END),
-             'tail', concat(coalesce(u.r.query, ''), coalesce(u.r.fragment, '')))),
-             v -> CASE
-               WHEN (v.r.scheme <> '' AND v.r.scheme <> v.b.scheme)
-                    OR v.b.scheme NOT IN ({schemes}) THEN {reference}
-               WHEN v.r.site <> '' THEN concat(v.head, v.r.path, v.tail)
-               WHEN v.r.path = '' THEN concat(
-                 v.head, v.b.path,
-                 CASE WHEN coalesce(v.r.query, '') = '' THEN coalesce(v.b.query, '')
-                      ELSE v.r.query END, coalesce(v.r.fragment, ''))
-               ELSE concat(v.head, transform(
-                 array(transform(array(v), w -> transform(array(w.b), b -> transform(
-                   array(w.r), r -> {_MERGED})[0])[0])[0]),
-                 path -> CASE WHEN path RLIKE r'(?:^|/)[.]{{1,2}}(?:/|$)' THEN {_UNDOTTED}
-                              ELSE path END)[0], v.tail) END)[0])[0] END
+           u_ -> transform(array(named_struct(
+             'b', u_.b, 'r', u_.r,
+             'head', concat(CASE WHEN u_.b.scheme = '' THEN '' ELSE concat(u_.b.scheme, ':') END,
+                            CASE WHEN u_.r.site = '' THEN u_.b.site ELSE u_.r.site END),
+             'tail', concat(coalesce(u_.r.query, ''), coalesce(u_.r.fragment, '')))),
+             v_ -> CASE
+               WHEN (v_.r.scheme <> '' AND v_.r.scheme <> v_.b.scheme)
+                    OR v_.b.scheme NOT IN ({schemes}) THEN {reference}
+               WHEN v_.r.site <> '' THEN concat(v_.head, v_.r.path, v_.tail)
+               WHEN v_.r.path = '' THEN concat(
+                 v_.head, v_.b.path,
+                 CASE WHEN coalesce(v_.r.query, '') = '' THEN coalesce(v_.b.query, '')
+                      ELSE v_.r.query END, coalesce(v_.r.fragment, ''))
+               ELSE concat(v_.head, transform(
+                 array(transform(array(v_), w_ -> transform(array(w_.b), b_ -> transform(
+                   array(w_.r), r_ -> {_MERGED})[0])[0])[0]),
+                 path_ -> CASE WHEN path_ RLIKE r'(?:^|/)[.]{{1,2}}(?:/|$)' THEN {_UNDOTTED}
+                              ELSE path_ END)[0], v_.tail) END)[0])[0] END
     """
 
 
@@ -88,17 +92,20 @@ def resolve_url(base: str, reference: str) -> Column:
     return F.expr(resolve_url_sql(base, reference))
 
 
-def resolve_srcset(base: str, srcset: str) -> Column:
-    """Resolve every image of a ``srcset`` list, keeping the size descriptors."""
+def resolve_srcset_sql(base: str, srcset: str, base_parts: str | None = None) -> str:
+    """SQL text that resolves every image of a ``srcset`` list, keeping the size descriptors."""
     space = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
-    resolved = resolve_url_sql(base, "parts[0]")
-    return F.expr(f"""
+    return f"""
     CASE WHEN {base} IS NULL THEN {srcset} ELSE array_join(transform(
-      filter(transform(split({srcset}, ','), c -> filter(split(c, r'{space}'), t -> t <> '')),
-             parts -> size(parts) > 0),
-      parts -> array_join(concat(
-        array({resolved}), slice(parts, 2, size(parts))), ' ')), ', ') END
-    """)
+      filter(transform(split({srcset}, ','), c_ -> filter(split(c_, r'{space}'), t_ -> t_ <> '')),
+             parts_ -> size(parts_) > 0),
+      parts_ -> array_join(concat(array({resolve_url_sql(base, 'parts_[0]', base_parts)}),
+                                 slice(parts_, 2, size(parts_))), ' ')), ', ') END
+    """
+
+
+def resolve_srcset(base: str, srcset: str) -> Column:
+    return F.expr(resolve_srcset_sql(base, srcset))
 
 
 def _tidy(url: Column) -> Column:

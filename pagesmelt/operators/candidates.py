@@ -24,7 +24,7 @@ from pagesmelt.fixed_values import (
     STRUCTURE_POINTS,
     STRUCTURE_TAGS,
 )
-from pagesmelt.functions.text import class_tokens, text_trim
+from pagesmelt.functions.text import class_tokens
 from pagesmelt.operators.nodes import is_run, joined_length, run_length, with_closes
 
 FEATURES = ("text_length", "paragraphs", "link_density", "punctuation", "structural_elements")
@@ -33,11 +33,6 @@ CANDIDATE_TYPE = (
     "punctuation:int,structural_elements:int>"
 )
 
-_BY_POSITION = (
-    Window.partitionBy("page_id").orderBy("pos")
-    .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-
-
 def is_main_role() -> Column:
     return F.coalesce(F.lower(F.col("attrs")["role"]) == "main", F.lit(False))
 
@@ -55,27 +50,28 @@ def running_totals(rows: DataFrame) -> DataFrame:
     A link nested in another counts for both, so a text weighs as much as links enclose it.
     ``links_open`` is needed to take out the links outside the subtree.
     """
-    opening = F.col("pos") == F.col("pre")
-    is_link = F.col("tag") == "a"
-    counted = F.when(opening, F.lit(1)).otherwise(F.lit(0))
-
-    def total(value: Column) -> Column:
-        return F.coalesce(F.sum(value).over(_BY_POSITION), F.lit(0))
-
-    return (
-        rows
-        .withColumn("_len", run_length())
-        .withColumn("t_links_open", total(F.when(is_link, F.when(opening, 1).otherwise(-1))))
-        .withColumn("t_chars", total(F.col("_len")))
-        .withColumn("t_runs", total(F.when(F.col("_len").isNotNull(), 1)))
-        .withColumn("t_weighted", total((F.col("_len") + 1) * F.col("t_links_open")))
-        .withColumn("t_links", total(F.when(is_link & F.col("has_text"), counted)))
-        .withColumn("t_paragraphs", total(F.when(F.col("tag") == "p", counted)))
-        .withColumn("t_structure", total(F.when(F.col("tag").isin(*STRUCTURE_TAGS), counted)))
-        .withColumn("t_punctuation", total(
-            F.when(F.col("_len").isNotNull(),
-                   F.regexp_count(text_trim(F.col("text")), F.lit(PUNCTUATION)))))
-        .drop("_len"))
+    frame = "(PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING)"
+
+    def total(value: str) -> Column:
+        return F.expr(f"coalesce(sum({value}) OVER {frame}, 0)")
+
+    def count(condition: str) -> Column:
+        return F.expr(f"count_if(pos = pre AND {condition}) OVER {frame}")
+
+    structure = ", ".join(f"'{tag}'" for tag in STRUCTURE_TAGS)
+    measured = rows.withColumns({
+        "_len": run_length(),
+        "_stops": F.when(is_run(), F.regexp_count("text", F.lit(PUNCTUATION))),
+        "t_links_open": total(
+            "CASE WHEN tag = 'a' THEN CASE WHEN pos = pre THEN 1 ELSE -1 END END")})
+    return measured.withColumns({
+        "t_chars": total("_len"),
+        "t_runs": count("_len IS NOT NULL"),
+        "t_weighted": total("(_len + 1) * t_links_open"),
+        "t_links": count("tag = 'a' AND has_text"),
+        "t_paragraphs": count("tag = 'p'"),
+        "t_structure": count(f"tag IN ({structure})"),
+        "t_punctuation": total("_stops")}).drop("_len", "_stops")
 
 
 def _grown(name: str) -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagesmelt.fixed_values import UNICODE_SPACE
-from pagesmelt.functions.urls import resolve_url_sql
 from pagesmelt.functions.yaml_text import iso_timestamp
 
 
@@ -41,16 +40,14 @@ def _text_below(tag: str) -> str:
     """
 
 
-def page_metadata(
-    parsed: DataFrame, *, base_url: str | None = None, fetched_at: str | None = None
-) -> DataFrame:
+def page_metadata(parsed: DataFrame, *, fetched_at: str | None = None) -> DataFrame:
     """``page_id`` and a struct of seven nullable strings for every parsed page.
 
-    ``base_url`` and ``fetched_at`` name columns; without ``base_url`` links stay as written.
-    Hidden elements count, as nothing is dropped yet.  The few nodes that can matter are
+    ``fetched_at`` names a timestamp column.  The canonical URL is absolute when the pages were
+    parsed with a base URL, else as written.  Hidden elements count, as nothing is dropped yet.  The few nodes that can matter are
     filtered out of the array once, in a projection of their own.
     """
-    carried = [name for name in (base_url, fetched_at) if name]
+    carried = [fetched_at] if fetched_at else []
     heads = parsed.select("page_id", *carried, "nodes", F.expr(_HEAD).alias("_head")).withColumn(
         "_space", F.lit(UNICODE_SPACE))
     found = heads.selectExpr(
@@ -64,12 +61,9 @@ def page_metadata(
         _meta(("property", "article:published_time"), ("name", "date"), ("name", "datePublished"))
         + " AS published_time",
         f"{_trimmed(_first("n.tag = 'html'", "attrs['lang']"))} AS language")
-    href = "_canonical['href']"
-    if base_url is not None:
-        href = f"CASE WHEN {href} IS NOT NULL THEN {resolve_url_sql(base_url, href)} END"
     fetched = F.lit(None).cast("string") if fetched_at is None else iso_timestamp(F.col(fetched_at))
     return found.select(
         "page_id",
         F.struct(
-            "title", "description", F.expr(_trimmed(href)).alias("canonical_url"), "author",
+            "title", "description", F.expr(_trimmed("_canonical['href']")).alias("canonical_url"), "author",
             "published_time", "language", fetched.alias("fetched_at")).alias("metadata"))

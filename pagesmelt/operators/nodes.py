@@ -7,24 +7,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesmelt.functions.text import text_trim
+from pagesmelt.functions.urls import resolve_srcset_sql, resolve_url_sql, url_parts_sql
 from pagesmelt.operators import tagsoup
 
+NODE_FIELDS = tuple(field.name for field in tagsoup.NODE_TYPE)
+
 # Executors need no copy of this package: the walker travels with the plan.
 cloudpickle.register_pickle_by_value(tagsoup)
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
+def parse_pages(pages: DataFrame, base_url: str | None = None) -> DataFrame:
     """Replace ``html`` by ``nodes``, one array per page; null where the markup is refused.
 
+    With ``base_url``, a column, every ``href``, ``src`` and ``srcset`` is made absolute.
     Narrow: no shuffle, one row per page.  Parsing is the dear step, so the array is what gets
     shuffled and shared by the operators that read one page more than once.
     """
     walk = F.arrow_udf(tagsoup.walk_pages, tagsoup.NODES_TYPE)
     others = [name for name in pages.columns if name not in ("html", "nodes")]
-    return pages.select(*others, walk(F.col("html")).alias("nodes"))
-
-
-def node_rows(parsed: DataFrame, *carry: str) -> DataFrame:
+    parsed = pages.select(*others, walk(F.col("html")).alias("nodes"))
+    if base_url is None:
+        return parsed
+    split = parsed.selectExpr("*", f"{url_parts_sql(base_url)} AS _base")
+    return split.select(*others, F.expr(_absolute_nodes(base_url)).alias("nodes"))
+
+
+def _absolute_nodes(base_url: str) -> str:
+    """The ``nodes`` array with the URL attributes of its elements resolved."""
+    attrs = f"""transform_values(n.attrs, (k, v) -> CASE
+        WHEN k IN ('href', 'src') THEN {resolve_url_sql(base_url, 'v', '_base')}
+        WHEN k = 'srcset' THEN {resolve_srcset_sql(base_url, 'v', '_base')} ELSE v END)"""
+    fields = ", ".join(
+        f"'{name}', " + (attrs if name == "attrs" else f"n.{name}") for name in NODE_FIELDS)
+    return f"""
+        CASE WHEN {base_url} IS NULL THEN nodes ELSE transform(nodes, n -> CASE
+          WHEN map_contains_key(n.attrs, 'href') OR map_contains_key(n.attrs, 'src')
+               OR map_contains_key(n.attrs, 'srcset')
+          THEN named_struct({fields}) ELSE n END) END"""
+
+
+def node_rows(parsed: DataFrame) -> DataFrame:
     """One row per element, text run or comment, hash partitioned on ``page_id``.
 
     The one exchange of a conversion moves whole pages, before they are exploded; windows and
@@ -32,9 +54,9 @@ def node_rows(parsed: DataFrame, *carry: str) -> DataFrame:
     ``pre`` is null, so that no page is lost.
     """
     return (
-        parsed.select("page_id", *carry, "nodes")
+        parsed.select("page_id", "nodes")
         .repartition("page_id")
-        .select("page_id", *carry, F.inline_outer("nodes")))
+        .select("page_id", F.inline_outer("nodes")))
 
 
 def is_run() -> Column:

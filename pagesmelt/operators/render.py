@@ -1,15 +1,18 @@
-"""Clean node rows to Markdown: ordered fragments, then two ordered string aggregations.
+"""Clean node rows to Markdown: ordered fragments, one ordered aggregation per page.
 
 Every element contributes codes and text at its opening and closing position.  *Atoms* (text,
 images, table cells, fences) split the page into gaps.  Within a gap all closing markers stand
 before all opening ones, so a gap becomes ``closers + separator + openers + atom`` and the
-separator follows from the gap's codes alone.  Gaps are grouped per ``(page_id, gap)``, pages
-per ``page_id``; both reuse the partitioning of the node rows.
+separator follows from the gap's codes alone.  Fragments are joined per page in document order
+and the gaps resolved inside the joined text, so nothing is grouped finer than ``page_id``, whose
+partitioning the node rows already have.
+
+The expressions are written as SQL text: they are long, and parse much faster than they build.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesmelt.fixed_values import (
@@ -18,38 +21,52 @@ from pagesmelt.fixed_values import (
     CODE_NAME,
     HEADING_TAGS,
     TRIMMED_BLOCKS,
+    UNICODE_SPACE,
     VOID_TAGS,
 )
 from pagesmelt.functions.text import class_tokens, text_trim
-from pagesmelt.functions.urls import resolve_url
 from pagesmelt.operators.clean import drop_subtrees
 from pagesmelt.operators.nodes import with_closes
 
 # Gap codes.  Opening: ( [ { ask for 2, 1, 0 line breaks, o for a space, < is inline; all trim
 # what follows.  Closing: ) ] } c > likewise, trimming what precedes.  2 1 u are line breaks
 # without trimming (u adds one), r a <br>, s n white space in text, w a space that stays,
-# . anything that keeps neighbouring white space apart.
-_CODE_START, _CODE_END = "﷐", "﷑"
+# . anything that keeps neighbouring white space apart.  Every event also says where it stands:
+# x in running text, h in a heading, d in a table cell.
+#
+# Characters Unicode reserves for internal use keep texts and codes apart.
+_PRE_START, _PRE_END = "\ufdd0", "\ufdd1"
+_CLOSER, _OPENER, _ATOM, _BOXES, _END, _GAP = (
+    "\ufdd2", "\ufdd3", "\ufdd4", "\ufdd5", "\ufdd6", "\ufdd7")
+_SEPARATORS = _CLOSER + _OPENER + _ATOM + _BOXES + _END + _GAP
 
 _MARKERS = {
     "b": "**", "strong": "**", "em": "*", "i": "*", "del": "~~", "s": "~~", "sub": "", "sup": "",
 }
 _TICKED = ("code", "kbd", "samp")
-_VERBATIM = ("pre", *_TICKED)
 _CELLS = ("td", "th")
 # Blocks that ask for a blank line on both sides, or a space inside headings and cells.
-_PLAIN_BLOCKS = ("p", "div", "article", "section", "dl", "dt")
+_PLAIN_BLOCKS = ("p", "div", "article", "section", "dl")
 _VANISH_WHEN_EMPTY = (
-    *_PLAIN_BLOCKS, *_MARKERS, *_TICKED, "a", "blockquote", "caption", "dd", "figcaption", "li",
-    "ol", "pre", "table", "ul")
+    *_PLAIN_BLOCKS, *_MARKERS, *_TICKED, "a", "blockquote", "caption", "dd", "dt", "figcaption",
+    "li", "ol", "pre", "table", "ul")
 _INNER_EDGE = (*TRIMMED_BLOCKS, *HEADING_TAGS)
 _OUTER_EDGE = (*_INNER_EDGE, "pre")
 
-_SIBLINGS = Window.partitionBy("page_id", "parent").orderBy("pre")
-_SO_FAR = _SIBLINGS.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-_ALL_SIBLINGS = Window.partitionBy("page_id", "parent")
-_BY_POSITION = Window.partitionBy("page_id").orderBy("pos")
-_RUNNING = _BY_POSITION.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def _among(names) -> str:
+    return "(" + ", ".join(f"'{name}'" for name in names) + ")"
+
+
+_IS_HEADING = f"tag IN {_among(HEADING_TAGS)}"
+_IS_CELL = f"tag IN {_among(_CELLS)}"
+_SIBLINGS = "PARTITION BY page_id, parent"
+_RUNNING = "PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING"
+_NEAR = "PARTITION BY page_id ORDER BY pos"
+
+
+def _with(rows: DataFrame, **columns: str) -> DataFrame:
+    return rows.withColumns({name: F.expr(sql) for name, sql in columns.items()})
 
 
 def apply_policies(rows: DataFrame, links: str = "keep", images: str = "keep") -> DataFrame:
@@ -84,414 +101,359 @@ def code_language(attrs: Column) -> Column:
     return F.coalesce(by_class, by_data("data-language"), by_data("data-lang"))
 
 
-def _span(attrs: Column) -> Column:
-    """Columns a cell covers: its ``colspan`` between 1 and 1000."""
-    given = F.when(attrs["colspan"].rlike("^[0-9]{1,9}$"), attrs["colspan"].cast("int"))
-    return F.greatest(F.lit(1), F.least(F.lit(1000), F.coalesce(given, F.lit(1))))
-
-
 def _with_siblings(rows: DataFrame) -> DataFrame:
     """What list items and table rows need to know about their siblings."""
-    element, cell = F.col("kind") == "elem", F.col("tag").isin(*_CELLS)
-
-    def number(condition: Column, frame) -> Column:
-        return F.sum(F.when(condition, 1).otherwise(0)).over(frame)
-
-    return rows.withColumns({
-        "elem_no": number(element, _SO_FAR),
-        "li_no": number(F.col("tag") == "li", _SO_FAR),
-        "n_tr": number(F.col("tag") == "tr", _ALL_SIBLINGS),
-        "n_thead": number(F.col("tag") == "thead", _ALL_SIBLINGS),
-        "n_td": number(F.col("tag") == "td", _ALL_SIBLINGS),
-        "n_columns": F.sum(F.when(cell, _span(F.col("attrs"))).otherwise(0)).over(_ALL_SIBLINGS),
-    })
+    def number(condition: str, frame: str) -> str:
+        return f"count_if({condition}) OVER ({_SIBLINGS}{frame})"
+
+    so_far, everywhere = " ORDER BY pre ROWS UNBOUNDED PRECEDING", ""
+    span = ("greatest(1, least(1000, coalesce(CASE WHEN attrs['colspan'] RLIKE '^[0-9]{1,9}$' "
+            "THEN int(attrs['colspan']) END, 1)))")
+    return _with(
+        _with(rows, span=f"CASE WHEN {_IS_CELL} THEN {span} END"),
+        elem_no=number("kind = 'elem'", so_far),
+        li_no=number("tag = 'li'", so_far),
+        n_tr=number("tag = 'tr'", everywhere),
+        n_thead=number("tag = 'thead'", everywhere),
+        n_td=number("tag = 'td'", everywhere),
+        n_columns=f"sum(span) OVER ({_SIBLINGS})")
 
 
 def _events(rows: DataFrame, language: Column | None) -> DataFrame:
     """Opening and closing rows with the depths of the elements that change rendering."""
-    element = F.col("kind") == "elem"
-    events = with_closes(rows, ~F.col("tag").isin(*VOID_TAGS))
-    opening = F.col("pos") == F.col("pre")
-    event = (
-        F.when(~element, F.col("kind"))
-        .when(F.col("tag").isin(*VOID_TAGS), "void")
-        .when(opening, "open").otherwise("close"))
-    events = events.withColumns({
-        "ev": event,
-        "language": F.when(
-            element & opening & F.col("tag").isin("pre", "code"),
-            code_language(F.col("attrs")) if language is None else language)})
-
-    def depth(*tags: str) -> Column:
-        """How many such elements enclose this event, itself left out."""
-        step = F.when(F.col("tag").isin(*tags), F.when(F.col("ev") == "open", 1).when(
-            F.col("ev") == "close", -1)).otherwise(0)
-        own = F.when(F.col("tag").isin(*tags) & (F.col("ev") == "open"), 1).otherwise(0)
-        return F.coalesce(F.sum(step).over(_RUNNING), F.lit(0)) - own
-
-    return events.withColumns({
-        "in_pre": depth("pre"),
-        "in_verbatim": depth(*_VERBATIM),
-        "in_heading": depth(*HEADING_TAGS),
-        "in_cell": depth(*_CELLS),
-        "in_li": depth("li"),
-        "in_ul": depth("ul"),
-    })
+    code = F.col("tag").isin("pre", "code")
+    named = rows.withColumn(
+        "language", F.when(code, code_language(F.col("attrs")) if language is None else language))
+    events = with_closes(named, ~F.col("tag").isin(*VOID_TAGS))
+    events = _with(events, ev=f"""
+        CASE WHEN kind <> 'elem' THEN kind WHEN tag IN {_among(VOID_TAGS)} THEN 'void'
+             WHEN pos = pre THEN 'open' ELSE 'close' END""")
+
+    def depth(*tags: str) -> str:
+        # How many such elements enclose this event, itself left out.
+        step = (f"CASE WHEN tag IN {_among(tags)} THEN CASE ev WHEN 'open' THEN 1 "
+                "WHEN 'close' THEN -1 END END")
+        own = f"CASE WHEN tag IN {_among(tags)} AND ev = 'open' THEN 1 ELSE 0 END"
+        return f"coalesce(sum({step}) OVER ({_RUNNING}), 0) - {own}"
+
+    vanishing = f"kind = 'elem' AND NOT has_atom AND tag IN {_among(_VANISH_WHEN_EMPTY)}"
+    deep = _with(
+        events,
+        in_pre=depth("pre"), in_ticked=depth(*_TICKED), in_heading=depth(*HEADING_TAGS),
+        in_cell=depth(*_CELLS), in_li=depth("li"), in_ul=depth("ul"),
+        _reach=f"max(CASE WHEN {vanishing} THEN post END) OVER ({_RUNNING})")
+    # Elements that would print nothing go, with the white space inside them.
+    return _with(
+        deep.where("coalesce(_reach < pos, true)").drop("_reach"),
+        inline="in_heading > 0 OR in_cell > 0",
+        verbatim="in_pre > 0 OR in_ticked > 0")
 
 
 def _with_neighbours(events: DataFrame) -> DataFrame:
     """Previous and next event other than blank text, and white space at block edges removed."""
-    blank = (F.col("ev") == "text") & (text_trim(F.col("text")) == "")
-    facts = F.struct(
-        "ev", "tag", "pre", "href", "language", "elem_no",
-        "n_thead", "n_td", "n_columns")
-    seen = events.withColumns({
-        "blank": blank,
-        "_fact": F.when(~blank, facts),
-        "_sibling": F.when(~blank & (F.col("ev") != "comment"), F.struct("ev", "tag"))})
-    over = "IGNORE NULLS OVER (PARTITION BY page_id ORDER BY pos)"
-    linked = seen.withColumns({
-        "prev": F.expr(f"lag(_fact) {over}"),
-        "next": F.expr(f"lead(_fact) {over}"),
-        "next_sibling": F.expr(f"lead(_sibling) {over}")})
-    prev, following = F.col("prev"), F.col("next")
-    trim_left = F.coalesce(
-        (prev["ev"].isin("close", "void") & prev["tag"].isin(*_OUTER_EDGE))
-        | ((prev["ev"] == "open") & prev["tag"].isin(*_INNER_EDGE)), F.lit(False))
-    trim_right = F.coalesce(
-        (following["ev"].isin("open", "void") & following["tag"].isin(*_OUTER_EDGE))
-        | ((following["ev"] == "close") & following["tag"].isin(*_INNER_EDGE)), F.lit(False))
-    return (
-        linked.withColumns({"trim_left": trim_left, "trim_right": trim_right})
-        .where(~F.col("blank") | (F.col("in_pre") > 0)
-               | ~(F.col("trim_left") | F.col("trim_right")))
-        .drop("_fact", "_sibling"))
+    facts = ("named_struct('ev', ev, 'tag', tag, 'pre', pre, 'link', link, 'language', language, "
+             "'elem_no', elem_no, 'n_thead', n_thead, 'n_td', n_td, 'n_columns', n_columns)")
+    space = F.lit(UNICODE_SPACE)
+    seen = _with(
+        events.withColumn("blank", (F.col("ev") == "text") & (F.btrim("text", space) == "")),
+        _fact=f"CASE WHEN NOT blank THEN {facts} END",
+        _sibling="CASE WHEN NOT blank AND ev <> 'comment' "
+                 "THEN named_struct('ev', ev, 'tag', tag) END")
+    linked = _with(
+        seen,
+        prev=f"lag(_fact) IGNORE NULLS OVER ({_NEAR})",
+        next=f"lead(_fact) IGNORE NULLS OVER ({_NEAR})",
+        next_sibling=f"lead(_sibling) IGNORE NULLS OVER ({_NEAR})")
+    inner, outer = _among(_INNER_EDGE), _among(_OUTER_EDGE)
+    return _with(
+        linked.drop("_fact", "_sibling"),
+        trim_left=f"""coalesce((prev.ev IN ('close', 'void') AND prev.tag IN {outer})
+                               OR (prev.ev = 'open' AND prev.tag IN {inner}), false)""",
+        trim_right=f"""coalesce((next.ev IN ('open', 'void') AND next.tag IN {outer})
+                                OR (next.ev = 'close' AND next.tag IN {inner}), false)""",
+    ).where("NOT blank OR in_pre > 0 OR NOT (trim_left OR trim_right)")
 
 
 def _text_fields(events: DataFrame) -> DataFrame:
     """Normalised text, its outer white space as codes, and what links and code ask of it."""
-    inline = (F.col("in_heading") > 0) | (F.col("in_cell") > 0)
-    text = F.when((F.col("ev") == "text") & (F.col("in_pre") == 0), F.regexp_replace(
-        F.regexp_replace(
-            F.col("text"), r"(?<![\t \r\n])[\t ]*+[\r\n][\t \r\n]*+", "\n"), r"[\t ]+", " "))
-
-    def edge(side: Column, trimmed: Column) -> Column:
-        return F.when(trimmed, F.lit("")).when(side == "\n", F.lit("n")).when(
-            side == " ", F.lit("s")).otherwise(F.lit(""))
-
-    events = events.withColumns({"_norm": text, "inline": inline})
-    core = F.btrim("_norm", F.lit(" \n"))
-    core = F.when(F.col("inline"), F.replace(core, F.lit("\n"), F.lit(" "))).otherwise(core)
-    events = events.withColumns({
-        "core": core,
-        "lead_code": edge(F.substring("_norm", 1, 1), F.col("trim_left")),
-        "trail_code": edge(F.substring("_norm", -1, 1), F.col("trim_right"))})
-    prev, following = F.col("prev"), F.col("next")
-    is_autolink = F.coalesce(
-        (F.col("ev") == "text") & (F.col("in_verbatim") == 0)
-        & (prev["ev"] == "open") & (prev["tag"] == "a")
-        & (following["ev"] == "close") & (following["pre"] == prev["pre"])
-        & (F.col("core") == prev["href"]) & ~F.contains(F.col("core"), F.lit("*")),
-        F.lit(False))
-    ticks = F.when(
-        F.instr("core", "`") > 0,
-        F.array_max(F.transform(
-            F.regexp_extract_all("core", F.lit("(`+)"), 1), lambda run: F.length(run)))
-    ).otherwise(F.lit(0))
-    events = events.withColumn(
-        "_note", F.when(F.col("ev") == "text", F.struct(
-            is_autolink.alias("autolink"), ticks.alias("ticks"))))
-    return events.withColumns({
-        "note_after": F.lead("_note").over(_BY_POSITION),
-        "note_before": F.lag("_note").over(_BY_POSITION)})
-
-
-def _table_rules(events: DataFrame) -> tuple[Column, Column]:
-    """The rule lines above and below a table row, empty when there are none."""
-    first_cell, before = F.col("next"), F.col("prev")
-    cell_near = F.when(F.col("ev") == "open", first_cell).otherwise(before)
-    has_cells = F.coalesce(cell_near["tag"].isin(*_CELLS), F.lit(False))
-    columns = F.when(has_cells, cell_near["n_columns"]).otherwise(F.lit(0)).cast("int")
-    no_td = F.when(has_cells, cell_near["n_td"] == 0).otherwise(F.lit(True))
-    first = F.col("elem_no") == 1
-    parent = F.col("parent_tag")
-    head = no_td | ((parent == "thead") & (F.col("n_tr") == 1))
-    # The body's place in the table is known from the event before its first row.
-    in_first_body = (
-        (before["ev"] == "open") & (before["tag"] == "tbody")
-        & ((before["elem_no"] == 1) | (before["n_thead"] == 0)))
-    above = first & ~head & ((parent != "tbody") | F.coalesce(in_first_body, F.lit(False)))
-
-    def line(cell: str) -> Column:
-        return F.concat(
-            F.lit("| "), F.array_join(F.array_repeat(F.lit(cell), columns), " | "), F.lit(" |"))
-
-    overline = F.when(above, F.concat(line(""), F.lit("\n"), line("---"), F.lit("\n"))).otherwise(
-        F.lit(""))
-    underline = F.when(first & head, F.concat(F.lit("\n"), line("---"))).otherwise(F.lit(""))
-    return overline, underline
+    normal = _with(events, _norm=r"""
+        CASE WHEN ev = 'text' AND in_pre = 0 THEN regexp_replace(regexp_replace(
+          text, r'(?<![\t \r\n])[\t ]*+[\r\n][\t \r\n]*+', '\n'), r'[\t ]+', ' ') END""")
+    normal = _with(
+        normal,
+        core=r"CASE WHEN inline THEN replace(btrim(_norm, ' \n'), '\n', ' ') "
+             r"ELSE btrim(_norm, ' \n') END",
+        lead_code=r"CASE WHEN NOT trim_left THEN translate(regexp_extract(_norm, '^([ \n]?)', 1), "
+                  r"'\n ', 'ns') ELSE '' END",
+        trail_code=r"CASE WHEN NOT trim_right THEN translate("
+                   r"CASE WHEN endswith(_norm, '\n') THEN '\n' WHEN endswith(_norm, ' ') THEN ' ' "
+                   r"ELSE '' END, '\n ', 'ns') ELSE '' END")
+    noted = _with(normal, note="""
+        CASE WHEN ev = 'text' THEN named_struct(
+          'autolink', coalesce(
+            NOT verbatim AND prev.ev = 'open' AND prev.tag = 'a' AND next.ev = 'close'
+            AND next.pre = prev.pre AND core = prev.link AND NOT contains(core, '*'), false),
+          'ticks', CASE WHEN contains(core, '`') THEN array_max(transform(
+            regexp_extract_all(core, '(`+)', 1), run -> length(run))) ELSE 0 END) END""")
+    return _with(
+        noted,
+        note_after=f"lead(note) OVER ({_NEAR})", note_before=f"lag(note) OVER ({_NEAR})")
+
+
+def _table_rules(events: DataFrame) -> DataFrame:
+    """The rule lines above and below a table row, known from its first or last cell."""
+    near = _with(events, _cell=f"""
+        CASE WHEN tag = 'tr' THEN CASE WHEN ev = 'open' AND next.tag IN {_among(_CELLS)} THEN next
+             WHEN ev = 'close' AND prev.tag IN {_among(_CELLS)} THEN prev END END""")
+    line = "concat('| ', array_join(array_repeat('{0}', int(coalesce(_cell.n_columns, 0))), ' | '), ' |')"
+    return _with(
+        _with(near, _head="""
+            coalesce(_cell.n_td = 0, true) OR (parent_tag = 'thead' AND n_tr = 1)"""),
+        # The body's place in the table is known from the event before its first row.
+        overline=f"""
+            CASE WHEN tag = 'tr' AND ev = 'open' AND elem_no = 1 AND NOT _head AND (
+                   parent_tag <> 'tbody' OR coalesce(prev.ev = 'open' AND prev.tag = 'tbody'
+                     AND (prev.elem_no = 1 OR prev.n_thead = 0), false))
+                 THEN concat({line.format('')}, '\\n', {line.format('---')}, '\\n')
+                 ELSE '' END""",
+        underline=f"""
+            CASE WHEN tag = 'tr' AND ev = 'close' AND elem_no = 1 AND _head
+                 THEN concat('\\n', {line.format('---')}) ELSE '' END""")
 
 
 def _fragments(events: DataFrame) -> DataFrame:
-    """Per event: gap code, opener, closer, atom, code after the atom, and list prefixes."""
-    tag, ev, attrs = F.col("tag"), F.col("ev"), F.col("attrs")
-    opens, closes = ev == "open", ev == "close"
-    is_open_or_close = opens | closes
-    inline, verbatim = F.col("inline"), F.col("in_verbatim") > 0
-    heading = tag.isin(*HEADING_TAGS)
-    # A heading whose only image was decorative leaves just its marks.
-    bare = heading & ~inline & ~F.col("has_atom")
-    hashes = F.repeat(F.lit("#"), F.substring(tag, 2, 1).cast("int"))
-    overline, underline = _table_rules(events)
-    href = F.col("href")
-    titled = F.coalesce(attrs["title"], F.lit(""))
-    title = F.when(titled != "", F.concat(
-        F.lit(' "'), F.replace(titled, F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise(F.lit(""))
-    linked = (tag == "a") & ~verbatim & (F.coalesce(href, F.lit("")) != "")
-    note = F.when(opens, F.col("note_after")).otherwise(F.col("note_before"))
-    autolink = linked & (titled == "") & F.coalesce(note["autolink"], F.lit(False))
-    ticks = F.coalesce(note["ticks"], F.lit(0))
-    tick_mark = F.repeat(F.lit("`"), ticks + 1)
-    pad = F.when(ticks > 0, F.lit(" ")).otherwise(F.lit(""))
-    marker = F.create_map(*[F.lit(x) for pair in _MARKERS.items() for x in pair])[tag]
-
-    def either(opening: str, closing: str) -> Column:
-        return F.when(opens, F.lit(opening)).otherwise(F.lit(closing))
-
-    nested_list = tag.isin("ul", "ol")
-    more_content = F.coalesce(
-        F.col("next_sibling")["ev"].isin("open", "void", "text")
-        & ~F.coalesce(F.col("next_sibling")["tag"].isin("ul", "ol"), F.lit(False)), F.lit(False))
-    code = (
-        F.when(ev == "text", F.when(F.col("in_pre") > 0, F.lit("")).when(
-            F.col("blank") & (F.col("lead_code") == ""), F.lit("s")).otherwise(
-            F.col("lead_code")))
-        .when(ev == "comment", ".")
-        .when(F.col("in_pre") > 0, F.lit("."))
-        .when(ev == "void", F.when(tag == "hr", F.lit("(")).when(
-            tag == "br", F.when(inline, F.lit("w")).otherwise(F.lit("r"))).when(
-            tag == "img", F.lit("")).otherwise(F.lit(".")))
-        .when(tag.isin(*_CELLS), either("", "}"))
-        .when(tag == "tr", either("", "]"))
-        .when(heading, F.when(inline, F.lit(".")).when(
-            bare, either("(", ".")).otherwise(either("(", ")")))
-        .when(tag.isin(*_PLAIN_BLOCKS, "blockquote", "dd") & inline, either("o", "c"))
-        .when(tag == "dt", either("(", "]"))
-        .when(tag.isin(*_PLAIN_BLOCKS, "figcaption", "table"), either("(", ")"))
-        .when(tag == "caption", either("{", ")"))
-        .when(tag == "pre", either("(", ""))
-        .when(tag == "blockquote", either("[", ")"))
-        .when(tag.isin("li", "dd"), either("{", "]"))
-        .when(nested_list & (F.col("in_li") > 0), either("1", "}"))
-        .when(nested_list, F.when(opens, F.lit("2")).when(more_content, F.lit("u")).otherwise(
-            F.lit(".")))
-        .when(verbatim, F.lit("."))
-        .when(linked | tag.isin(*_MARKERS, *_TICKED), either("<", ">"))
-        .when(tag == "a", either("{", "}"))
-        .otherwise(F.lit(".")))
-
-    li_start = F.when(
-        F.col("list_start").rlike("^[0-9]{1,9}$"), F.col("list_start").cast("int")
-    ).otherwise(F.lit(1))
-    bullet = F.when(
-        F.col("parent_tag") == "ol",
-        F.concat((li_start + F.col("li_no") - 1).cast("string"), F.lit(". "))
-    ).otherwise(F.concat(
-        F.element_at(
-            F.array(*[F.lit(b) for b in BULLETS]),
-            (F.pmod(F.col("in_ul") - 1, F.lit(len(BULLETS))) + 1).cast("int")), F.lit(" ")))
-    boxed = opens & ~inline & (F.col("in_pre") == 0)
-    opener = F.when(opens & (F.col("in_pre") == 0), (
-        F.when(heading & ~inline & ~bare, F.concat(hashes, F.lit(" ")))
-        .when(tag == "li", bullet)
-        .when((tag == "blockquote") & ~inline, F.lit("> "))
-        .when((tag == "dd") & ~inline, F.lit(":   "))
-        .when(verbatim, F.lit(None))
-        .when(autolink, F.lit("<"))
-        .when(linked, F.lit("["))
-        .when(tag.isin(*_TICKED), F.concat(tick_mark, pad))
-        .when(tag.isin(*_MARKERS), marker)))
-    closer = F.when(closes & ~verbatim, (
-        F.when(autolink, F.lit(">"))
-        .when(linked, F.concat(F.lit("]("), href, title, F.lit(")")))
-        .when(tag.isin(*_TICKED), F.concat(pad, tick_mark))
-        .when(tag.isin(*_MARKERS), marker)))
-    prefix = F.when(boxed & (tag == "li"), F.repeat(F.lit(" "), F.length(bullet))).when(
-        boxed & (tag == "blockquote"), F.lit("> ")).when(
-        boxed & (tag == "dd"), F.lit("    "))
-
-    def attribute(name: str) -> Column:
-        return F.coalesce(attrs[name], F.lit(""))
-
-    image = F.when(inline, attribute("alt")).otherwise(F.concat(
-        F.lit("!["), attribute("alt"), F.lit("]("), F.coalesce("src", F.lit("")), title,
-        F.lit(")")))
-    escaped = F.replace(
-        F.replace(F.col("core"), F.lit("*"), F.lit("\\*")), F.lit("_"), F.lit("\\_"))
-    child = F.col("next")
-    fence = F.concat(
-        F.lit("```"),
-        F.coalesce(
-            F.when((child["ev"] == "open") & (child["tag"] == "code"), child["language"]),
-            F.col("language"), F.lit("")),
-        F.lit("\n" + _CODE_START))
-    poster, source = attribute("poster"), F.coalesce("src", F.lit(""))
-    has_video = (tag == "video") & ~inline & ((source != "") | (poster != ""))
-    atom = (
-        F.when(ev == "text", F.when(F.col("in_pre") > 0, F.col("text")).when(
-            F.col("blank"), F.lit(None)).when(
-            F.col("_note")["autolink"] | verbatim, F.col("core")).otherwise(escaped))
-        .when(ev == "void", F.when(tag == "img", image).when(
-            (tag == "br") & (F.col("in_pre") > 0), F.lit("\n")).when(
-            (tag == "hr") & (F.col("in_pre") == 0), F.lit("---")))
-        .when(is_open_or_close & tag.isin(*_CELLS), F.when(opens, F.lit(" ")).otherwise(
-            F.repeat(F.lit(" |"), _span(attrs))))
-        .when((tag == "tr") & opens, F.concat(overline, F.lit("|")))
-        .when((tag == "tr") & closes, F.nullif(underline, F.lit("")))
-        .when((tag == "pre") & (F.col("in_pre") == 0), F.when(opens, fence).otherwise(
-            F.lit(_CODE_END + "\n```")))
-        .when((tag == "q") & is_open_or_close, F.lit('"'))
-        .when(bare & opens, hashes)
-        .when(has_video & opens, F.when(poster == "", F.lit("[")).when(
-            source == "", F.lit("![")).otherwise(F.lit("[![")))
-        .when(has_video & closes, F.when(poster == "", F.concat(
-            F.lit("]("), source, F.lit(")"))).when(
-            source == "", F.concat(F.lit("]("), poster, F.lit(")"))).otherwise(F.concat(
-                F.lit("]("), poster, F.lit(")]("), source, F.lit(")")))))
-    after = (
-        F.when((ev == "text") & (F.col("in_pre") == 0) & ~F.col("blank"), F.col("trail_code"))
-        .when((ev == "void") & (tag == "hr"), F.lit(")"))
-        .when(bare & opens, F.lit(")"))
-        .when(opens & tag.isin(*_CELLS), F.lit("{"))
-        .when(closes & (tag == "tr") & (underline != ""), F.lit("]"))
-        .when(closes & (tag == "pre") & (F.col("in_pre") == 0), F.lit(")")))
-    # The rule below a header row follows its row directly.
-    code = F.when(closes & (tag == "tr") & (underline != ""), F.lit("}")).otherwise(code)
-    printed = events.select(
-        "page_id", "pos", "pre", "boxes", "in_heading", "in_cell", "in_pre",
-        code.alias("code"), opener.alias("opener"), closer.alias("closer"), atom.alias("atom"),
-        after.alias("after"), prefix.alias("prefix"))
-    flat = F.when(
-        (F.col("in_cell") > 0) | (F.col("in_heading") > 0),
-        F.replace(F.col("atom"), F.lit("\n"), F.lit(" "))).otherwise(F.col("atom"))
-    return printed.withColumn("atom", flat)
-
-
-def _gaps(fragments: DataFrame) -> DataFrame:
-    """One row per gap: everything between two atoms, with the atom that ends it."""
-    atoms = F.sum(F.when(F.col("atom").isNotNull(), 1).otherwise(0)).over(_RUNNING)
-    numbered = fragments.withColumns({
-        "gap": atoms - F.when(F.col("atom").isNotNull(), 1).otherwise(0),
-        "code": F.concat(
-            F.coalesce(F.lag("after").over(_BY_POSITION), F.lit("")), F.col("code"))})
-    # An atom of this gap ends it, so it comes last and its own code stands before it.
-    prints = F.col("opener").isNotNull() | F.col("atom").isNotNull()
-
-    def joined(name: str) -> Column:
-        return F.coalesce(
-            F.expr(f"listagg({name}, '') WITHIN GROUP (ORDER BY pos)"), F.lit("")).alias(name)
-
-    return numbered.groupBy("page_id", "gap").agg(
-        joined("code"), joined("closer"), joined("opener"),
-        F.max("atom").alias("atom"),
-        F.max(F.when(F.col("atom").isNotNull(), F.col("in_pre"))).alias("in_pre"),
-        F.min("in_heading").alias("in_heading"), F.min("in_cell").alias("in_cell"),
-        F.min_by(F.when(prints, F.col("boxes")), F.when(prints, F.col("pos"))).alias("sep_boxes"),
-        F.max_by(
-            F.when(F.col("atom").isNotNull(), F.col("boxes")),
-            F.when(F.col("atom").isNotNull(), F.col("pos"))).alias("atom_boxes"),
-        F.collect_list(F.when(
-            F.col("prefix").isNotNull(), F.struct("pre", "prefix"))).alias("prefixes"))
-
-
-def _separated(gaps: DataFrame) -> DataFrame:
-    """Resolve each gap's codes to a number of line breaks and of spaces."""
-    # White space of texts that became neighbours is one run of white space.
-    code = F.regexp_replace(F.regexp_replace("code", "s*n[sn]*", "n"), "s+", "s")
-    kept = gaps.withColumn("_code", code)
-    closed = F.regexp_extract("_code", r"^(.*[)\]}c>])?", 1)
-    rest = F.regexp_extract("_code", r"([^)\]}c>]*)$", 1)
-    kept = kept.withColumns({"_closed": closed, "_rest": rest})
-    middle = F.regexp_extract("_rest", r"^([^(\[{o<]*)", 1)
-    opened = F.regexp_extract("_rest", r"([(\[{o<].*)$", 1)
-    last, first = F.substring("_closed", -1, 1), F.substring(opened, 1, 1)
-    left = (
-        F.when(last == ")", "2").when(last == "]", "1").when(last == "c", "w")
-        .when(F.col("_closed").rlike(r"[swc][.>]*>$"), "s").otherwise(""))
-    right = (
-        F.when(first == "(", "2").when(first == "[", "1").when(first == "o", "w")
-        .when(opened.rlike(r"^<[.<]*[swo]"), "s").otherwise(""))
-    kept = kept.withColumn(
-        "_items", F.replace(F.concat(left, middle, right), F.lit("."), F.lit("")))
-    lines = F.length(F.regexp_replace(
-        F.regexp_replace("_items", r"(?<=[1nru])[1n]+", ""), "[^1nru]", ""))
-    breaks = F.when(F.contains("_items", F.lit("2")), F.lit(2)).otherwise(
-        F.least(lines, F.lit(2)))
-    spaces = F.length(F.regexp_extract("_items", r"([sw]*)$", 1))
-    plain_spaces = F.length(F.regexp_replace("_items", "[^sw]", ""))
-    kept = kept.withColumns({"_breaks": breaks, "_all_spaces": plain_spaces, "_spaces": spaces})
-    separator = (
-        F.when(F.col("in_pre") > 0, F.lit(""))
-        .when(F.col("in_heading") > 0, F.when(
-            F.col("_breaks") + F.col("_all_spaces") > 0, F.lit(" ")).otherwise(F.lit("")))
-        .when(F.col("in_cell") > 0, F.repeat(F.lit(" "), F.col("_breaks") + F.col("_all_spaces")))
-        .when(F.col("_breaks") > 0, F.concat(
-            F.repeat(F.lit("\n"), F.col("_breaks")), F.repeat(F.lit(" "), F.col("_spaces"))))
-        .otherwise(F.repeat(F.lit(" "), F.col("_all_spaces"))))
-    return kept.select(
-        "page_id", "gap", "closer", separator.alias("separator"), "opener", "atom",
-        "sep_boxes", "atom_boxes", "prefixes")
-
-
-def _assembled(gaps: DataFrame) -> DataFrame:
-    """Join a page's gaps, putting list and quote prefixes after line breaks inside them."""
-    collected = gaps.groupBy("page_id").agg(
-        F.array_sort(F.collect_list(F.struct(
-            "gap", "closer", "separator", "opener", F.coalesce("atom", F.lit("")).alias("atom"),
-            "sep_boxes", "atom_boxes"))).alias("gaps"),
-        F.map_from_entries(F.flatten(F.collect_list("prefixes"))).alias("prefix_of"))
-
-    def prefixed(text: Column, boxes: Column) -> Column:
-        prefix = F.array_join(
-            F.transform(boxes, lambda box: F.coalesce(F.col("prefix_of")[box], F.lit(""))), "")
-        return F.when(
-            (F.size(boxes) > 0) & F.contains(text, F.lit("\n")),
-            F.replace(text, F.lit("\n"), F.concat(F.lit("\n"), prefix))).otherwise(text)
-
-    text = F.array_join(
-        F.transform("gaps", lambda gap: F.concat(
-            gap["closer"], prefixed(gap["separator"], gap["sep_boxes"]), gap["opener"],
-            prefixed(gap["atom"], gap["atom_boxes"]))), "")
-    return collected.select("page_id", text.alias("markdown"))
+    """Per event: gap codes, closing and opening marker, atom, code after the atom, prefix."""
+    marks = "CASE tag " + " ".join(
+        f"WHEN '{tag}' THEN '{mark}'" for tag, mark in _MARKERS.items()) + " END"
+    bullets = f"array({', '.join(repr(b) for b in BULLETS)})"
+    facts = _with(
+        events,
+        _title="CASE WHEN attrs['title'] <> '' "
+               "THEN concat(' \"', replace(attrs['title'], '\"', '\\\\\"'), '\"') ELSE '' END",
+        _linked="coalesce(tag = 'a' AND NOT verbatim AND link <> '', false)",
+        _note="CASE WHEN ev = 'open' THEN note_after ELSE note_before END",
+        # A heading whose only image was decorative leaves just its marks.
+        _bare=f"coalesce({_IS_HEADING} AND NOT inline AND NOT has_atom, false)",
+        _bullet=f"""
+            CASE WHEN tag = 'li' AND ev = 'open' THEN CASE WHEN parent_tag = 'ol'
+              THEN concat(CASE WHEN list_start RLIKE '^[0-9]{{1,9}}$' THEN int(list_start)
+                               ELSE 1 END + li_no - 1, '. ')
+              ELSE concat({bullets}[int(pmod(in_ul - 1, {len(BULLETS)}))], ' ') END END""")
+    facts = _with(
+        facts,
+        _auto="_linked AND _title = '' AND coalesce(_note.autolink, false)",
+        _tick=f"""CASE WHEN tag IN {_among(_TICKED)} THEN named_struct(
+                    'mark', repeat('`', coalesce(_note.ticks, 0) + 1),
+                    'pad', CASE WHEN _note.ticks > 0 THEN ' ' ELSE '' END) END""")
+
+    def either(opening: str, closing: str) -> str:
+        return f"CASE ev WHEN 'open' THEN '{opening}' ELSE '{closing}' END"
+
+    blocks = _among((*_PLAIN_BLOCKS, "blockquote", "dd", "dt"))
+    code = f"""
+        CASE WHEN ev = 'text' THEN CASE WHEN in_pre > 0 THEN ''
+                  WHEN blank AND lead_code = '' THEN 's' ELSE lead_code END
+             WHEN ev = 'comment' OR in_pre > 0 THEN '.'
+             WHEN ev = 'void' THEN CASE tag WHEN 'hr' THEN '(' WHEN 'img' THEN ''
+                  WHEN 'br' THEN CASE WHEN inline THEN 'w' ELSE 'r' END ELSE '.' END
+             WHEN {_IS_CELL} THEN {either('', '}')}
+             WHEN tag = 'tr' THEN CASE WHEN ev = 'open' THEN ''
+                  WHEN underline <> '' THEN '}}' ELSE ']' END
+             WHEN {_IS_HEADING} THEN CASE WHEN inline THEN '.' WHEN ev = 'open' THEN '('
+                  WHEN _bare THEN '.' ELSE ')' END
+             WHEN inline AND tag IN {blocks} THEN {either('o', 'c')}
+             WHEN tag = 'dt' THEN {either('(', ']')}
+             WHEN tag IN {_among((*_PLAIN_BLOCKS, 'figcaption', 'table'))} THEN {either('(', ')')}
+             WHEN tag = 'caption' THEN {either('{', ')')}
+             WHEN tag = 'pre' THEN {either('(', '')}
+             WHEN tag = 'blockquote' THEN {either('[', ')')}
+             WHEN tag IN ('li', 'dd') THEN {either('{', ']')}
+             WHEN tag IN ('ul', 'ol') THEN CASE
+                  WHEN in_li > 0 THEN {either('1', '}')} WHEN ev = 'open' THEN '2'
+                  WHEN next_sibling.ev IN ('open', 'void', 'text')
+                       AND coalesce(next_sibling.tag NOT IN ('ul', 'ol'), true) THEN 'u'
+                  ELSE '.' END
+             WHEN verbatim THEN '.'
+             WHEN _linked OR tag IN {_among((*_MARKERS, *_TICKED))} THEN {either('<', '>')}
+             WHEN tag = 'a' THEN {either('{', '}')}
+             ELSE '.' END"""
+    opener = f"""
+        CASE WHEN ev <> 'open' OR in_pre > 0 THEN NULL
+             WHEN {_IS_HEADING} AND NOT inline AND NOT _bare
+               THEN concat(repeat('#', int(substring(tag, 2, 1))), ' ')
+             WHEN tag = 'li' THEN _bullet
+             WHEN tag = 'blockquote' AND NOT inline THEN '> '
+             WHEN tag = 'dd' AND NOT inline THEN ':   '
+             WHEN verbatim THEN NULL
+             WHEN _auto THEN '<'
+             WHEN _linked THEN '['
+             WHEN tag IN {_among(_TICKED)} THEN concat(_tick.mark, _tick.pad)
+             ELSE nullif({marks}, '') END"""
+    closer = f"""
+        CASE WHEN ev <> 'close' OR verbatim THEN NULL
+             WHEN _auto THEN '>'
+             WHEN _linked THEN concat('](', link, _title, ')')
+             WHEN tag IN {_among(_TICKED)} THEN concat(_tick.pad, _tick.mark)
+             ELSE nullif({marks}, '') END"""
+    atom = f"""
+        CASE WHEN ev = 'text' THEN CASE WHEN in_pre > 0 THEN text WHEN blank THEN NULL
+                  WHEN verbatim OR note.autolink THEN core
+                  ELSE replace(replace(core, '*', r'\\*'), '_', r'\\_') END
+             WHEN ev = 'comment' THEN NULL
+             WHEN tag = 'img' THEN CASE WHEN inline THEN coalesce(attrs['alt'], '')
+                  ELSE concat('![', coalesce(attrs['alt'], ''), '](', coalesce(link, ''), _title,
+                              ')') END
+             WHEN tag = 'br' THEN CASE WHEN in_pre > 0 THEN '\n' END
+             WHEN tag = 'hr' THEN CASE WHEN in_pre = 0 THEN '---' END
+             WHEN {_IS_CELL} THEN CASE ev WHEN 'open' THEN ' ' ELSE repeat(' |', span) END
+             WHEN tag = 'tr' THEN CASE ev WHEN 'open' THEN concat(overline, '|')
+                  ELSE nullif(underline, '') END
+             WHEN tag = 'pre' AND in_pre = 0 THEN CASE ev
+                  WHEN 'open' THEN concat('```', coalesce(
+                    CASE WHEN next.ev = 'open' AND next.tag = 'code' THEN next.language END,
+                    language, ''), '\n{_PRE_START}')
+                  ELSE '{_PRE_END}\n```' END
+             WHEN tag = 'q' THEN '"'
+             WHEN _bare AND ev = 'open' THEN repeat('#', int(substring(tag, 2, 1)))
+             WHEN tag = 'video' AND NOT inline AND coalesce(link, attrs['poster'], '') <> '' THEN
+               CASE ev WHEN 'open' THEN CASE WHEN coalesce(attrs['poster'], '') = '' THEN '['
+                         WHEN coalesce(link, '') = '' THEN '![' ELSE '[![' END
+                    ELSE concat(CASE WHEN attrs['poster'] <> ''
+                                     THEN concat('](', attrs['poster'], ')') ELSE '' END,
+                                CASE WHEN link <> '' THEN concat('](', link, ')') ELSE '' END) END
+             END"""
+    after = f"""
+        CASE WHEN ev = 'text' THEN CASE WHEN in_pre > 0 OR blank THEN '' ELSE trail_code END
+             WHEN tag = 'hr' THEN ')'
+             WHEN {_IS_CELL} AND ev = 'open' THEN '{{'
+             WHEN tag = 'tr' AND ev = 'close' AND underline <> '' THEN ']'
+             WHEN tag = 'pre' AND ev = 'close' AND in_pre = 0 THEN ')'
+             WHEN _bare AND ev = 'open' THEN ')'
+             ELSE '' END"""
+    prefix = """
+        CASE WHEN ev <> 'open' OR inline OR in_pre > 0 THEN NULL
+             WHEN tag = 'li' THEN repeat(' ', length(_bullet))
+             WHEN tag = 'blockquote' THEN '> '
+             WHEN tag = 'dd' THEN '    ' END"""
+    return facts.selectExpr(
+        "page_id", "pos", "pre", "inline",
+        "CASE WHEN size(boxes) > 0 THEN array_join(boxes, ',') ELSE '' END AS boxes",
+        "CASE WHEN in_heading > 0 THEN 'h' WHEN in_cell > 0 THEN 'd' ELSE 'x' END AS place",
+        f"{code} AS code", f"{opener} AS opener", f"{closer} AS closer", f"{atom} AS atom",
+        f"{after} AS after", f"{prefix} AS prefix")
+
+
+def _joined(fragments: DataFrame) -> DataFrame:
+    """One text of fragments per page, in document order, with the prefixes of its boxes."""
+    # Reserved characters in a page's own text would read as codes.
+    def own(text: str) -> str:
+        return f"translate({text}, '{_SEPARATORS}', '')"
+
+    flat = own("CASE WHEN inline THEN replace(atom, chr(10), ' ') ELSE atom END")
+    pieces = _with(fragments, piece=f"""
+        concat(place, coalesce(lag(after) OVER ({_NEAR}), ''), code,
+          CASE WHEN closer IS NULL THEN '' ELSE concat('{_CLOSER}', {own('closer')}, '{_END}') END,
+          CASE WHEN opener IS NULL THEN ''
+               ELSE concat('{_OPENER}', boxes, '{_BOXES}', {own('opener')}, '{_END}') END,
+          CASE WHEN atom IS NULL THEN ''
+               ELSE concat('{_ATOM}', boxes, '{_BOXES}', {flat}, '{_GAP}') END)""")
+    return pieces.groupBy("page_id").agg(
+        F.expr("listagg(piece, '') WITHIN GROUP (ORDER BY pos)").alias("fragments"),
+        F.expr("map_from_entries(collect_list(named_struct('box', string(pre), 'prefix', prefix)) "
+               "FILTER (WHERE prefix IS NOT NULL))").alias("prefix_of"))
+
+
+def _assembled(pages: DataFrame) -> DataFrame:
+    """Resolve each gap's codes to a number of line breaks and of spaces, then join the page."""
+    split = f"""
+        transform(split(fragments, '{_GAP}'), gap -> named_struct(
+          'head', substring_index(gap, '{_ATOM}', 1),
+          'boxes', regexp_extract(gap, '^[^{_OPENER}{_ATOM}]*[{_OPENER}{_ATOM}]([^{_BOXES}]*)', 1),
+          'atom_boxes', regexp_extract(gap, '{_ATOM}([^{_BOXES}]*)', 1),
+          'atom', CASE WHEN contains(gap, '{_ATOM}')
+                       THEN substring_index(gap, '{_BOXES}', -1) ELSE '' END))"""
+    # White space of texts that became neighbours is one run of white space; where a gap stands
+    # is the outermost place it touches.
+    marked = f"""
+        transform(gaps, g -> struct(g.boxes, g.atom, g.atom_boxes,
+          CASE WHEN contains(g.head, '{_CLOSER}')
+               THEN array_join(regexp_extract_all(g.head, '{_CLOSER}([^{_END}]*)', 1), '')
+               ELSE '' END AS closers,
+          CASE WHEN contains(g.head, '{_OPENER}') THEN array_join(
+            regexp_extract_all(g.head, '{_OPENER}[^{_BOXES}]*{_BOXES}([^{_END}]*)', 1), '')
+               ELSE '' END AS openers,
+          regexp_replace(g.head, '[{_CLOSER}{_OPENER}][^{_END}]*{_END}', '') AS codes))"""
+    placed = """
+        transform(gaps, g -> struct(g.boxes, g.atom, g.atom_boxes, g.closers, g.openers,
+          CASE WHEN contains(g.codes, 'x') THEN 'x' WHEN contains(g.codes, 'h') THEN 'h'
+               ELSE 'd' END AS place,
+          regexp_replace(regexp_replace(regexp_replace(
+            translate(g.codes, 'xhd', ''), '[.]+', '.'), 's*n[sn]*', 'n'), 's+', 's') AS codes))"""
+    # What the last trimming close leaves, what stands before the first trimming open, and what
+    # that open asks for.
+    kept = r"""
+        transform(gaps, g -> struct(g.boxes, g.atom, g.atom_boxes, g.closers, g.openers, g.place,
+          CASE WHEN g.codes RLIKE r'^[.]*$' THEN '' ELSE translate(concat(
+            CASE regexp_extract(g.codes, r'([)\]}c>])[^)\]}c>]*$', 1)
+              WHEN ')' THEN '2' WHEN ']' THEN '1' WHEN 'c' THEN 'w'
+              WHEN '>' THEN CASE WHEN g.codes RLIKE r'[swc][.>]*>[^)\]}c>]*$' THEN 's' ELSE '' END
+              ELSE '' END,
+            regexp_extract(g.codes,
+              r'(?:^|(?<=[)\]}c>(\[{o<]))([^)\]}c>(\[{o<]*+)(?:[(\[{o<][^)\]}c>]*+)?$', 1),
+            CASE regexp_extract(g.codes, r'^(?:.*[)\]}c>])?[^(\[{o<]*([(\[{o<])', 1)
+              WHEN '(' THEN '2' WHEN '[' THEN '1' WHEN 'o' THEN 'w'
+              WHEN '<' THEN CASE WHEN g.codes RLIKE r'^(?:.*[)\]}c>])?[^(\[{o<]*<[.<]*[swo]'
+                                 THEN 's' ELSE '' END
+              ELSE '' END), '.', '') END AS items))"""
+    counted = r"""
+        transform(gaps, g -> struct(g.boxes, g.atom, g.atom_boxes, g.closers, g.openers, g.place,
+          g.items,
+          CASE WHEN contains(g.items, '2') THEN 2 ELSE least(2, length(regexp_replace(
+            regexp_replace(g.items, r'(?<=[1nru])[1n]+', ''), '[^1nru]', ''))) END AS breaks))"""
+    separated = """
+        transform(gaps, g -> struct(g.boxes, g.atom, g.atom_boxes, g.closers, g.openers,
+          CASE WHEN g.items = '' THEN ''
+               WHEN g.place = 'h' THEN ' '
+               WHEN g.place = 'd' THEN repeat(
+                 ' ', g.breaks + length(regexp_replace(g.items, '[^sw]', '')))
+               WHEN g.breaks > 0 THEN concat(
+                 repeat('\n', g.breaks),
+                 translate(regexp_extract(g.items, '([sw]*)$', 1), 'sw', '  '))
+               ELSE repeat(' ', length(regexp_replace(g.items, '[^sw]', ''))) END AS separator))"""
+
+    def prefixed(text: str, boxes: str) -> str:
+        prefix = (f"array_join(transform(split({boxes}, ','), box -> "
+                  "coalesce(prefix_of[box], '')), '')")
+        return (f"CASE WHEN {boxes} = '' OR NOT contains({text}, '\\n') THEN {text} "
+                f"ELSE replace({text}, '\\n', concat('\\n', {prefix})) END")
+
+    text = f"""
+        array_join(transform(gaps, g -> concat(
+          g.closers, {prefixed('g.separator', 'g.boxes')}, g.openers,
+          {prefixed('g.atom', 'g.atom_boxes')})), '')"""
+    for step in (split, marked, placed, kept, counted, separated):
+        pages = pages.selectExpr("page_id", "prefix_of", "fragments", f"{step} AS gaps")
+    return pages.selectExpr("page_id", f"{text} AS markdown")
 
 
 def tidy_markdown(markdown: Column) -> Column:
     """No trailing blanks, no run of blank lines, one final line break."""
-    code = F.regexp_replace(markdown, f"{_CODE_START}(?:[ \\n]*\\n)?", "")
-    code = F.regexp_replace(code, f"(?<![ \\n])[ \\n]*+{_CODE_END}", "")
-    code = F.replace(code, F.lit(_CODE_END), F.lit(""))
+    code = F.regexp_replace(markdown, f"{_PRE_START}(?:[ \\n]*\\n)?", "")
+    code = F.regexp_replace(code, f"(?<![ \\n])[ \\n]*+{_PRE_END}", "")
+    code = F.translate(code, _PRE_END, "")
     lines = F.regexp_replace(code, r"(?m)(?<![ \t])[ \t]++$", "")
     return F.concat(
         text_trim(F.regexp_replace(lines, r"\n{3,}", "\n\n")), F.lit("\n"))
 
 
 def render_markdown(rows: DataFrame, language: Column | None = None) -> DataFrame:
-    """``(page_id, markdown)`` for clean node rows that carry ``base_url`` and ``has_atom``.
+    """``(page_id, markdown)`` for clean node rows that carry ``has_atom``.
 
     ``language`` replaces the rule that reads a code block's language from its attributes.
     """
-    numbered = _with_siblings(rows)
-    events = _events(numbered, language)
-    # Elements that would print nothing go, with the white space inside them.
-    empty = (F.col("kind") == "elem") & F.col("tag").isin(*_VANISH_WHEN_EMPTY) & ~F.col("has_atom")
-    reach = F.max(F.when(empty, F.col("post"))).over(_RUNNING)
-    events = events.withColumn("_reach", reach).where(
-        F.coalesce(F.col("_reach") < F.col("pos"), F.lit(True))).drop("_reach")
-    resolved = events.withColumns({
-        name: F.when(
-            F.col("attrs")[name].isNotNull(),
-            resolve_url(F.col("base_url"), F.col("attrs")[name]))
-        for name in ("href", "src")})
-    parts = _fragments(_text_fields(_with_neighbours(resolved)))
-    return _assembled(_separated(_gaps(parts))).withColumn(
-        "markdown", tidy_markdown(F.col("markdown")))
+    resolved = _with(rows, link="CASE tag WHEN 'a' THEN attrs['href'] WHEN 'img' THEN "
+                                "attrs['src'] WHEN 'video' THEN attrs['src'] END")
+    events = _with_neighbours(_events(_with_siblings(resolved), language))
+    fragments = _fragments(_table_rules(_text_fields(events)))
+    pages = _assembled(_joined(fragments))
+    return pages.select("page_id", tidy_markdown(F.col("markdown")).alias("markdown"))

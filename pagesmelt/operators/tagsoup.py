@@ -24,7 +24,7 @@ NODES_TYPE = (
     "tag:string,attrs:map<string,string>,text:string,raw:boolean,inert:boolean,boxes:array<int>,"
     "list_start:string>>"
 )
-_NODE_TYPE = pa.struct([
+NODE_TYPE = pa.struct([
     ("pre", pa.int32()),
     ("post", pa.int32()),
     ("parent", pa.int32()),
@@ -198,7 +198,7 @@ class _NodeWalker(HTMLParser):
     def to_arrow(self) -> pa.StructArray:
         c = self.columns
         parts = []
-        for field in _NODE_TYPE:
+        for field in NODE_TYPE:
             if field.name == "attrs":
                 parts.append(pa.MapArray.from_arrays(
                     pa.array(self.attr_ends, pa.int32()),
@@ -209,7 +209,7 @@ class _NodeWalker(HTMLParser):
                     pa.array(self.box_ends, pa.int32()), pa.array(self.box_values, pa.int32())))
             else:
                 parts.append(pa.array(c[field.name], field.type))
-        return pa.StructArray.from_arrays(parts, fields=list(_NODE_TYPE))
+        return pa.StructArray.from_arrays(parts, fields=list(NODE_TYPE))
 
 
 def walk_pages(html: pa.Array) -> pa.Array:

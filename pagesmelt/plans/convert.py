@@ -111,14 +111,14 @@ def convert_parsed(
     _check("links", links, LINKS)
     _check("images", images, IMAGES)
     _check("content", content, CONTENT)
-    clean = clean_nodes(node_rows(parsed, "base_url"), links, images)
+    clean = clean_nodes(node_rows(parsed), links, images)
     chosen = None if content == "full" else choices(parsed, content)
     rows = apply_policies(root_rows(clean, chosen), links, images)
     rendered = render_markdown(rows, language)
     # A page all of whose nodes were dropped has no rows left to render.
     extra = ["page_id"]
     if front_matter:
-        heads = page_metadata(parsed, base_url="base_url", fetched_at=fetched_at).select(
+        heads = page_metadata(parsed, fetched_at=fetched_at).select(
             "page_id", front_matter_text(F.col("metadata")).alias("_head"))
     else:
         heads = parsed.select("page_id")
@@ -139,7 +139,7 @@ def to_markdown(pages: DataFrame, **options) -> DataFrame:
     wanted = ["page_id", "base_url", "html"]
     if options.get("fetched_at"):
         wanted.append(options["fetched_at"])
-    return convert_parsed(parse_pages(based.select(*wanted)), **options)
+    return convert_parsed(parse_pages(based.select(*wanted), "base_url"), **options)
 
 
 def markdown_documents(pages: DataFrame, directory: str = ".", **options) -> DataFrame:
