@@ -33,6 +33,7 @@ CANDIDATE_TYPE = (
     "punctuation:int,structural_elements:int>"
 )
 
+
 def is_main_role() -> Column:
     return F.coalesce(F.lower(F.col("attrs")["role"]) == "main", F.lit(False))
 
@@ -44,13 +45,13 @@ def candidate_rank() -> Column:
                   .when(F.size("attrs") > 0, F.when(is_main_role(), 2).when(by_class, 3)))
 
 
-def running_totals(rows: DataFrame) -> DataFrame:
+def running_totals(rows: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """Running totals in document order; differences of them are subtree features.
 
     A link nested in another counts for both, so a text weighs as much as links enclose it.
     ``links_open`` is needed to take out the links outside the subtree.
     """
-    frame = "(PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING)"
+    frame = f"(PARTITION BY {', '.join(keys)} ORDER BY pos ROWS UNBOUNDED PRECEDING)"
 
     def total(value: str) -> Column:
         return F.expr(f"coalesce(sum({value}) OVER {frame}, 0)")
@@ -78,7 +79,9 @@ def _grown(name: str) -> Column:
     return F.max(name) - F.min(name)
 
 
-def subtree_features(totals: DataFrame, *keep: str) -> DataFrame:
+def subtree_totals(
+    totals: DataFrame, *keep: str, keys: tuple[str, ...] = ("page_id",), more: tuple[str, ...] = ()
+) -> DataFrame:
     """One row per element that has an opening and a closing row in ``totals``.
 
     ``keep`` names columns of the opening row to hand through.  The grouping is on
@@ -88,42 +91,41 @@ def subtree_features(totals: DataFrame, *keep: str) -> DataFrame:
     at_open = [F.max(F.when(opening, F.col(name))).alias(name) for name in keep]
     # Counters already hold the element's own contribution at its opening row; the running
     # totals never fall, so closing minus opening row leaves out the element itself.
-    grouped = totals.groupBy("page_id", "pre").agg(
+    grouped = totals.groupBy(*keys, "pre").agg(
         F.max("post").alias("post"),
         *at_open,
         F.max(F.when(opening, F.col("t_links_open"))).alias("_outer_links"),
         *[_grown(name).alias(name) for name in
-          ("t_chars", "t_runs", "t_links", "t_paragraphs", "t_structure", "t_punctuation")],
+          ("t_chars", "t_runs", "t_links", "t_paragraphs", "t_structure", "t_punctuation", *more)],
         (F.max(F.when(~opening, F.col("t_weighted")))
          - F.max(F.when(opening, F.col("t_weighted")))).alias("_weighted"))
-    return add_features(
-        grouped, F.col("t_chars"), F.col("t_runs"),
+    return grouped.withColumn(
+        "t_link_chars",
         F.col("_weighted") - F.col("_outer_links") * (F.col("t_chars") + F.col("t_runs"))
-        - F.col("t_links"),
-        "t_paragraphs", "t_punctuation", "t_structure")
+        - F.col("t_links")).drop("_weighted", "_outer_links", "t_links")
 
 
-def add_features(rows: DataFrame, chars: Column, runs: Column, link_chars: Column,
-                 paragraphs: str, punctuation: str, structure: str) -> DataFrame:
+def with_features(totals: DataFrame) -> DataFrame:
     """Turn summed counters into the candidate features and the score."""
-    scored = (
-        rows
-        .withColumn("text_length", joined_length(chars, runs).cast("int"))
-        .withColumn("_density", F.when(
-            F.col("text_length") > 0, link_chars / F.col("text_length")).otherwise(F.lit(1.0)))
-        .withColumn("paragraphs", F.col(paragraphs).cast("int"))
-        .withColumn("punctuation", F.col(punctuation).cast("int"))
-        .withColumn("structural_elements", F.col(structure).cast("int")))
-    points = (
-        F.col("text_length") + F.col("paragraphs") * PARAGRAPH_POINTS
-        + F.col("punctuation") * PUNCTUATION_POINTS
-        + F.col("structural_elements") * STRUCTURE_POINTS)
-    discount = 1 - F.least(F.col("_density"), F.lit(MAX_DENSITY_DISCOUNT))
+    density = F.expr(
+        "CASE WHEN text_length > 0 THEN t_link_chars / text_length ELSE 1.0D END")
+    points = F.expr(
+        f"text_length + paragraphs * {PARAGRAPH_POINTS} + punctuation * {PUNCTUATION_POINTS} "
+        f"+ structural_elements * {STRUCTURE_POINTS}")
     return (
-        scored.withColumn("score", F.round(points * discount, 2))
-        .withColumn("link_density", F.round("_density", 3))
-        .drop("_density", "_weighted", "_outer_links", "t_chars", "t_runs", "t_links",
-              "t_paragraphs", "t_structure", "t_punctuation"))
+        totals
+        .withColumns({
+            "text_length": joined_length(F.col("t_chars"), F.col("t_runs")).cast("int"),
+            "paragraphs": F.col("t_paragraphs").cast("int"),
+            "punctuation": F.col("t_punctuation").cast("int"),
+            "structural_elements": F.col("t_structure").cast("int")})
+        .withColumn("_density", density)
+        .withColumns({
+            "score": F.round(
+                points * (1 - F.least(F.col("_density"), F.lit(MAX_DENSITY_DISCOUNT))), 2),
+            "link_density": F.round("_density", 3)})
+        .drop("_density", "t_chars", "t_runs", "t_link_chars", "t_paragraphs", "t_structure",
+              "t_punctuation"))
 
 
 def is_acceptable(candidate: Column | None = None) -> Column:
@@ -145,11 +147,11 @@ def content_candidates(clean: DataFrame) -> DataFrame:
     ranked = clean.withColumn("rank", candidate_rank())
     events = with_closes(ranked, F.col("rank").isNotNull() | (F.col("tag") == "a"))
     totals = running_totals(events).where(F.col("rank").isNotNull())
-    featured = subtree_features(
+    featured = with_features(subtree_totals(
         totals.withColumn("id", F.col("attrs")["id"])
         .withColumn("classes", F.array_join(class_tokens(F.col("attrs")), "."))
         .withColumn("main_role", is_main_role()),
-        "rank", "tag", "id", "classes", "main_role")
+        "rank", "tag", "id", "classes", "main_role"))
     ordered = featured.withColumn(
         "cand_ord", F.row_number().over(Window.partitionBy("page_id").orderBy("rank", "pre")) - 1)
     label = (
