@@ -59,7 +59,7 @@ def choices(parsed: DataFrame, content: str) -> DataFrame:
     best, own = F.col("best"), F.lit(None).cast(CANDIDATE_TYPE)
     own_roots: Column = F.lit(None).cast("array<int>")
     if after_readability:
-        decided = decided.join(readability_choice(clean), "page_id", "left")
+        decided = decided.join(readability_choice(root_rows(clean)), "page_id", "left")
         own, own_roots = F.col("own"), F.col("own_roots")
     by_own = F.coalesce(is_acceptable(own), F.lit(False))
     by_dom = F.coalesce(is_acceptable(best), F.lit(False))
@@ -116,14 +116,13 @@ def convert_parsed(
     rows = apply_policies(root_rows(clean, chosen), links, images)
     rendered = render_markdown(rows, language)
     # A page all of whose nodes were dropped has no rows left to render.
-    extra = ["page_id"]
     if front_matter:
         heads = page_metadata(parsed, fetched_at=fetched_at).select(
             "page_id", front_matter_text(F.col("metadata")).alias("_head"))
     else:
         heads = parsed.select("page_id")
     body = F.coalesce("markdown", F.lit("\n"))
-    return heads.repartition(*extra).join(rendered, "page_id", "left").select(
+    return heads.repartition("page_id").join(rendered, "page_id", "left").select(
         "page_id",
         (F.concat("_head", body) if front_matter else body).alias("markdown"))
 
