@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from pagesmelt.fixed_values import UNICODE_SPACE
 
+# The same characters as a SQL string literal; none of them needs escaping there.
+SPACE_SQL = f"'{UNICODE_SPACE}'"
+
 
 def text_trim(column: Column) -> Column:
     """Trim Unicode white space, not only the space character ``trim`` removes."""

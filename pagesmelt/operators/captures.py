@@ -14,9 +14,8 @@ from pagesmelt.fixed_values import (
     MIN_VISIBLE_TEXT,
     MIN_VISIBLE_TEXT_IN_ROOT,
     SNIFF_BYTES,
-    UNICODE_SPACE,
 )
-from pagesmelt.functions.text import collapse_space
+from pagesmelt.functions.text import SPACE_SQL, collapse_space
 from pagesmelt.operators import bodies
 from pagesmelt.operators.nodes import parse_pages
 
@@ -95,11 +94,10 @@ def decode_responses(responses: DataFrame) -> DataFrame:
 
 def visible_text(nodes: str = "nodes") -> Column:
     """Readable text outside scripts, styles, templates and noscript, white space collapsed."""
-    space = UNICODE_SPACE.encode("unicode_escape").decode().replace("\\x", "\\u00")
     return collapse_space(F.expr(f"""
         array_join(filter(transform(
           filter({nodes}, n -> n.kind = 'text' AND NOT n.raw AND NOT n.inert),
-          n -> btrim(n.text, '{space}')), t -> t <> ''), ' ')"""))
+          n -> btrim(n.text, {SPACE_SQL})), t -> t <> ''), ' ')"""))
 
 
 def is_js_shell(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesmelt.fixed_values import UNICODE_SPACE
+from pagesmelt.functions.text import SPACE_SQL
 from pagesmelt.functions.yaml_text import iso_timestamp
 
 
@@ -17,7 +17,7 @@ def _first(condition: str, field: str) -> str:
 
 
 def _trimmed(expression: str) -> str:
-    return f"nullif(btrim({expression}, _space), '')"
+    return f"nullif(btrim({expression}, {SPACE_SQL}), '')"
 
 
 def _meta(*keys: tuple[str, str]) -> str:
@@ -36,7 +36,7 @@ def _text_below(tag: str) -> str:
       transform(array({element}), e -> CASE WHEN e IS NOT NULL THEN nullif(array_join(filter(
         transform(
           filter(nodes, n -> n.kind = 'text' AND NOT n.raw AND n.pre > e.pre AND n.pre < e.post),
-          n -> btrim(n.text, _space)), t -> t <> ''), ' '), '') END)[0]
+          n -> btrim(n.text, {SPACE_SQL})), t -> t <> ''), ' '), '') END)[0]
     """
 
 
@@ -48,10 +48,9 @@ def page_metadata(parsed: DataFrame, *, fetched_at: str | None = None) -> DataFr
     filtered out of the array once, in a projection of their own.
     """
     carried = [fetched_at] if fetched_at else []
-    heads = parsed.select("page_id", *carried, "nodes", F.expr(_HEAD).alias("_head")).withColumn(
-        "_space", F.lit(UNICODE_SPACE))
+    heads = parsed.select("page_id", *carried, "nodes", F.expr(_HEAD).alias("_head"))
     found = heads.selectExpr(
-        "page_id", *carried, "_space",
+        "page_id", *carried,
         f"coalesce({_meta(('property', 'og:title'))}, {_text_below('title')}, "
         f"{_text_below('h1')}) AS title",
         f"{_meta(('name', 'description'), ('property', 'og:description'))} AS description",

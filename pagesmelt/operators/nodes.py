@@ -7,7 +7,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesmelt.functions.text import text_trim
-from pagesmelt.functions.urls import resolve_srcset_sql, resolve_url_sql, url_parts_sql
+from pagesmelt.functions.urls import (
+    resolve_srcset_sql,
+    resolve_url,
+    resolve_url_sql,
+    url_parts_sql,
+)
 from pagesmelt.operators import tagsoup
 
 NODE_FIELDS = tuple(field.name for field in tagsoup.NODE_TYPE)
@@ -59,6 +64,17 @@ def node_rows(parsed: DataFrame) -> DataFrame:
         .select("page_id", F.inline_outer("nodes")))
 
 
+def page_links(pages: DataFrame, base_url: str = "url") -> DataFrame:
+    """Every ``a`` with an ``href``: as written and absolute, numbered in document order."""
+    links = parse_pages(pages.select("page_id", base_url, "html")).select(
+        "page_id", base_url,
+        F.posexplode(F.expr(
+            "transform(filter(nodes, n -> n.tag = 'a' AND map_contains_key(n.attrs, 'href')), "
+            "n -> n.attrs['href'])")).alias("link_no", "href"))
+    return links.select(
+        "page_id", "link_no", "href", resolve_url(base_url, "href").alias("resolved"))
+
+
 def is_run() -> Column:
     """A node row that is readable, non-blank text."""
     return (F.col("kind") == "text") & ~F.col("raw") & (text_trim(F.col("text")) != "")

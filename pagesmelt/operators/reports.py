@@ -36,7 +36,9 @@ def page_stats(pages: DataFrame, **options) -> DataFrame:
         link_count(F.col("markdown")).alias("markdown_links"))
 
 
-def extraction_quality(pages: DataFrame) -> DataFrame:
+def extraction_quality(
+    pages: DataFrame, extractors: tuple[str, ...] = EXTRACTORS
+) -> DataFrame:
     """What each extractor keeps of each page: text, headings, code, tables and images."""
     parsed = parse_pages(pages.select("page_id", "html"))
     clean = clean_nodes(node_rows(parsed))
@@ -56,8 +58,8 @@ def extraction_quality(pages: DataFrame) -> DataFrame:
             count("table").alias("tables"), count("img").alias("images"),
         ).withColumn("extractor", F.lit(extractor))
 
-    report = kept(EXTRACTORS[0])
-    for extractor in EXTRACTORS[1:]:
+    report = kept(extractors[0])
+    for extractor in extractors[1:]:
         report = report.unionByName(kept(extractor))
     return report
 
