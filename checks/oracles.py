@@ -172,9 +172,9 @@ c AS (
     0, 2, 0
   FROM f WHERE doc_id % 10 = 0),
 s AS (
-  SELECT *, round(link_length / text_length, 3)::DOUBLE AS link_density,
-    round((text_length + 80 * paragraphs + 12 * punctuation + 40 * structural_elements)
-          * (1 - least(link_length / text_length, 0.9)), 2)::DOUBLE AS score
+  SELECT *, printf('%.3f', link_length / text_length)::DOUBLE AS link_density,
+    printf('%.2f', (text_length + 80 * paragraphs + 12 * punctuation + 40 * structural_elements)
+          * (1 - least(link_length / text_length, 0.9::DOUBLE)))::DOUBLE AS score
   FROM c),
 r AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, cand_ord) AS place FROM s)

@@ -24,6 +24,7 @@ from pagesmelt.fixed_values import (
     STRUCTURE_POINTS,
     STRUCTURE_TAGS,
 )
+from pagesmelt.functions.numbers import round_exact
 from pagesmelt.functions.text import class_tokens
 from pagesmelt.operators.nodes import is_run, joined_length, run_length, with_closes
 
@@ -120,11 +121,11 @@ def with_features(totals: DataFrame) -> DataFrame:
             "punctuation": F.col("t_punctuation").cast("int"),
             "structural_elements": F.col("t_structure").cast("int")})
         .withColumn("_density", density)
+        .withColumn("_score", points * (
+            1 - F.least(F.col("_density"), F.lit(MAX_DENSITY_DISCOUNT))))
         .withColumns({
-            "score": F.round(
-                points * (1 - F.least(F.col("_density"), F.lit(MAX_DENSITY_DISCOUNT))), 2),
-            "link_density": F.round("_density", 3)})
-        .drop("_density", "t_chars", "t_runs", "t_link_chars", "t_paragraphs", "t_structure",
+            "score": round_exact("_score", 2), "link_density": round_exact("_density", 3)})
+        .drop("_density", "_score", "t_chars", "t_runs", "t_link_chars", "t_paragraphs", "t_structure",
               "t_punctuation"))
 
 
@@ -195,12 +196,15 @@ def dom_choice(candidates: DataFrame) -> DataFrame:
             F.col("_root")["pre"].alias("root_pre"), F.col("_root")["post"].alias("root_post")))
 
 
-def dom_reason(best: Column, after_readability: bool) -> Column:
+def dom_reason(after_readability: bool) -> Column:
+    """Why the best candidate, the struct column ``best``, is taken or not."""
+    best = F.col("best")
+    density = round_exact("best.link_density", 2)
     return (
         F.when(best.isNull(), F.lit(REASON_NO_CANDIDATE))
         .when(best["text_length"] < MIN_TEXT_LENGTH,
               F.format_string(REASON_TOO_SHORT, best["text_length"]))
         .when(best["link_density"] > MAX_LINK_DENSITY,
-              F.format_string(REASON_LINK_DENSITY, best["link_density"]))
+              F.format_string(REASON_LINK_DENSITY, density))
         .when(~is_acceptable(best), F.lit(REASON_NO_STRUCTURE))
         .otherwise(F.lit(REASON_DOM_AFTER_READABILITY if after_readability else REASON_DOM)))

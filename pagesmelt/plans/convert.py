@@ -68,7 +68,7 @@ def choices(parsed: DataFrame, content: str) -> DataFrame:
         F.when(by_own, F.lit("readability")).when(by_dom, best["selector"]).otherwise(
             F.lit("full")).alias("selected"),
         F.when(by_own, F.lit(REASON_READABILITY)).otherwise(
-            dom_reason(best, after_readability)).alias("reason"),
+            dom_reason(after_readability)).alias("reason"),
         F.when(by_own, F.array(own)).otherwise(
             F.coalesce("candidates", F.array().cast(f"array<{CANDIDATE_TYPE}>"))
         ).alias("candidates"),
