@@ -15,12 +15,17 @@ from pagesmelt.fixed_values import (
 from pagesmelt.functions.text import class_tokens, text_trim
 from pagesmelt.operators.nodes import is_run
 
-_IN_ORDER = (
-    Window.partitionBy("page_id").orderBy("pre")
-    .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-_BACKWARD = (
-    Window.partitionBy("page_id").orderBy(F.desc("pre"))
-    .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+def _in_order() -> Window:
+    """From the start of the page to this node."""
+    return Window.partitionBy("page_id").orderBy("pre").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+
+
+def _backward() -> Window:
+    """From this node to the end of the page, as a running frame over the reversed order."""
+    return Window.partitionBy("page_id").orderBy(F.desc("pre")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
 
 
 def is_drop_tag() -> Column:
@@ -59,7 +64,7 @@ def in_marked_subtree(seed: Column) -> Column:
     Subtrees nest or are disjoint, so a node lies in a marked one exactly when the furthest end
     of the marked elements seen so far is behind it.  One running maximum, no self join.
     """
-    reach = F.max(F.when(seed, F.col("post"))).over(_IN_ORDER)
+    reach = F.max(F.when(seed, F.col("post"))).over(_in_order())
     return F.coalesce(reach >= F.col("pre"), F.lit(False))
 
 
@@ -68,7 +73,7 @@ def drop_subtrees(rows: DataFrame, seed: Column) -> DataFrame:
 
 
 def _next_position(condition: Column) -> Column:
-    return F.min(F.when(condition, F.col("pre"))).over(_BACKWARD)
+    return F.min(F.when(condition, F.col("pre"))).over(_backward())
 
 
 def drop_noise(rows: DataFrame) -> DataFrame:

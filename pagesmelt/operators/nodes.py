@@ -51,6 +51,11 @@ def _absolute_nodes(base_url: str) -> str:
           THEN named_struct({fields}) ELSE n END) END"""
 
 
+def shared(parsed: DataFrame) -> DataFrame:
+    """Parsed pages hash partitioned on ``page_id``: the exchange all operators reuse."""
+    return parsed.select("page_id", "nodes").repartition("page_id")
+
+
 def node_rows(parsed: DataFrame) -> DataFrame:
     """One row per element, text run or comment, hash partitioned on ``page_id``.
 
@@ -58,10 +63,7 @@ def node_rows(parsed: DataFrame) -> DataFrame:
     groupings on ``page_id`` further up add none.  Pages without nodes keep one row whose
     ``pre`` is null, so that no page is lost.
     """
-    return (
-        parsed.select("page_id", "nodes")
-        .repartition("page_id")
-        .select("page_id", F.inline_outer("nodes")))
+    return shared(parsed).select("page_id", F.inline_outer("nodes"))
 
 
 def page_links(pages: DataFrame, base_url: str = "url") -> DataFrame:

@@ -400,9 +400,9 @@ def _assembled(pages: DataFrame) -> DataFrame:
               ELSE '' END,
             regexp_extract(g.codes,
               r'(?:^|(?<=[)\]}c>(\[{o<]))([^)\]}c>(\[{o<]*+)(?:[(\[{o<][^)\]}c>]*+)?$', 1),
-            CASE regexp_extract(g.codes, r'^(?:.*[)\]}c>])?[^(\[{o<]*([(\[{o<])', 1)
+            CASE regexp_extract(g.codes, r'^[^(\[{o<]*+([(\[{o<])', 1)
               WHEN '(' THEN '2' WHEN '[' THEN '1' WHEN 'o' THEN 'w'
-              WHEN '<' THEN CASE WHEN g.codes RLIKE r'^(?:.*[)\]}c>])?[^(\[{o<]*<[.<]*[swo]'
+              WHEN '<' THEN CASE WHEN g.codes RLIKE r'^[^(\[{o<]*+<[.<]*+[swo]'
                                  THEN 's' ELSE '' END
               ELSE '' END), '.', '') END AS items))"""
     counted = r"""

@@ -17,7 +17,7 @@ from pagesmelt.operators.candidates import (
 )
 from pagesmelt.operators.clean import clean_nodes
 from pagesmelt.operators.metadata import page_metadata
-from pagesmelt.operators.nodes import node_rows, parse_pages
+from pagesmelt.operators.nodes import node_rows, parse_pages, shared
 from pagesmelt.operators.readability import readability_choice
 from pagesmelt.operators.render import apply_policies, render_markdown
 
@@ -42,6 +42,11 @@ def with_base_url(pages: DataFrame) -> DataFrame:
     return pages.withColumn("base_url", F.lit(None).cast("string"))
 
 
+def _every_page(parsed: DataFrame) -> DataFrame:
+    """All page numbers, partitioned like the node rows; reads no HTML."""
+    return parsed.select("page_id").repartition("page_id")
+
+
 def choices(parsed: DataFrame, content: str) -> DataFrame:
     """One row per page: the decision, and the subtrees to convert (null for the full page)."""
     _check("content", content, CONTENT)
@@ -54,8 +59,7 @@ def choices(parsed: DataFrame, content: str) -> DataFrame:
     clean = clean_nodes(node_rows(parsed))
     dom = dom_choice(content_candidates(clean))
     # Pages may have no candidate at all; they still get their decision.
-    pages = parsed.select("page_id").repartition("page_id")
-    decided = pages.join(dom, "page_id", "left")
+    decided = _every_page(parsed).join(dom, "page_id", "left")
     best, own = F.col("best"), F.lit(None).cast(CANDIDATE_TYPE)
     own_roots: Column = F.lit(None).cast("array<int>")
     if after_readability:
@@ -116,15 +120,19 @@ def convert_parsed(
     rows = apply_policies(root_rows(clean, chosen), links, images)
     rendered = render_markdown(rows, language)
     # A page all of whose nodes were dropped has no rows left to render.
-    if front_matter:
-        heads = page_metadata(parsed, fetched_at=fetched_at).select(
-            "page_id", front_matter_text(F.col("metadata")).alias("_head"))
-    else:
-        heads = parsed.select("page_id")
     body = F.coalesce("markdown", F.lit("\n"))
-    return heads.repartition("page_id").join(rendered, "page_id", "left").select(
-        "page_id",
-        (F.concat("_head", body) if front_matter else body).alias("markdown"))
+    if not front_matter:
+        return _every_page(parsed).join(rendered, "page_id", "left").select(
+            "page_id", body.alias("markdown"))
+    if fetched_at is None:
+        heads = page_metadata(shared(parsed))
+    else:
+        heads = page_metadata(parsed, fetched_at=fetched_at).repartition("page_id")
+    head = front_matter_text(F.col("metadata"))
+    # Every page has metadata, so a left join would do; but it filters null keys on one side
+    # only, and two sides that differ no longer share the parse.
+    return heads.join(rendered, "page_id", "full").select(
+        "page_id", F.concat(head, body).alias("markdown"))
 
 
 def to_markdown(pages: DataFrame, **options) -> DataFrame:
