@@ -72,11 +72,11 @@ def _with(rows: DataFrame, **columns: str) -> DataFrame:
 def apply_policies(rows: DataFrame, links: str = "keep", images: str = "keep") -> DataFrame:
     """Keep, unwrap or strip links; keep, replace or strip images."""
     if links == "text":
-        rows = rows.where((F.col("kind") != "elem") | (F.col("tag") != "a"))
+        rows = rows.where(F.coalesce(F.col("tag") != "a", F.lit(True)))
     elif links == "strip":
         rows = drop_subtrees(rows, (F.col("kind") == "elem") & (F.col("tag") == "a"))
     if images == "strip":
-        rows = rows.where((F.col("kind") != "elem") | (F.col("tag") != "img"))
+        rows = rows.where(F.coalesce(F.col("tag") != "img", F.lit(True)))
     elif images == "alt":
         image = (F.col("kind") == "elem") & (F.col("tag") == "img")
         rows = rows.withColumns({
@@ -253,7 +253,7 @@ def _fragments(events: DataFrame) -> DataFrame:
     code = f"""
         CASE WHEN ev = 'text' THEN CASE WHEN in_pre > 0 THEN ''
                   WHEN blank AND lead_code = '' THEN 's' ELSE lead_code END
-             WHEN ev = 'comment' OR in_pre > 0 THEN '.'
+             WHEN ev IN ('comment', 'page') OR in_pre > 0 THEN '.'
              WHEN ev = 'void' THEN CASE tag WHEN 'hr' THEN '(' WHEN 'img' THEN ''
                   WHEN 'br' THEN CASE WHEN inline THEN 'w' ELSE 'r' END ELSE '.' END
              WHEN {_IS_CELL} THEN {either('', '}')}
@@ -299,7 +299,7 @@ def _fragments(events: DataFrame) -> DataFrame:
         CASE WHEN ev = 'text' THEN CASE WHEN in_pre > 0 THEN text WHEN blank THEN NULL
                   WHEN verbatim OR note.autolink THEN core
                   ELSE replace(replace(core, '*', r'\\*'), '_', r'\\_') END
-             WHEN ev = 'comment' THEN NULL
+             WHEN ev IN ('comment', 'page') THEN NULL
              WHEN tag = 'img' THEN CASE WHEN inline THEN coalesce(attrs['alt'], '')
                   ELSE concat('![', coalesce(attrs['alt'], ''), '](', coalesce(link, ''), _title,
                               ')') END

@@ -70,6 +70,8 @@ class _NodeWalker(HTMLParser):
         """Walk one page; on markup the tokenizer refuses, leave no rows and return False."""
         rows, attrs, boxes = len(self.columns["pre"]), len(self.attr_keys), len(self.box_values)
         self._new_page()
+        # The page itself: never dropped, so that every page keeps a row.
+        self._emit("page", None, None, False, False)
         try:
             self.feed(html)
             self.close()

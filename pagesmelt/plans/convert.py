@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagesmelt.fixed_values import REASON_FULL, REASON_READABILITY
+from pagesmelt.fixed_values import REASON_FULL, REASON_NO_CANDIDATE, REASON_READABILITY
 from pagesmelt.functions.urls import joined_output_path, output_name
 from pagesmelt.functions.yaml_text import front_matter as front_matter_text
 from pagesmelt.operators.candidates import (
@@ -42,68 +42,80 @@ def with_base_url(pages: DataFrame) -> DataFrame:
     return pages.withColumn("base_url", F.lit(None).cast("string"))
 
 
-def _every_page(parsed: DataFrame) -> DataFrame:
-    """All page numbers, partitioned like the node rows; reads no HTML."""
-    return parsed.select("page_id").repartition("page_id")
+def _aligned(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Join two tables of the same parsed pages on ``page_id``, without another exchange.
+
+    Every page of ``right`` is in ``left``, so a left join would give the same rows.  It would
+    also filter null keys on one side only, and sides that differ no longer share the parse.
+    """
+    return left.join(right, "page_id", "full")
 
 
 def choices(parsed: DataFrame, content: str) -> DataFrame:
-    """One row per page: the decision, and the subtrees to convert (null for the full page)."""
-    _check("content", content, CONTENT)
-    if content == "full":
-        return parsed.select(
-            "page_id", F.lit("full").alias("selected"), F.lit(REASON_FULL).alias("reason"),
-            F.array().cast(f"array<{CANDIDATE_TYPE}>").alias("candidates"),
-            F.lit(None).cast("array<int>").alias("roots"))
-    after_readability = content in ("readability", "auto")
+    """Decisions and, as ``roots``, the subtrees to convert; null means the full page.
+
+    Pages without any candidate have no row; ``extraction_decisions`` adds them.
+    """
+    _check("content", content, CONTENT[1:])
     clean = clean_nodes(node_rows(parsed))
     dom = dom_choice(content_candidates(clean))
-    # Pages may have no candidate at all; they still get their decision.
-    decided = _every_page(parsed).join(dom, "page_id", "left")
     best, own = F.col("best"), F.lit(None).cast(CANDIDATE_TYPE)
     own_roots: Column = F.lit(None).cast("array<int>")
+    after_readability = content in ("readability", "auto")
     if after_readability:
-        decided = decided.join(readability_choice(root_rows(clean)), "page_id", "left")
+        dom = dom.join(readability_choice(root_rows(clean)), "page_id", "full")
         own, own_roots = F.col("own"), F.col("own_roots")
     by_own = F.coalesce(is_acceptable(own), F.lit(False))
     by_dom = F.coalesce(is_acceptable(best), F.lit(False))
-    return decided.select(
+    return dom.select(
         "page_id",
         F.when(by_own, F.lit("readability")).when(by_dom, best["selector"]).otherwise(
             F.lit("full")).alias("selected"),
         F.when(by_own, F.lit(REASON_READABILITY)).otherwise(
             dom_reason(after_readability)).alias("reason"),
-        F.when(by_own, F.array(own)).otherwise(
-            F.coalesce("candidates", F.array().cast(f"array<{CANDIDATE_TYPE}>"))
-        ).alias("candidates"),
+        F.when(by_own, F.array(own)).otherwise(F.col("candidates")).alias("candidates"),
         F.when(by_own, own_roots).when(by_dom, F.array("root_pre")).alias("roots"))
 
 
 def extraction_decisions(pages: DataFrame, content: str = "auto") -> DataFrame:
     """Mode, selected root, reason and candidates (best first) for every page."""
-    return choices(parse_pages(pages), content).select(
-        "page_id", F.lit(content).alias("requested_mode"), "selected", "reason", "candidates")
+    _check("content", content, CONTENT)
+    none = F.array().cast(f"array<{CANDIDATE_TYPE}>")
+    every = pages.select("page_id", F.lit(content).alias("requested_mode"))
+    if content == "full":
+        return every.select(
+            "*", F.lit("full").alias("selected"), F.lit(REASON_FULL).alias("reason"),
+            none.alias("candidates"))
+    chosen = choices(parse_pages(pages), content)
+    return every.repartition("page_id").join(chosen, "page_id", "left").select(
+        "page_id", "requested_mode",
+        F.coalesce("selected", F.lit("full")).alias("selected"),
+        F.coalesce("reason", F.lit(REASON_NO_CANDIDATE)).alias("reason"),
+        F.coalesce("candidates", none).alias("candidates"))
 
 
 def root_rows(clean: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
-    """Node rows below the chosen roots; below ``body``, or all of them, for a full page."""
+    """Node rows below the chosen roots; below ``body``, or all of them, for a full page.
+
+    The row of the page itself always stays.
+    """
     page = Window.partitionBy("page_id")
     in_order = page.orderBy("pre").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    itself = F.coalesce(F.col("kind") == "page", F.lit(True))
     body = F.min(F.when(F.col("tag") == "body", F.struct("pre", "post"))).over(page)
     rows = clean.withColumn("_body", body)
-    in_page = (
-        F.col("_body").isNull() | F.col("pre").isNull()
-        | F.col("pre").between(F.col("_body")["pre"], F.col("_body")["post"]))
+    in_page = itself | F.col("_body").isNull() | F.col("pre").between(
+        F.col("_body")["pre"], F.col("_body")["post"])
     if chosen is None:
         return rows.where(in_page).drop("_body")
-    joined = rows.join(chosen.select("page_id", "roots"), "page_id", "left")
+    joined = _aligned(rows, chosen.select("page_id", "roots"))
     is_root = F.coalesce(
         (F.col("kind") == "elem") & F.array_contains("roots", F.col("pre")), F.lit(False))
     reach = F.max(F.when(is_root, F.col("post"))).over(in_order)
     return (
         joined.withColumn("_reach", reach)
         .where(F.when(F.col("roots").isNull(), in_page).otherwise(
-            F.coalesce(F.col("_reach") >= F.col("pre"), F.lit(False))))
+            itself | F.coalesce(F.col("_reach") >= F.col("pre"), F.lit(False))))
         .drop("_body", "_reach", "roots"))
 
 
@@ -119,20 +131,15 @@ def convert_parsed(
     chosen = None if content == "full" else choices(parsed, content)
     rows = apply_policies(root_rows(clean, chosen), links, images)
     rendered = render_markdown(rows, language)
-    # A page all of whose nodes were dropped has no rows left to render.
-    body = F.coalesce("markdown", F.lit("\n"))
     if not front_matter:
-        return _every_page(parsed).join(rendered, "page_id", "left").select(
-            "page_id", body.alias("markdown"))
+        return rendered
     if fetched_at is None:
         heads = page_metadata(shared(parsed))
     else:
         heads = page_metadata(parsed, fetched_at=fetched_at).repartition("page_id")
     head = front_matter_text(F.col("metadata"))
-    # Every page has metadata, so a left join would do; but it filters null keys on one side
-    # only, and two sides that differ no longer share the parse.
-    return heads.join(rendered, "page_id", "full").select(
-        "page_id", F.concat(head, body).alias("markdown"))
+    return _aligned(heads, rendered).select(
+        "page_id", F.concat(head, "markdown").alias("markdown"))
 
 
 def to_markdown(pages: DataFrame, **options) -> DataFrame:

@@ -146,5 +146,6 @@ def test_pages_are_parsed_and_shuffled_once(spark):
     plan = exchanges(content_candidates(rows).agg(F.count("*")))
     assert plan.count("ArrowEvalPython") == 1
     assert plan.count("hashpartitioning(page_id") <= 2  # spreading the input, then the one exchange
-    for options in ({"content": "dom"}, {"content": "auto"}, {"front_matter": True}):
+    for options in ({"content": "dom"}, {"content": "auto"}, {"front_matter": True},
+                    {"content": "auto", "front_matter": True}):
         assert exchanges(to_markdown(source, **options)).count("ArrowEvalPython") == 1

@@ -130,8 +130,12 @@ def test_unknown_option(spark):
 
 
 def test_null_html_keeps_its_row(spark):
-    frame = spark.createDataFrame([(1, "u", None)], "page_id long, url string, html string")
-    assert [row.markdown for row in to_markdown(frame).collect()] == ["\n"]
+    frame = spark.createDataFrame(
+        [(1, "u", None), (2, "u", "<div class=ad>all dropped</div>")],
+        "page_id long, url string, html string")
+    for options in ({}, {"links": "text", "images": "strip"}, {"content": "auto"}):
+        found = to_markdown(frame, **options).orderBy("page_id").collect()
+        assert [(row.page_id, row.markdown) for row in found] == [(1, "\n"), (2, "\n")]
 
 
 def test_without_urls_links_stay(spark):
