@@ -44,8 +44,9 @@ def page_metadata(parsed: DataFrame, *, fetched_at: str | None = None) -> DataFr
     """``page_id`` and a struct of seven nullable strings for every parsed page.
 
     ``fetched_at`` names a timestamp column.  The canonical URL is absolute when the pages were
-    parsed with a base URL, else as written.  Hidden elements count, as nothing is dropped yet.  The few nodes that can matter are
-    filtered out of the array once, in a projection of their own.
+    parsed with a base URL, else as written.  Hidden elements count, as nothing is dropped yet.
+    The few nodes that can matter are filtered out of the array once, in a projection of their
+    own.
     """
     carried = [fetched_at] if fetched_at else []
     heads = parsed.select("page_id", *carried, "nodes", F.expr(_HEAD).alias("_head"))

@@ -37,6 +37,13 @@ def parse_pages(pages: DataFrame, base_url: str | None = None) -> DataFrame:
     return split.select(*others, F.expr(_absolute_nodes(base_url)).alias("nodes"))
 
 
+def parse_failures(pages: DataFrame) -> DataFrame:
+    """Pages whose markup the tokenizer refuses; they convert to an empty document."""
+    parsed = parse_pages(pages.select("page_id", "html").where("html IS NOT NULL"))
+    return parsed.where("nodes IS NULL").select(
+        "page_id", F.lit("markup cannot be parsed").alias("error"))
+
+
 def _absolute_nodes(base_url: str) -> str:
     """The ``nodes`` array with the URL attributes of its elements resolved."""
     attrs = f"""transform_values(n.attrs, (k, v) -> CASE

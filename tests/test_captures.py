@@ -65,6 +65,17 @@ def test_meaningful(spark, html, expected):
     assert meaningful_pages(frame).first().meaningful is expected
 
 
+def test_refused_markup_is_reported(spark):
+    from pagesmelt import to_markdown
+    from pagesmelt.operators.nodes import parse_failures
+    frame = spark.createDataFrame(
+        [(1, "a<![what[x]]>b"), (2, "fine"), (3, None), (4, "after")],
+        "page_id long, html string").coalesce(1)
+    assert [r.page_id for r in parse_failures(frame).collect()] == [1]
+    found = {r.page_id: r.markdown for r in to_markdown(frame).collect()}
+    assert found == {1: "\n", 2: "fine\n", 3: "\n", 4: "after\n"}
+
+
 def captures(spark, method, strict=False):
     requests = read_url_list(spark, urls=["u", "u", "v", "w"])
     static = spark.createDataFrame(

@@ -9,7 +9,7 @@ BASE = "https://example.org/guide/part/"
 # name: (html, expected Markdown without its final line break)
 DEFAULT = {
     "empty": ("", ""),
-    "null_byte_free_text": ("just text", "just text"),
+    "plain_text": ("just text", "just text"),
     "article": (
         "<html><head><title>T</title><style>a{}</style><script>let x='<p>';</script></head><body>\n"
         "  <header>Site</header>\n  <main>\n    <h1>Big\n news</h1>\n    <p>One,   two.</p>\n"
