@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesmelt.llm.decontaminate import find_leaks
+from pagesmelt.llm.embedding_passes import near_vectors
+from pagesmelt.llm.ngram_join import similar_documents
 from pagesmelt.llm.secrets import scan_secrets, span_digest
 from pagesmelt.llm.shards import assign_shards, even_tree, grown_tree
 from pagesmelt.llm.token_counts import count_tokens
@@ -25,6 +27,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return encode_decode(_table(spark, sf_dir, "documents"), path, digests=True)
@@ -35,6 +41,11 @@ def op4_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents"), tree, grown_tree(tree))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = similar_documents(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("_id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op8_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -61,7 +72,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     query.__name__: query for query in (
-        op2_trie_bpe, op4_hash_tree, op8_suffix_automaton, op9_token_counts, op10_secret_scan)}
+        op1_projection_passes, op2_trie_bpe, op4_hash_tree, op6_ngram_join, op8_suffix_automaton,
+        op9_token_counts, op10_secret_scan)}
 
 _FOLD_AZ = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -98,3 +110,43 @@ SELECT doc_id, cast(len(words) AS bigint) AS n_words, coalesce(n_hit, 0) AS n_hi
   coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+ORACLES["op1_projection_passes"] = """
+WITH RECURSIVE valid AS (
+  SELECT vec_id, label, cast(embedding AS double[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x FOR x IN embedding IF x <> 0]) > 0),
+link AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM valid a JOIN valid b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (
+  SELECT vec_id AS u, vec_id AS w FROM embeddings
+  UNION SELECT reach.u, link.w FROM reach JOIN link ON reach.w = link.u),
+least AS (SELECT u, min(w) AS component_id FROM reach GROUP BY u),
+degree AS (SELECT u, count(*) AS n_links FROM link GROUP BY u)
+SELECT e.vec_id, coalesce(n_links, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN least ON least.u = e.vec_id LEFT JOIN degree ON degree.u = e.vec_id
+"""
+
+ORACLES["op6_ngram_join"] = rf"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all({_FOLD_AZ.format("coalesce(text, '')")},
+    '[^\x20\x09-\x0D]+') AS words FROM documents),
+gram AS (
+  SELECT DISTINCT doc_id, array_to_string(words[p:p + 2], ' ') AS g
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 1) + 1)) AS p
+        FROM doc WHERE len(words) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id),
+link AS (
+  SELECT a.doc_id AS u, b.doc_id AS w FROM gram a JOIN gram b
+  ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN size s ON s.doc_id = a.doc_id JOIN size t ON t.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, s.n, t.n HAVING 100 * count(*) >= 90 * (s.n + t.n - count(*))),
+reach AS (
+  SELECT doc_id AS u, doc_id AS w FROM documents
+  UNION SELECT reach.u, link.w FROM reach JOIN link ON reach.w = link.u),
+least AS (SELECT u, min(w) AS component_id FROM reach GROUP BY u)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM documents d JOIN least ON least.u = d.doc_id LEFT JOIN size ON size.doc_id = d.doc_id
+"""
