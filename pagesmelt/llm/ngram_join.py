@@ -3,8 +3,8 @@
 Documents are rows and n-grams columns of an incidence matrix; the product of the matrix with its
 transpose counts overlaps.  Only the columns of a row's prefix are multiplied: with all n-grams in
 one order, two rows that are alike share one in their first ``n - ceil(t * n) + 1``.  Spark blocks
-the columns by hash.  Pairs whose sizes, or whose overlap so far and what is left, cannot reach
-the bound are discarded before whole sets are compared.
+the columns by hash.  Pairs whose sizes, or whose overlap within the prefixes and what lies beyond,
+cannot reach the bound are discarded before whole sets are compared.
 """
 
 from __future__ import annotations
@@ -21,9 +21,13 @@ from pagesmelt.llm import common
 from pagesmelt.llm.common import components, per_batch, written
 
 WIDTH, PERCENT = 3, 90
-#: Columns with more entries than this go last in the order, the heaviest so many of them.  Any order
+#: The heaviest columns, so many, of those with more entries than this go last in the order.  Any order
 #: gives the same links; this one keeps shared passages out of the prefixes.
 HEAVY_FROM, HEAVY_COLUMNS = 64, 65_536
+#: Added to a heavy number, which so sorts last.
+LATE = 1 << 62
+#: Size of the filter for texts that are read again; a fuller one lets more through, never less.
+FILTER_BITS = 1 << 25
 #: Words whose hashes a Python worker keeps.
 KEPT_WORDS = 500_000
 # Fixed odd multipliers, one per place of an n-gram.
@@ -35,7 +39,7 @@ PLACES = np.array(
 class Shingler:
     """Texts to sorted arrays of distinct n-gram numbers.
 
-    A number is 5 bits that fall with the length of the n-gram's words, then 58 bits of hash: its
+    A number is 4 bits that fall with the length of the n-gram's words, then 58 bits of hash: its
     order puts long, hence rare, n-grams first.
     """
 
@@ -64,18 +68,17 @@ class Shingler:
         for place in range(width):
             grams += hashes[place:place + count] * PLACES[place]
             length += sizes[place:place + count]
-        rarity = (31 - np.minimum(length // 2, 31)).astype(np.uint64)
+        rarity = (15 - np.minimum(length // 3, 15)).astype(np.uint64)
         return np.unique(((rarity << np.uint64(58)) | (grams >> np.uint64(6))).astype(np.int64))
 
     def prefix(self, numbers: np.ndarray, percent: int) -> np.ndarray:
-        """The first ``n - ceil(n * percent / 100) + 1`` numbers, heavy ones last in the order."""
-        count = len(numbers) - math.ceil(len(numbers) * percent / 100) + 1
+        """The first ``n - ceil(n * percent / 100) + 1`` numbers, the heavy ones marked and late."""
         if len(numbers) == 0:
             return numbers
+        count = len(numbers) - math.ceil(len(numbers) * percent / 100) + 1
         if len(self.heavy):
             place = np.minimum(np.searchsorted(self.heavy, numbers), len(self.heavy) - 1)
-            late = self.heavy[place] == numbers
-            numbers = np.concatenate((numbers[~late], numbers[late]))
+            numbers = np.sort(np.where(self.heavy[place] == numbers, numbers + LATE, numbers))
         return numbers[:count]
 
 
@@ -95,11 +98,23 @@ def _signatures(docs: DataFrame, shingler: Shingler, percent: int) -> DataFrame:
         docs, f"_id {kind}, _key long, n int, fp binary, prefix array<long>", work)
 
 
-def _heavy(signatures: DataFrame) -> np.ndarray:
-    """The heaviest columns of the prefixes, ascending; bounded by ``HEAVY_COLUMNS``."""
-    counted = signatures.select(F.explode("prefix").alias("gram")).groupBy("gram").count()
-    rows = counted.where(F.col("count") > HEAVY_FROM).orderBy(
-        F.desc("count"), "gram").limit(HEAVY_COLUMNS).select("gram").collect()
+def _heavy(docs: DataFrame, shingler: Shingler, percent: int) -> np.ndarray:
+    """The heaviest columns of all prefixes, ascending; bounded by ``HEAVY_COLUMNS``.
+
+    Of a batch's columns those that repeat in it are counted on.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(shingler)
+
+    def work(batch: dict) -> dict:
+        prefixes = [sent.value.prefix(sent.value.numbers(t), percent) for t in batch["_text"]]
+        grams, counts = np.unique(
+            np.concatenate([*prefixes, np.empty(0, dtype=np.int64)]), return_counts=True)
+        return {"gram": grams[counts > 1], "many": counts[counts > 1]}
+
+    counted = per_batch(docs.select("_text"), "gram long, many long", work)
+    rows = counted.groupBy("gram").agg(F.sum("many").alias("many")).where(
+        F.col("many") > HEAVY_FROM).orderBy(
+        F.desc("many"), "gram").limit(HEAVY_COLUMNS).select("gram").collect()
     return np.array(sorted(row.gram for row in rows), dtype=np.int64)
 
 
@@ -113,27 +128,55 @@ def _near(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame, shingler: Shingler) -> DataFrame:
-    """``(node, n, grams)``: all n-grams of the texts that stand for the wanted nodes."""
-    sent = docs.sparkSession.sparkContext.broadcast(shingler)
-    rows = docs.select(_name("_id"), "_key", "_text").join(
-        wanted.select("node", _name("_id"), "_key"), ["_name", "_key"]).select("node", "_text")
+def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows whose ``_key`` may be in ``wanted``, by a bitmap of fixed size: no text is moved."""
+    place = F.pmod(F.col("_key"), F.lit(FILTER_BITS)) + 1
+    bitmap = wanted.select(place.alias("place")).groupBy(
+        F.bitmap_bucket_number("place").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("_bits"))
+    bit = F.bitmap_bit_position(place)
+    return (
+        docs.withColumns({"_bucket": F.bitmap_bucket_number(place), "_at": bit})
+        .join(F.broadcast(bitmap), "_bucket")  # FILTER_BITS bits at most
+        .where("shiftright(cast(conv(hex(substring(_bits, cast(_at div 8 + 1 AS int), 1)), 16, 10) "
+               "AS int), cast(_at % 8 AS int)) & 1 = 1")
+        .drop("_bucket", "_bits", "_at"))
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int):
+    """The pairs ``(u, v)`` of nodes whose whole sets are alike.
+
+    First the prefixes are compared: up to the lesser last number of the two, all that is shared is in
+    both, so the overlap is at most that and what lies beyond.  The texts of the pairs that are left
+    are read again for their whole sets.
+    """
+    part = nodes.select("node", "n", "prefix")
+    left, right = (part.toDF(*(f"{side}_{name}" for name in part.columns)) for side in "ab")
+    shared = F.size(F.array_intersect("a_prefix", "b_prefix"))
+    beyond = F.when(
+        F.element_at("a_prefix", -1) <= F.element_at("b_prefix", -1),
+        F.col("a_n") - F.size("a_prefix")).otherwise(F.col("b_n") - F.size("b_prefix"))
+    pairs = written(
+        pairs.join(left, F.col("u") == F.col("a_node")).join(right, F.col("v") == F.col("b_node"))
+        .where((shared + beyond) * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent)
+        .select("u", "v"))
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    wanted = written(nodes.join(needed, "node").select("node", "_id", "_key"))
+    texts = _only(docs, wanted).select(_name("_id"), "_key", "_text").join(
+        wanted.select("node", _name("_id"), "_key"), ["_name", "_key"]).groupBy(
+        "_name", "_key", "node").agg(F.first("_text").alias("_text"))
+    sent = docs.sparkSession.sparkContext.broadcast(Shingler(width, np.empty(0, dtype=np.int64)))
 
     def work(batch: dict) -> dict:
         return {"node": batch["node"],
                 "grams": [sent.value.numbers(text) for text in batch["_text"]]}
 
-    return written(
-        per_batch(rows, "node long, grams array<long>", work).dropDuplicates(["node"]))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(u, v)`` whose whole sets are alike."""
+    sets = written(per_batch(texts.select("node", "_text"), "node long, grams array<long>", work))
     left = sets.select(F.col("node").alias("u"), F.col("grams").alias("a"))
     right = sets.select(F.col("node").alias("v"), F.col("grams").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
-    return pairs.join(left, "u").join(right, "v").where(
-        both * 100 >= (F.size("a") + F.size("b") - both) * percent).select("u", "v")
+    return written(pairs.join(left, "u").join(right, "v").where(
+        both * 100 >= (F.size("a") + F.size("b") - both) * percent).select("u", "v"))
 
 
 def similar_documents(
@@ -155,23 +198,20 @@ def similar_documents(
     """
     docs = docs.selectExpr(f"`{id_column}` AS _id", f"`{text_column}` AS _text").withColumn(
         "_key", F.xxhash64("_text"))
-    plain = Shingler(width, np.empty(0, dtype=np.int64))
-    shingler = Shingler(width, _heavy(_signatures(docs, plain, percent)))
-    rows = written(_signatures(docs, shingler, percent))
+    heavy = _heavy(docs, Shingler(width, np.empty(0, dtype=np.int64)), percent)
+    rows = written(_signatures(docs, Shingler(width, heavy), percent))
     nodes = written(
         rows.where("n > 0").groupBy("fp").agg(
             F.min(F.struct("_id", "_key")).alias("who"), F.min("_id").alias("least_id"),
             F.first("n").alias("n"), F.first("prefix").alias("prefix"))
         .select("fp", "who.*", "least_id", "n", "prefix",
                 F.monotonically_increasing_id().alias("node")))
-    size_class = F.floor(F.log("n") / F.lit(math.log(100 / percent)) + F.lit(1e-9))
-    cells = nodes.select("node", "n", size_class.alias("level"), F.posexplode("prefix").alias(
-        "place", "gram"))
+    cells = nodes.select("node", F.explode("prefix").alias("gram"))
     shared = cells.groupBy("gram").agg(F.count("*").alias("many")).where("many > 1")
-    live = written(cells.join(shared.select("gram"), "gram"))
-    sets = _whole_sets(
-        docs, live.select("node").distinct().join(nodes.select("node", "_id", "_key"), "node"),
-        plain)
+    size_class = F.floor(F.log("n") / F.lit(math.log(100 / percent)) + F.lit(1e-9))
+    live = written(
+        cells.join(shared.select("gram"), "gram").join(
+            nodes.select("node", "n", size_class.alias("level")), "node"))
 
     leads = live.groupBy("gram", "level").agg(F.min(F.struct("node", "n")).alias("lead"))
     targets = leads.union(leads.select("gram", (F.col("level") - 1).alias("level"), "lead"))
@@ -180,7 +220,7 @@ def similar_documents(
         .where(F.col("node") != F.col("lead.node")).where(_near(F.col("n"), F.col("lead.n"), percent))
         .select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v"))
         .distinct())
-    links = written(_verified(first, sets, percent))
+    links = _verified(first, nodes, docs, width, percent)
     roots = written(components(links))
 
     placed = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -188,20 +228,12 @@ def similar_documents(
         F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     rest = written(placed.join(open_columns.select("gram"), "gram"))
     a, b = rest.alias("a"), rest.alias("b")
-    least_overlap = F.ceil((F.col("a.n") + F.col("b.n")) * percent / F.lit(100.0 + percent) - 1e-9)
-    left_over = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
     second = (
         a.join(b, "gram").where("a.node < b.node AND a.root <> b.root")
         .where(_near(F.col("a.n"), F.col("b.n"), percent))
-        .select(
-            F.col("a.node").alias("u"), F.col("b.node").alias("v"), least_overlap.alias("least"),
-            left_over.alias("left"))
-        .groupBy("u", "v").agg(
-            F.count("*").alias("overlap"), F.min("left").alias("left"), F.first("least").alias("least"))
-        # the last shared column is counted in both
-        .where("overlap + left - 1 >= least").select("u", "v")
+        .select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
         .join(first, ["u", "v"], "left_anti"))
-    final = components(links.union(_verified(second, sets, percent)))
+    final = components(links.union(_verified(second, nodes, docs, width, percent)))
 
     reached = nodes.select("fp", "node", "least_id").join(final, "node", "left").withColumn(
         "root", F.coalesce("root", "node"))
