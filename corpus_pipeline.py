@@ -7,10 +7,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagesmelt.llm.common import written
 from pagesmelt.llm.decontaminate import remove_leaks
+from pagesmelt.llm.ngram_join import drop_near_copies
 from pagesmelt.llm.secrets import redact
+from pagesmelt.llm.site_quality import keep_good
 from pagesmelt.llm.trie_bpe import encode_decode
 
 
+def judge(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: documents of low quality and toxic ones go."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: one document of each group stays, by five words and a similarity of 0.8."""
+    return drop_near_copies(docs)
+
+
 def clean_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: benchmark passages are cut out; documents that are little else go."""
     return remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -27,6 +39,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality_classifier", judge),
+    ("ngram_jaccard_join", one_of_each),
     ("benchmark_decontamination", clean_benchmarks),
     ("secret_scan", mask_secrets),
     ("bpe", encode),

@@ -12,11 +12,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagesmelt.llm.crf_language import identify_languages
 from pagesmelt.llm.decontaminate import find_leaks
 from pagesmelt.llm.embedding_passes import near_vectors
+from pagesmelt.llm.neural_lm import score_texts
 from pagesmelt.llm.ngram_join import similar_documents
 from pagesmelt.llm.secrets import scan_secrets, span_digest
 from pagesmelt.llm.shards import assign_shards, even_tree, grown_tree
+from pagesmelt.llm.site_quality import judge_documents
 from pagesmelt.llm.token_counts import count_tokens
 from pagesmelt.llm.trie_bpe import encode_decode
 
@@ -36,16 +39,28 @@ def op2_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_table(spark, sf_dir, "documents"), path, digests=True)
 
 
+def op3_neural_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op4_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = even_tree(2, 2, 2)
     return assign_shards(_table(spark, sf_dir, "documents"), tree, grown_tree(tree))
 
 
+def op5_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = similar_documents(_table(spark, sf_dir, "documents"))
     return found.select(F.col("_id").alias("doc_id"), "n_shingles", "component_id")
 
 
+def op7_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -72,8 +87,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     query.__name__: query for query in (
-        op1_projection_passes, op2_trie_bpe, op4_hash_tree, op6_ngram_join, op8_suffix_automaton,
-        op9_token_counts, op10_secret_scan)}
+        op1_projection_passes, op2_trie_bpe, op3_neural_lm, op4_hash_tree, op5_site_quality,
+        op6_ngram_join, op7_crf_language, op8_suffix_automaton, op9_token_counts, op10_secret_scan)}
 
 _FOLD_AZ = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
