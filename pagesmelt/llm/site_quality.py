@@ -85,25 +85,33 @@ def different(texts: list[str]) -> list[int]:
     return kept
 
 
-def telling_words(found: list[set[bytes]], wanted: np.ndarray) -> list[bytes]:
-    """Words more frequent with the label than chance allows: a likelihood-ratio test of each.
+def names_of(text: str) -> set[bytes]:
+    words = words_of(text)
+    return words.union(*(starts_of(words, size) for size in STARTS))
 
-    The threshold rises with the number of words tried.
+
+def telling_numbers(found: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
+    """Names, as CRCs, more frequent with the label than chance allows: a likelihood-ratio test of each.
+
+    The threshold rises with the number of names tried.
     """
     total, own = len(found), int(wanted.sum())
-    every = Counter(word for words in found for word in words)
-    with_it = Counter(word for words, hit in zip(found, wanted) if hit for word in words)
-    tried = [word for word, n in every.items() if n >= WORD_FROM]
-    if not tried or own in (0, total):
-        return []
-    n, a = (np.array([c[w] for w in tried], dtype=np.float64) for c in (every, with_it))
+    if own in (0, total):
+        return np.empty(0, dtype=np.uint32)
+    tried, n = np.unique(np.concatenate(found), return_counts=True)
+    tried, n = tried[n >= WORD_FROM], n[n >= WORD_FROM].astype(np.float64)
+    hits, counts = np.unique(
+        np.concatenate([one for one, hit in zip(found, wanted) if hit]), return_counts=True)
+    a = np.zeros(len(tried))
+    common, here, there = np.intersect1d(tried, hits, assume_unique=True, return_indices=True)
+    a[here] = counts[there]
     cells = np.stack((a, n - a, own - a, total - own - n + a))
     expected = np.stack((n * own, n * (total - own), (total - n) * own,
                          (total - n) * (total - own))) / total
     ratio = 2 * (cells * np.log(np.maximum(cells, 1e-9) / np.maximum(expected, 1e-9))).sum(axis=0)
-    good = (ratio >= 2 * np.log(len(tried)) + 6) & (a / own > n / total)
+    good = (ratio >= 2 * np.log(max(len(tried), 1)) + 6) & (a / own > n / total)
     best = np.argsort(-ratio[good], kind="stable")[:MOST_WORDS]
-    return [tried[k] for k in np.flatnonzero(good)[best]]
+    return np.sort(tried[good][best])
 
 
 class Classifiers:
@@ -116,17 +124,23 @@ class Classifiers:
     def fit(self, texts: list[str], targets: np.ndarray) -> None:
         """Per head, AdaGrad on the regularised log-likelihood over telling words and the form."""
         kept = different(texts)
-        found = [words_of(texts[k]) for k in kept]
-        found = [words.union(*(starts_of(words, size) for size in STARTS)) for words in found]
-        forms = [shape(texts[k]) for k in kept]
+        texts, targets = [texts[k] for k in kept], targets[kept]
+        found = [
+            np.unique(np.fromiter(map(zlib.crc32, names_of(text)), dtype=np.uint32))
+            for text in texts]
+        told = [telling_numbers(found, targets[:, head]) for head in range(len(HEADS))]
+        every = set(np.concatenate(told).tolist()) if texts else set()
+        spelled = [
+            [name for name in sorted(names_of(text)) if zlib.crc32(name) in every] for text in texts]
+        forms = [shape(text) for text in texts]
         self.weights, self.telling = {}, set()
         for head in range(len(HEADS)):
-            wanted = targets[kept, head]
-            number: dict = {word: k for k, word in enumerate(telling_words(found, wanted))}
+            wanted, own_names = targets[:, head], set(told[head].tolist())
+            number: dict = {}
             rows = [
-                [number[word] for word in words if word in number]
-                + [number.setdefault(name, len(number)) for name in form]
-                for words, form in zip(found, forms)]
+                [number.setdefault(name, len(number)) for name in
+                 [*(word for word in words if zlib.crc32(word) in own_names), *form]]
+                for words, form in zip(spelled, forms)]
             if not rows:
                 continue
             flat = np.concatenate([np.array(row) for row in rows])
@@ -145,10 +159,7 @@ class Classifiers:
 
     def logits(self, text: str | None) -> np.ndarray:
         known, total = self.weights, np.zeros(len(HEADS))
-        words = words_of(text or "")
-        told = words & self.telling
-        for size in STARTS:
-            told |= starts_of(words, size) & self.telling
+        told = names_of(text or "") & self.telling
         for name in (*told, *shape(text or "")):
             found = known.get(name)
             if found is not None:
