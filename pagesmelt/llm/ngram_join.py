@@ -13,6 +13,7 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,12 @@ WIDTH, PERCENT = 3, 90
 HEAVY_FROM, HEAVY_COLUMNS = 64, 65_536
 #: Added to a heavy number, which so sorts last.
 LATE = 1 << 62
+#: So often the members of an open column are compared with one of them, drawn anew each time.
+ROUNDS = 2
+#: Open columns with more entries than this are multiplied in blocks of about so many documents.
+DENSE_FROM, BLOCK = 32, 512
+#: Columns of a block that are laid out at once.
+CHUNK = 2048
 #: Size of the filter for texts that are read again; a fuller one lets more through, never less.
 FILTER_BITS = 1 << 25
 #: Words whose hashes a Python worker keeps.
@@ -143,6 +150,86 @@ def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         .drop("_bucket", "_bits", "_at"))
 
 
+def _whole_sets(needed: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``(node, grams)``: all n-grams of the texts behind the nodes needed."""
+    wanted = written(nodes.join(needed, "node").select("node", "_id", "_key"))
+    texts = _only(docs, wanted).select(_name("_id"), "_key", "_text").join(
+        wanted.select("node", _name("_id"), "_key"), ["_name", "_key"]).groupBy(
+        "_name", "_key", "node").agg(F.first("_text").alias("_text"))
+    sent = docs.sparkSession.sparkContext.broadcast(Shingler(width, np.empty(0, dtype=np.int64)))
+
+    def work(batch: dict) -> dict:
+        return {"node": batch["node"],
+                "grams": [sent.value.numbers(text) for text in batch["_text"]]}
+
+    return written(per_batch(texts.select("node", "_text"), "node long, grams array<long>", work))
+
+
+def overlaps(grams: pa.Array, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Product of the incidence matrices of the rows ``left`` and ``right``: how much each two share.
+
+    Only n-grams of more than one row are laid out, ``CHUNK`` at a time.
+    """
+    row = np.repeat(np.arange(len(grams)), np.asarray(grams.value_lengths()))
+    _, column, many = np.unique(
+        np.asarray(grams.flatten()), return_inverse=True, return_counts=True)
+    again = many[column] > 1
+    row, column = row[again], (np.cumsum(many > 1) - 1)[column[again]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((len(left), len(right)), dtype=np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, CHUNK):
+        low, high = np.searchsorted(column, (start, start + CHUNK))
+        laid = np.zeros((len(grams), CHUNK), dtype=np.float32)
+        laid[row[low:high], column[low:high] - start] = 1
+        shared += laid[left] @ laid[right].T
+    return shared
+
+
+def _dense_links(rest: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int):
+    """Links between nodes that meet in columns of more than ``DENSE_FROM`` entries.
+
+    Nodes joined by such columns form clusters.  A cluster is cut in blocks of about ``BLOCK`` nodes, every
+    pair of blocks is one product, and only as many links leave it as keep its nodes together.
+    """
+    dense = rest.groupBy("gram").agg(F.count("*").alias("many"), F.min("node").alias("v")).where(
+        F.col("many") > DENSE_FROM)
+    clusters = components(rest.join(dense, "gram").select(F.col("node").alias("u"), "v"))
+    members = written(clusters.select("node", F.col("root").alias("cluster")).join(
+        rest.select("node", "root").distinct(), "node"))
+    sets = _whole_sets(members.select("node"), nodes, docs, width)
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    spread = members.join(sizes, "cluster").join(sets, "node").select(
+        "node", "root", "grams", "cluster",
+        F.pmod(F.xxhash64("node"), F.col("blocks")).alias("mine"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")).select(
+        "*", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+
+    def link(table: pa.Table) -> pa.Table:
+        node, root, mine, low, high = (
+            table.column(name).to_numpy() for name in ("node", "root", "mine", "low", "high"))
+        grams = table.column("grams").combine_chunks()
+        size = np.asarray(grams.value_lengths()).astype(np.float64)
+        left, right = np.flatnonzero(mine == low[0]), np.flatnonzero(mine == high[0])
+        shared = overlaps(grams, left, right).astype(np.float64)
+        union = size[left][:, None] + size[right][None, :] - shared
+        first, second = np.nonzero(
+            (shared * 100 >= union * percent) & (root[left][:, None] != root[right][None, :]))
+        first, second = left[first], right[second]
+        label = np.arange(len(node))
+        while True:  # every node takes the least number around it until none changes
+            before = label.copy()
+            np.minimum.at(label, first, label[second])
+            np.minimum.at(label, second, label[first])
+            if (label == before).all():
+                break
+        moved = label != np.arange(len(node))
+        return pa.table({"u": node[label[moved]], "v": node[moved]})
+
+    return written(
+        spread.groupBy("cluster", "low", "high").applyInArrow(link, "u long, v long"))
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int):
     """The pairs ``(u, v)`` of nodes whose whole sets are alike.
 
@@ -160,18 +247,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, p
         pairs.join(left, F.col("u") == F.col("a_node")).join(right, F.col("v") == F.col("b_node"))
         .where((shared + beyond) * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent)
         .select("u", "v"))
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    wanted = written(nodes.join(needed, "node").select("node", "_id", "_key"))
-    texts = _only(docs, wanted).select(_name("_id"), "_key", "_text").join(
-        wanted.select("node", _name("_id"), "_key"), ["_name", "_key"]).groupBy(
-        "_name", "_key", "node").agg(F.first("_text").alias("_text"))
-    sent = docs.sparkSession.sparkContext.broadcast(Shingler(width, np.empty(0, dtype=np.int64)))
-
-    def work(batch: dict) -> dict:
-        return {"node": batch["node"],
-                "grams": [sent.value.numbers(text) for text in batch["_text"]]}
-
-    sets = written(per_batch(texts.select("node", "_text"), "node long, grams array<long>", work))
+    sets = _whole_sets(
+        pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), nodes, docs, width)
     left = sets.select(F.col("node").alias("u"), F.col("grams").alias("a"))
     right = sets.select(F.col("node").alias("v"), F.col("grams").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
@@ -179,6 +256,15 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, p
         both * 100 >= (F.size("a") + F.size("b") - both) * percent).select("u", "v"))
 
 
+def _open_columns(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Entries with their new ``root``, of the columns in which components still meet."""
+    placed = rows.drop("root").join(roots, "node", "left").withColumn(
+        "root", F.coalesce("root", "node"))
+    still = placed.groupBy("gram").agg(
+        F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return written(placed.join(still.select("gram"), "gram"))
+
+
 def similar_documents(
     docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_column: str = "doc_id",
     text_column: str = "text",
@@ -190,11 +276,10 @@ def similar_documents(
     ``percent`` * union; ``component_id`` is the smallest id reachable by links (null ids do not
     count).  Null, empty and wordless texts link with nothing.  Repeated rows are equal texts.
 
-    Equal sets become one node first.  Then, in two rounds, nodes that share a column are
-    compared: each with the first node of its size class and the next, and after components are known,
-    every pair of different components that still shares one.  So a group of thousands of near
-    copies costs about one comparison a copy and column leader, and no pair that could join two
-    components is left out.
+    Equal sets become one node first.  Then, ``ROUNDS`` times, the nodes of a column are compared with one
+    of their size class and the next, and columns within one component are left.  Of the columns still
+    open, the dense ones are multiplied block by block, which emits no pairs; in the others every pair
+    of different components is compared.  No pair that could join two components is left out.
     """
     docs = docs.selectExpr(f"`{id_column}` AS _id", f"`{text_column}` AS _text").withColumn(
         "_key", F.xxhash64("_text"))
@@ -213,27 +298,35 @@ def similar_documents(
         cells.join(shared.select("gram"), "gram").join(
             nodes.select("node", "n", size_class.alias("level")), "node"))
 
-    leads = live.groupBy("gram", "level").agg(F.min(F.struct("node", "n")).alias("lead"))
-    targets = leads.union(leads.select("gram", (F.col("level") - 1).alias("level"), "lead"))
-    first = written(
-        live.join(targets, ["gram", "level"])
-        .where(F.col("node") != F.col("lead.node")).where(_near(F.col("n"), F.col("lead.n"), percent))
-        .select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v"))
-        .distinct())
-    links = _verified(first, nodes, docs, width, percent)
-    roots = written(components(links))
-
-    placed = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_columns = placed.groupBy("gram").agg(
-        F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    rest = written(placed.join(open_columns.select("gram"), "gram"))
+    links = tried = None
+    rest = live.withColumn("root", F.col("node"))
+    for turn in range(ROUNDS):
+        lead = F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(turn)))
+        leads = rest.groupBy("gram", "level").agg(lead.alias("lead"))
+        targets = leads.union(leads.select("gram", (F.col("level") - 1).alias("level"), "lead"))
+        pairs = (
+            rest.join(targets, ["gram", "level"]).where("root <> lead.root")
+            .where(_near(F.col("n"), F.col("lead.n"), percent))
+            .select(F.least("node", "lead.node").alias("u"),
+                    F.greatest("node", "lead.node").alias("v")).distinct())
+        if tried is not None:
+            pairs = pairs.join(tried, ["u", "v"], "left_anti")
+        pairs = written(pairs)
+        tried = pairs if tried is None else tried.union(pairs)
+        found = _verified(pairs, nodes, docs, width, percent)
+        links = found if links is None else links.union(found)
+        rest = _open_columns(rest, components(links))
+
+    links = links.union(_dense_links(rest, nodes, docs, width, percent))
+    sparse = rest.groupBy("gram").count().where(F.col("count") <= DENSE_FROM).select("gram")
+    rest = _open_columns(rest.join(sparse, "gram"), components(links))
     a, b = rest.alias("a"), rest.alias("b")
-    second = (
+    last = (
         a.join(b, "gram").where("a.node < b.node AND a.root <> b.root")
         .where(_near(F.col("a.n"), F.col("b.n"), percent))
         .select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
-        .join(first, ["u", "v"], "left_anti"))
-    final = components(links.union(_verified(second, nodes, docs, width, percent)))
+        .join(tried, ["u", "v"], "left_anti"))
+    final = components(links.union(_verified(last, nodes, docs, width, percent)))
 
     reached = nodes.select("fp", "node", "least_id").join(final, "node", "left").withColumn(
         "root", F.coalesce("root", "node"))
