@@ -186,48 +186,80 @@ def overlaps(grams: pa.Array, left: np.ndarray, right: np.ndarray) -> np.ndarray
     return shared
 
 
+def _forest(node: np.ndarray, first: np.ndarray, second: np.ndarray) -> pa.Table:
+    """As many edges as keep the nodes together that the given pairs of places join."""
+    label = np.arange(len(node))
+    while True:  # every node takes the least number around it until none changes
+        before = label.copy()
+        np.minimum.at(label, first, label[second])
+        np.minimum.at(label, second, label[first])
+        if (label == before).all():
+            break
+    moved = label != np.arange(len(node))
+    return pa.table({"u": node[label[moved]], "v": node[moved]})
+
+
+def _blocked(rows: DataFrame, group: str) -> DataFrame:
+    """Rows dealt to every pair of blocks of their group, ``low`` and ``high``."""
+    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = rows.join(sizes, group).select(
+        *rows.columns, F.pmod(F.xxhash64("node"), F.col("blocks")).alias("mine"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    return dealt.select(
+        *rows.columns, "mine", F.least("mine", "other").alias("low"),
+        F.greatest("mine", "other").alias("high"))
+
+
+def _product(table: pa.Table, column: str):
+    """Overlaps of a pair of blocks, and the places of their rows; same roots are of no interest."""
+    node, root, mine, low, high = (
+        table.column(name).to_numpy() for name in ("node", "root", "mine", "low", "high"))
+    grams = table.column(column).combine_chunks()
+    left, right = np.flatnonzero(mine == low[0]), np.flatnonzero(mine == high[0])
+    shared = overlaps(grams, left, right).astype(np.float64)
+    return node, grams, left, right, shared, root[left][:, None] != root[right][None, :]
+
+
 def _dense_links(rest: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int):
     """Links between nodes that meet in columns of more than ``DENSE_FROM`` entries.
 
-    Nodes joined by such columns form clusters.  A cluster is cut in blocks of about ``BLOCK`` nodes, every
-    pair of blocks is one product, and only as many links leave it as keep its nodes together.
+    First the prefixes of a column's nodes are multiplied: pairs that the bound lets through make
+    clusters.  Then the whole sets of a cluster are.  Both go block by block, every pair of blocks is a
+    product, and no more edges leave it than keep its nodes together.
     """
-    dense = rest.groupBy("gram").agg(F.count("*").alias("many"), F.min("node").alias("v")).where(
-        F.col("many") > DENSE_FROM)
-    clusters = components(rest.join(dense, "gram").select(F.col("node").alias("u"), "v"))
-    members = written(clusters.select("node", F.col("root").alias("cluster")).join(
-        rest.select("node", "root").distinct(), "node"))
-    sets = _whole_sets(members.select("node"), nodes, docs, width)
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    spread = members.join(sizes, "cluster").join(sets, "node").select(
-        "node", "root", "grams", "cluster",
-        F.pmod(F.xxhash64("node"), F.col("blocks")).alias("mine"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")).select(
-        "*", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+    dense = rest.groupBy("gram").agg(F.count("*").alias("many")).where(F.col("many") > DENSE_FROM)
+    columns = rest.join(dense.select("gram"), "gram").select("gram", "node", "root").join(
+        nodes.select("node", "n", "prefix"), "node")
+
+    def close(table: pa.Table) -> pa.Table:
+        node, grams, left, right, shared, apart = _product(table, "prefix")
+        n = table.column("n").to_numpy().astype(np.float64)
+        ends = np.asarray(grams.offsets)
+        last = np.asarray(grams.values)[ends[1:] - 1]
+        beyond = n - np.diff(ends)
+        bound = shared + np.where(
+            last[left][:, None] <= last[right][None, :], beyond[left][:, None], beyond[right][None, :])
+        a, b = n[left][:, None], n[right][None, :]
+        apart &= (np.minimum(a, b) * 100 >= np.maximum(a, b) * percent)
+        first, second = np.nonzero(apart & (bound * (100 + percent) >= (a + b) * percent))
+        return _forest(node, left[first], right[second])
 
     def link(table: pa.Table) -> pa.Table:
-        node, root, mine, low, high = (
-            table.column(name).to_numpy() for name in ("node", "root", "mine", "low", "high"))
-        grams = table.column("grams").combine_chunks()
+        node, grams, left, right, shared, apart = _product(table, "grams")
         size = np.asarray(grams.value_lengths()).astype(np.float64)
-        left, right = np.flatnonzero(mine == low[0]), np.flatnonzero(mine == high[0])
-        shared = overlaps(grams, left, right).astype(np.float64)
         union = size[left][:, None] + size[right][None, :] - shared
-        first, second = np.nonzero(
-            (shared * 100 >= union * percent) & (root[left][:, None] != root[right][None, :]))
-        first, second = left[first], right[second]
-        label = np.arange(len(node))
-        while True:  # every node takes the least number around it until none changes
-            before = label.copy()
-            np.minimum.at(label, first, label[second])
-            np.minimum.at(label, second, label[first])
-            if (label == before).all():
-                break
-        moved = label != np.arange(len(node))
-        return pa.table({"u": node[label[moved]], "v": node[moved]})
+        first, second = np.nonzero(apart & (shared * 100 >= union * percent))
+        return _forest(node, left[first], right[second])
 
+    edges = _blocked(columns, "gram").groupBy("gram", "low", "high").applyInArrow(
+        close, "u long, v long")
+    clusters = components(edges)
+    members = written(clusters.select("node", F.col("root").alias("cluster")).join(
+        rest.select("node", "root").distinct(), "node"))
+    sets = _whole_sets(members.select("node"), nodes, docs, width)
     return written(
-        spread.groupBy("cluster", "low", "high").applyInArrow(link, "u long, v long"))
+        _blocked(members.join(sets, "node"), "cluster").groupBy("cluster", "low", "high")
+        .applyInArrow(link, "u long, v long"))
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int):
