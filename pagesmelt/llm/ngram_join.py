@@ -35,8 +35,8 @@ DENSE_FROM, BLOCK = 32, 512
 CHUNK = 2048
 #: Size of the filter for texts that are read again; a fuller one lets more through, never less.
 FILTER_BITS = 1 << 25
-#: Words whose hashes a Python worker keeps.
-KEPT_WORDS = 500_000
+#: Words whose hashes are kept within a batch.
+KEPT_WORDS = 200_000
 # Fixed odd multipliers, one per place of an n-gram.
 PLACES = np.array(
     [int.from_bytes(hashlib.blake2b(b"place%d" % k, digest_size=8).digest(), "big") | 1
@@ -78,6 +78,12 @@ class Shingler:
         rarity = (15 - np.minimum(length // 3, 15)).astype(np.uint64)
         return np.unique(((rarity << np.uint64(58)) | (grams >> np.uint64(6))).astype(np.int64))
 
+    def sets(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Of a batch; nothing stays in the worker's memory after it."""
+        found = [self.numbers(text) for text in texts]
+        self.kept.clear()
+        return found
+
     def prefix(self, numbers: np.ndarray, percent: int) -> np.ndarray:
         """The first ``n - ceil(n * percent / 100) + 1`` numbers, the heavy ones marked and late."""
         if len(numbers) == 0:
@@ -94,7 +100,7 @@ def _signatures(docs: DataFrame, shingler: Shingler, percent: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(shingler)
 
     def work(batch: dict) -> dict:
-        sets = [sent.value.numbers(text) for text in batch["_text"]]
+        sets = sent.value.sets(batch["_text"])
         return {
             "_id": batch["_id"], "_key": batch["_key"], "n": [len(s) for s in sets],
             "fp": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
@@ -113,7 +119,7 @@ def _heavy(docs: DataFrame, shingler: Shingler, percent: int) -> np.ndarray:
     sent = docs.sparkSession.sparkContext.broadcast(shingler)
 
     def work(batch: dict) -> dict:
-        prefixes = [sent.value.prefix(sent.value.numbers(t), percent) for t in batch["_text"]]
+        prefixes = [sent.value.prefix(s, percent) for s in sent.value.sets(batch["_text"])]
         grams, counts = np.unique(
             np.concatenate([*prefixes, np.empty(0, dtype=np.int64)]), return_counts=True)
         return {"gram": grams[counts > 1], "many": counts[counts > 1]}
@@ -159,8 +165,7 @@ def _whole_sets(needed: DataFrame, nodes: DataFrame, docs: DataFrame, width: int
     sent = docs.sparkSession.sparkContext.broadcast(Shingler(width, np.empty(0, dtype=np.int64)))
 
     def work(batch: dict) -> dict:
-        return {"node": batch["node"],
-                "grams": [sent.value.numbers(text) for text in batch["_text"]]}
+        return {"node": batch["node"], "grams": sent.value.sets(batch["_text"])}
 
     return written(per_batch(texts.select("node", "_text"), "node long, grams array<long>", work))
 

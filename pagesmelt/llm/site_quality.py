@@ -178,7 +178,8 @@ def fit_classifiers(docs: DataFrame, labels: DataFrame) -> Classifiers:
         F.broadcast(sample), "_id").limit(2 * SAMPLE_DOCS).collect()
     rows = sorted((row._id, row._text, row.low, row.bad) for row in rows)
     model = Classifiers()
-    model.fit([row[1] for row in rows], np.array([row[2:] for row in rows], dtype=np.float64))
+    targets = np.array([row[2:] for row in rows], dtype=np.float64).reshape(-1, len(HEADS))
+    model.fit([row[1] for row in rows], targets)
     return model
 
 

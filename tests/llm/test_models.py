@@ -1,0 +1,212 @@
+"""Operators 1, 3, 5, 6 and 7 and the pipeline: brute force, held-out rows, odd rows."""
+
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from pagesmelt.llm import crf_language, neural_lm, ngram_join, site_quality
+from pagesmelt.llm.common import components
+from pagesmelt.llm.embedding_passes import near_vectors
+
+VECTORS = "vec_id long, embedding array<float>, label int, node string, n_links string"
+
+
+def roots_of(links, nodes):
+    root = {node: node for node in nodes}
+
+    def find(node):
+        while root[node] != node:
+            node = root[node]
+        return node
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {node: find(node) for node in nodes}
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(k, k + 1) for k in range(100, 140)] + [(7, k) for k in range(8, 40)] + [(3, 3)]
+    rows = components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert {r.node: r.root for r in rows} == {
+        **{k: 100 for k in range(100, 141)}, **{k: 7 for k in range(7, 40)}}
+    assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_vectors_agree_with_brute_force(spark):
+    draw = np.random.default_rng(2)
+    centres = draw.standard_normal((40, 16))
+    made = [centres[k % 40] + draw.normal(0, 0.06, 16) for k in range(360)]
+    made += [made[3]] * 4
+    rows = [(k, [float(np.float32(x)) for x in v], k % 40 % 3, "x", "y") for k, v in enumerate(made)]
+    odd = [None, [], [0.0] * 16, [None] + [1.0] * 15, [float("nan")] * 16, [float("inf")] + [1.0] * 15,
+           [1.0, 2.0]]
+    rows += [(1000 + k, v, 1, None, None) for k, v in enumerate(odd)]
+    rows += [(2000, rows[5][1], None, None, None), (None, rows[5][1], rows[5][2], None, None)]
+    found = {r.vec_id: r for r in near_vectors(spark.createDataFrame(rows, VECTORS)).collect()}
+    assert len(found) == len(rows)
+    units = np.array([v for _, v, *_ in rows[:364]], dtype=np.float64)
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows[:364]])
+    links = (units @ units.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(links, False)
+    degree = links.sum(axis=1) + (links[:, 5] | (np.arange(364) == 5))
+    roots = roots_of(zip(*np.nonzero(links)), range(364))
+    assert [found[k].n_links for k in range(364)] == degree.tolist()
+    assert [found[k].component_id for k in range(364)] == [roots[k] for k in range(364)]
+    assert all(found[k].kept == (roots[k] == k) for k in range(364))
+    assert all(found[k].n_links == 0 and found[k].kept for k in [*range(1000, 1007), 2000])
+    assert near_vectors(spark.createDataFrame([], VECTORS)).collect() == []
+
+
+def brute_groups(texts, width, percent):
+    sets = []
+    for text in texts:
+        words = (text or "").encode().lower().split()
+        size = min(width, len(words))
+        sets.append({tuple(words[k:k + size]) for k in range(len(words) - size + 1)} if words else set())
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and sets[b]
+             and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    return sets, roots_of(links, range(len(sets)))
+
+
+def copies(draw, count):
+    """Texts of a few families whose members differ in zero to many words."""
+    families = [[f"w{draw.randrange(900)}" for _ in range(draw.randrange(3, 90))] for _ in range(6)]
+    texts = []
+    for _ in range(count):
+        words = list(draw.choice(families))
+        for _ in range(draw.choice((0, 1, 1, 2, 4))):
+            words[draw.randrange(len(words))] = f"new{draw.randrange(50)}"
+        texts.append(" ".join(words).title())
+    return texts
+
+
+@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
+def test_similar_documents_agree_with_brute_force(make_docs, width, percent, monkeypatch):
+    monkeypatch.setattr(ngram_join, "DENSE_FROM", 6)  # both ways of comparing are taken
+    monkeypatch.setattr(ngram_join, "HEAVY_FROM", 5)
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "ROUNDS", 1)
+    texts = [*copies(random.Random(percent), 150), None, "", "one", "ONE", "one two", " \n ", "x " * 9_000]
+    sets, roots = brute_groups(texts, width, percent)
+    rows = ngram_join.similar_documents(make_docs(texts), width, percent).collect()
+    assert {r._id: (r.n_shingles, r.component_id) for r in rows} == {
+        k: (len(sets[k]), roots[k]) for k in range(len(texts))}
+
+
+def test_one_document_of_each_group_stays(make_docs, odd_docs, no_docs):
+    texts = ["a b c d e f g", "A B C D E F G", "other words are here now ok", None, None, ""]
+    docs = make_docs(texts)
+    kept = ngram_join.drop_near_copies(docs.union(docs.where("doc_id = 2")))
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3, 4, 5]
+    odd = ngram_join.drop_near_copies(odd_docs)
+    assert odd.columns == odd_docs.columns
+    assert sum(r.text == "same text here" for r in odd.collect()) == 1
+    assert ngram_join.drop_near_copies(no_docs).collect() == []
+
+
+def test_base_score_and_normalised_model(spark, make_docs, odd_docs, no_docs):
+    draw = random.Random(4)
+    texts = [" ".join(draw.choices("a b c d".split(), k=draw.randrange(30))) for _ in range(300)]
+    texts = [t.replace("a b", "a c") for t in texts] + ["rare Word", None, ""]
+    rows = {r.doc_id: r for r in neural_lm.score_texts(make_docs(texts)).collect()}
+    held = {k: zlib.crc32(str(k).encode()) % 10 == 0 for k in range(len(texts))}
+    tokens = [[*(w.decode() for w in neural_lm.words_of(t)), "\n"] for t in texts]
+    counts = Counter(w for k, words in enumerate(tokens) if not held[k] for w in words)
+    total, distinct = sum(counts.values()), len(counts)
+    for k, words in enumerate(tokens):
+        base = sum(math.log10((counts[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in words)
+        assert rows[k].held_out == held[k] and rows[k].train_tokens == total
+        assert rows[k].n_tokens == len(words) and rows[k].n_known == sum(counts[w] > 0 for w in words)
+        assert rows[k].base_score == pytest.approx(base, rel=1e-9)
+    tested = [k for k in held if held[k]]
+    assert sum(rows[k].score for k in tested) > sum(rows[k].base_score for k in tested)
+    table = neural_lm.train(np.array([[5.0, 1, 0], [0, 2, 9], [4, 0, 0]]))
+    assert np.exp(table).sum(axis=1) == pytest.approx(1)
+    assert neural_lm.score_texts(odd_docs).count() == odd_docs.count()
+    assert neural_lm.score_texts(no_docs).collect() == []
+
+
+def test_forward_backward_by_enumeration():
+    draw = np.random.default_rng(1)
+    emission, move, start = draw.random((5, 2)) + 0.1, draw.random((2, 2)) + 0.1, np.array([0.3, 0.7])
+    chains = [np.array([0, 1, 2]), np.array([3]), np.array([4, 0])]
+    laid = crf_language.Chains(chains)
+    found, moves = laid.marginals(emission, start, move)
+    expected_moves, rows = np.zeros((2, 2)), []
+    for chain in (chains[k] for k in laid.order):
+        weights = {}
+        for code in range(2 ** len(chain)):
+            path = [code >> k & 1 for k in range(len(chain))]
+            weight = start[path[0]] * emission[chain[0], path[0]]
+            for k in range(1, len(chain)):
+                weight *= move[path[k - 1], path[k]] * emission[chain[k], path[k]]
+            weights[tuple(path)] = weight
+        whole = sum(weights.values())
+        for k in range(len(chain)):
+            rows.append(sum(w for p, w in weights.items() if p[k] == 1) / whole)
+        for path, weight in weights.items():
+            for a, b in zip(path, path[1:]):
+                expected_moves[a, b] += weight / whole
+    assert found[:, 1] == pytest.approx(np.array(rows))
+    assert moves == pytest.approx(expected_moves)
+
+
+def test_languages_of_held_out_rows(spark, sf_dir, odd_docs, no_docs):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = {r.doc_id: r for r in crf_language.identify_languages(docs).collect()}
+    truth = {r.doc_id: r.lang for r in docs.collect()}
+    assert found.keys() == truth.keys()
+    held = [k for k in truth if zlib.crc32(str(k).encode()) % 4 == 2]
+    assert {k for k in found if found[k].held_out} == set(held)
+    assert sum(found[k].lang_pred == truth[k] for k in held) >= 0.95 * len(held)
+    assert all(0 <= r.score <= 1 for r in found.values())
+    odd = {r.doc_id: r for r in crf_language.identify_languages(odd_docs).collect()}
+    assert all(odd[k].lang_pred == "und" and odd[k].score == 0 for k in (None, 0, 1, 2, 3))
+    assert crf_language.identify_languages(no_docs).collect() == []
+
+
+def test_quality_of_rows_without_label(spark, make_docs, odd_docs, no_docs):
+    draw = random.Random(9)
+    words = [f"plain{k}" for k in range(300)]
+
+    def text(kind):
+        body = draw.choices(words, k=60)
+        if kind == 1:
+            body = [word.upper() + "!!" for word in body]
+        if kind == 2:
+            body[10:10] = draw.choices(["vilest", "rotten", "nasty"], k=4)
+        return " ".join(body)
+
+    kinds = [draw.choice((0, 0, 0, 1, 2)) for _ in range(500)]
+    docs = make_docs([text(kind) for kind in kinds])
+    labels = spark.createDataFrame(
+        [(k, int(kind != 1), int(kind == 2)) for k, kind in enumerate(kinds[:350])]
+        + [(None, 0, 0), (9_999, None, None), (1, None, None)], "doc_id long, quality int, toxic int")
+    rows = {r.doc_id: r for r in site_quality.judge_documents(docs, labels).collect()}
+    right = sum(rows[k].rejected == (kinds[k] != 0) for k in range(350, 500))
+    assert right >= 143
+    kept = site_quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {k for k in rows if not rows[k].rejected}
+    assert site_quality.judge_documents(odd_docs, labels).count() == odd_docs.count()
+    assert site_quality.judge_documents(odd_docs, labels.limit(0)).where("rejected").count() >= 0
+    assert site_quality.judge_documents(no_docs, labels).collect() == []
+    assert site_quality.keep_good(odd_docs, labels).columns == odd_docs.columns
+
+
+def test_pipeline_stages(spark, sf_dir, odd_docs, no_docs):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = corpus_pipeline.run(spark, sf_dir).collect()
+    ids = [r.doc_id for r in rows]
+    assert len(ids) == len(set(ids)) and 0.5 * docs.count() < len(ids) < docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, odd_docs, sf_dir).columns == odd_docs.columns, name
+        assert stage(spark, no_docs, sf_dir).collect() == [], name
