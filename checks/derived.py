@@ -17,7 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_pages(spark, f"{sf_dir}/pages.parquet")
+    return read_pages(
+        spark, f"{sf_dir}/pages.parquet", spark.sparkContext.defaultParallelism)
 
 
 _ESCAPED = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
@@ -64,9 +65,7 @@ SITE = "concat('https://site', doc_id % 7, '.example/docs/', doc_id, '/page.html
 def derived_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``page_id, url, html``: one page per document, a ninth of them empty app shells."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    cores = spark.sparkContext.defaultParallelism
-    if documents.rdd.getNumPartitions() < cores:
-        documents = documents.repartition(cores, "doc_id")
+    documents = documents.repartition(spark.sparkContext.defaultParallelism, "doc_id")
     return documents.selectExpr(
         "doc_id AS page_id", f"{SITE} AS url",
         f"CASE WHEN doc_id % 9 = 0 THEN {_SHELL} ELSE concat({_HEAD}, {_BODY}) END AS html")

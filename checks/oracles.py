@@ -381,7 +381,7 @@ ORACLES: dict[str, str] = {
         || CASE WHEN date_part('microsecond', ts)::BIGINT % 1000000 <> 0
                 THEN '.' || lpad((date_part('microsecond', ts)::BIGINT % 1000000)::VARCHAR, 6, '0')
                 ELSE '' END || '+00:00' AS fetched_at
-      FROM pages JOIN events ON event_id = page_id""",
+      FROM pages LEFT JOIN events ON event_id = page_id""",
     "front_matter": f"""{_with(_DOC, _META)}
       SELECT doc_id AS page_id, {_FRONT} AS front_matter FROM m""",
     "candidates": f"""{_with(_PARTS, _CANDIDATE)}

@@ -218,7 +218,7 @@ def metadata_given(spark, sf_dir):
 def metadata_fetched(spark, sf_dir):
     """Page titles with the time of the event that has the page's number."""
     times = table(spark, sf_dir, "events").selectExpr("event_id AS page_id", "ts AS fetched_at")
-    timed = pages(spark, sf_dir).select("page_id", "html").join(times, "page_id")
+    timed = pages(spark, sf_dir).select("page_id", "html").join(times, "page_id", "left")
     return page_metadata(parse_pages(timed), fetched_at="fetched_at").selectExpr(
         "page_id", "metadata.fetched_at")
 

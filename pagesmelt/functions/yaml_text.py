@@ -11,6 +11,8 @@ METADATA_FIELDS = (
 
 # A plain scalar: starts with a letter, ends in no space, holds nothing YAML gives a meaning to.
 _PLAIN = r"^\p{L}(?:[\p{L}\p{N} _./()%+-]*[\p{L}\p{N}_./()%+-])?$"
+# Control characters without a short escape of their own.
+_CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x80-\x84\x86-\x9f\x{FFFE}\x{FFFF}]"
 # --- fixed values: words YAML reads as something other than text ------------------------------
 _RESERVED = ("y", "n", "yes", "no", "on", "off", "true", "false", "null")
 
@@ -21,9 +23,14 @@ def yaml_scalar(column: Column) -> Column:
     for raw, escaped in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\x85", "\\N"),
                          ("\xa0", "\\_"), ("\u2028", "\\L"), ("\u2029", "\\P")):
         quoted = F.replace(quoted, F.lit(raw), F.lit(escaped))
-    # Other control characters cannot stand in YAML text at all.
-    quoted = F.regexp_replace(
-        quoted, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x80-\x84\x86-\x9f\x{FFFE}\x{FFFF}]", "\ufffd")
+    def escaped_control(character: Column) -> Column:
+        code = F.ascii(character)
+        return F.when(~character.rlike(_CONTROL), character).otherwise(F.when(
+            code > 255, F.concat(F.lit("\\u"), F.hex(code))).otherwise(
+            F.concat(F.lit("\\x"), F.lpad(F.hex(code), 2, "0"))))
+
+    quoted = F.when(quoted.rlike(_CONTROL), F.array_join(F.transform(
+        F.regexp_extract_all(quoted, F.lit("(?s)."), F.lit(0)), escaped_control), "")).otherwise(quoted)
     plain = column.rlike(_PLAIN) & ~F.lower(column).isin(*_RESERVED)
     return F.when(plain, column).otherwise(F.concat(F.lit('"'), quoted, F.lit('"')))
 

@@ -107,8 +107,9 @@ def _with_siblings(rows: DataFrame) -> DataFrame:
         return f"count_if({condition}) OVER ({_SIBLINGS}{frame})"
 
     so_far, everywhere = " ORDER BY pre ROWS UNBOUNDED PRECEDING", ""
-    span = ("greatest(1, least(1000, coalesce(CASE WHEN attrs['colspan'] RLIKE '^[0-9]{1,9}$' "
-            "THEN int(attrs['colspan']) END, 1)))")
+    # Fixed value: the published converter lays out at most 1000 columns.  Digits beyond any type clamp too.
+    span = ("CASE WHEN attrs['colspan'] RLIKE '^[0-9]+$' THEN int(greatest(1, least(1000, "
+            "coalesce(try_cast(attrs['colspan'] AS decimal(38, 0)), 1000)))) ELSE 1 END")
     return _with(
         _with(rows, span=f"CASE WHEN {_IS_CELL} THEN {span} END"),
         elem_no=number("kind = 'elem'", so_far),
@@ -236,7 +237,8 @@ def _fragments(events: DataFrame) -> DataFrame:
         _bare=f"coalesce({_IS_HEADING} AND NOT inline AND NOT has_atom, false)",
         _bullet=f"""
             CASE WHEN tag = 'li' AND ev = 'open' THEN CASE WHEN parent_tag = 'ol'
-              THEN concat(CASE WHEN list_start RLIKE '^[0-9]{{1,9}}$' THEN int(list_start)
+              THEN concat(CASE WHEN list_start RLIKE '^[0-9]{{1,37}}$'
+                               THEN cast(list_start AS decimal(38, 0))
                                ELSE 1 END + li_no - 1, '. ')
               ELSE concat({bullets}[int(pmod(in_ul - 1, {len(BULLETS)}))], ' ') END END""")
     facts = _with(
@@ -441,7 +443,7 @@ def tidy_markdown(markdown: Column) -> Column:
     code = F.regexp_replace(markdown, f"{_PRE_START}(?:[ \\n]*\\n)?", "")
     code = F.regexp_replace(code, f"(?<![ \\n])[ \\n]*+{_PRE_END}", "")
     code = F.translate(code, _PRE_END, "")
-    lines = F.regexp_replace(code, r"(?m)(?<![ \t])[ \t]++$", "")
+    lines = F.regexp_replace(code, r"(?<![ \t])[ \t]++(?=\n|\z)", "")
     return F.concat(
         text_trim(F.regexp_replace(lines, r"\n{3,}", "\n\n")), F.lit("\n"))
 

@@ -17,17 +17,14 @@ RESPONSES_SCHEMA = (
 _LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\x{2028}\x{2029}]"
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table of pages.
+def read_pages(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """A Parquet table of pages; with ``partitions`` spread over so many first.
 
-    Parsing is the dear step.  When the files split into fewer partitions than there are cores,
-    the pages are spread first; large tables split by themselves and are not shuffled here.
+    Parsing is the dear step: ask for partitions when the files are few.  Large tables split by
+    themselves.
     """
     pages = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if pages.rdd.getNumPartitions() < cores:
-        return pages.repartition(cores, "page_id")
-    return pages
+    return pages if partitions is None else pages.repartition(partitions, "page_id")
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
@@ -35,11 +32,17 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_html_files(spark: SparkSession, *paths: str) -> DataFrame:
-    """``path, html`` for HTML files; a directory contributes its own ``*.html`` files."""
+    """``path, html`` for HTML files: named files of any suffix, and the ``*.html`` of directories.
+
+    A path that does not exist is an error.
+    """
+    paths_of = spark._jvm.org.apache.hadoop.fs.Path
+    settings = spark.sparkContext._jsc.hadoopConfiguration()
     corpus = None
     for path in paths:
         reader = spark.read.format("binaryFile")
-        if not path.endswith((".html", ".htm")):
+        place = paths_of(path)
+        if place.getFileSystem(settings).getFileStatus(place).isDirectory():
             reader = reader.option("pathGlobFilter", "*.html")
         files = reader.load(path).select(
             "path", F.make_valid_utf8(F.col("content").cast("string")).alias("html"))
@@ -82,14 +85,15 @@ def read_url_list(spark: SparkSession, path: str | None = None, urls: Sequence[s
     if path is None:
         return literal.select(F.col("pos").alias("ord"), "url")
     raw = spark.read.text(path).select(
-        F.lit(1).alias("source"), F.col("_metadata.file_block_start").alias("block"),
+        F.lit(1).alias("source"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("_line"), "value")
     lines = raw.select(
-        "source", "block", "_line",
+        "source", "file", "block", "_line",
         F.posexplode(F.split("value", _LINE_BREAK)).alias("_part", "line"))
     listed = url_lines(lines).select(
-        "source", "block", F.struct("_line", "_part").alias("pos"), "url")
+        "source", "file", "block", F.struct("_line", "_part").alias("pos"), "url")
     given = literal.select(
-        "source", "block",
+        "source", F.lit("").alias("file"), "block",
         F.struct(F.col("pos").alias("_line"), F.lit(0).alias("_part")).alias("pos"), "url")
-    return numbered(given.unionByName(listed), "source", "block")
+    return numbered(given.unionByName(listed), "source", "file", "block")

@@ -8,15 +8,21 @@ from pyspark.sql import functions as F
 from pagesmelt.operators.reports import failed_captures, output_collisions
 
 
-def write_markdown(documents: DataFrame, path: str, *, mode: str = "errorifexists") -> None:
+def write_markdown(
+    documents: DataFrame, path: str, *, mode: str = "errorifexists", pages: DataFrame | None = None,
+) -> None:
     """Parquet of ``output_path, markdown`` and what identifies the page.
 
-    Paths that two pages would share reject the batch before anything is converted.
+    Paths that two pages would share reject the batch; all of them are written beside the output, to
+    ``<path>-collisions``.  Give the table of ``pages`` the documents come from, and they are
+    checked there, before anything is converted.
     """
-    clash = output_collisions(documents.select("url"), "").limit(5).collect()
-    if clash:
-        names = ", ".join(row.output_path for row in clash)
-        raise ValueError(f"output filename collision: {names}")
+    clashes = output_collisions((documents if pages is None else pages).select("url"), "")
+    if not clashes.isEmpty():
+        listed = f"{path.rstrip('/')}-collisions"
+        clashes.write.mode("overwrite").parquet(listed)
+        count = documents.sparkSession.read.parquet(listed).count()
+        raise ValueError(f"output filename collision: {count} paths, listed in {listed}")
     documents.write.mode(mode).parquet(path)
 
 
