@@ -39,8 +39,13 @@ def written(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def per_batch(frame: DataFrame, schema: str, work: Callable[[dict], dict]) -> DataFrame:
-    """Rows of ``work`` over Arrow batches, as columns of Python values in and out."""
+def per_batch(
+    frame: DataFrame, schema: str, work: Callable[[dict], dict], rows: int = 1 << 20,
+) -> DataFrame:
+    """Rows of ``work`` over Arrow batches, as columns of Python values in and out.
+
+    At most ``rows`` at a time: a bound on memory where a row's result is large.
+    """
     kinds = StructType.fromDDL(schema)
     names = kinds.names
 
@@ -48,7 +53,7 @@ def per_batch(frame: DataFrame, schema: str, work: Callable[[dict], dict]) -> Da
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(kinds)
-        for batch in batches:
+        for batch in (b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows)):
             out = work(batch.to_pydict())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out[name], arrow.field(name).type) for name in names], schema=arrow)

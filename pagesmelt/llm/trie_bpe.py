@@ -12,6 +12,7 @@ import hashlib
 import os
 import unicodedata
 
+import numpy as np
 import regex
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -20,8 +21,10 @@ from pagesmelt.llm import common, merges
 from pagesmelt.llm.common import per_batch
 from pagesmelt.llm.merges import Merges
 
+#: Texts that are encoded at a time; all their ids are in memory at once.
+BATCH_ROWS = 256
 #: Words whose encoding a Python worker keeps; it starts again beyond.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 150_000
 # Fixed value: how the tokenizer file splits a normalised text; the white space class is spelled out.
 SPLIT = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
@@ -177,14 +180,14 @@ def encode_decode(
             digest = [[hashlib.sha256(row[k].encode()).hexdigest() for row in rows] for k in (1, 2)]
             return out | {"ids_sha256": digest[0], "decoded_sha256": digest[1]}
         return out | {
-            "ids": [[int(place) for place in row[1].split()] for row in rows],
+            "ids": [np.array(row[1].split(), dtype=np.int32) for row in rows],
             "decoded": [row[2] for row in rows]}
 
     kind = dict(docs.dtypes)[id_column]
     rest = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
     return per_batch(
         docs.selectExpr(f"`{id_column}` AS _id", f"`{text_column}` AS _text"),
-        f"_id {kind}, n_tokens long, {rest}", work).withColumnRenamed("_id", id_column)
+        f"_id {kind}, n_tokens long, {rest}", work, rows=BATCH_ROWS).withColumnRenamed("_id", id_column)
 
 
 for module in (common, merges):
