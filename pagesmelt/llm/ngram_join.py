@@ -35,6 +35,8 @@ DENSE_FROM, BLOCK = 32, 512
 CHUNK = 2048
 #: Size of the filter for texts that are read again; a fuller one lets more through, never less.
 FILTER_BITS = 1 << 25
+#: Texts whose sets are in a worker's memory at once.
+BATCH_ROWS = 512
 #: Words whose hashes are kept within a batch.
 KEPT_WORDS = 200_000
 # Fixed odd multipliers, one per place of an n-gram.
@@ -108,7 +110,7 @@ def _signatures(docs: DataFrame, shingler: Shingler, percent: int) -> DataFrame:
 
     kind = dict(docs.dtypes)["_id"]
     return per_batch(
-        docs, f"_id {kind}, _key long, n int, fp binary, prefix array<long>", work)
+        docs, f"_id {kind}, _key long, n int, fp binary, prefix array<long>", work, rows=BATCH_ROWS)
 
 
 def _heavy(docs: DataFrame, shingler: Shingler, percent: int) -> np.ndarray:
@@ -119,7 +121,9 @@ def _heavy(docs: DataFrame, shingler: Shingler, percent: int) -> np.ndarray:
     sent = docs.sparkSession.sparkContext.broadcast(shingler)
 
     def work(batch: dict) -> dict:
-        prefixes = [sent.value.prefix(s, percent) for s in sent.value.sets(batch["_text"])]
+        shingler = sent.value
+        prefixes = [shingler.prefix(shingler.numbers(text), percent) for text in batch["_text"]]
+        shingler.kept.clear()
         grams, counts = np.unique(
             np.concatenate([*prefixes, np.empty(0, dtype=np.int64)]), return_counts=True)
         return {"gram": grams[counts > 1], "many": counts[counts > 1]}
@@ -167,7 +171,8 @@ def _whole_sets(needed: DataFrame, nodes: DataFrame, docs: DataFrame, width: int
     def work(batch: dict) -> dict:
         return {"node": batch["node"], "grams": sent.value.sets(batch["_text"])}
 
-    return written(per_batch(texts.select("node", "_text"), "node long, grams array<long>", work))
+    return written(per_batch(
+        texts.select("node", "_text"), "node long, grams array<long>", work, rows=BATCH_ROWS))
 
 
 def overlaps(grams: pa.Array, left: np.ndarray, right: np.ndarray) -> np.ndarray:
