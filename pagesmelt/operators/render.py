@@ -164,6 +164,8 @@ def _with_neighbours(events: DataFrame) -> DataFrame:
         seen,
         prev=f"lag(_fact) IGNORE NULLS OVER ({_NEAR})",
         next=f"lead(_fact) IGNORE NULLS OVER ({_NEAR})",
+        next_code=f"lead(CASE WHEN ev = 'open' AND tag = 'code' THEN struct(pos, language) END) "
+                  f"IGNORE NULLS OVER ({_NEAR})",
         next_sibling=f"lead(_sibling) IGNORE NULLS OVER ({_NEAR})")
     inner, outer = _among(_INNER_EDGE), _among(_OUTER_EDGE)
     return _with(
@@ -312,7 +314,7 @@ def _fragments(events: DataFrame) -> DataFrame:
                   ELSE nullif(underline, '') END
              WHEN tag = 'pre' AND in_pre = 0 THEN CASE ev
                   WHEN 'open' THEN concat('```', coalesce(
-                    CASE WHEN next.ev = 'open' AND next.tag = 'code' THEN next.language END,
+                    CASE WHEN next_code.pos < post THEN next_code.language END,
                     language, ''), '\n{_PRE_START}')
                   ELSE '{_PRE_END}\n```' END
              WHEN tag = 'q' THEN '"'

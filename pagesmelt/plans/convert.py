@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagesmelt.fixed_values import REASON_FULL, REASON_NO_CANDIDATE, REASON_READABILITY
 from pagesmelt.functions.urls import joined_output_path, output_name
 from pagesmelt.functions.yaml_text import front_matter as front_matter_text
+from pagesmelt.functions.yaml_text import iso_timestamp
 from pagesmelt.operators.candidates import (
     CANDIDATE_TYPE,
     content_candidates,
@@ -43,12 +44,16 @@ def with_base_url(pages: DataFrame) -> DataFrame:
 
 
 def _aligned(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Join two tables of the same parsed pages on ``page_id``, without another exchange.
+    """Left join of two tables of the same parsed pages on ``page_id``, without another exchange.
 
-    Every page of ``right`` is in ``left``, so a left join would give the same rows.  It would
-    also filter null keys on one side only, and sides that differ no longer share the parse.
+    Spark infers a filter against null keys for ``right`` alone.  Pushed below the shared exchange,
+    it would make the two sides differ and the pages be parsed twice; no filter moves past a
+    projection that numbers rows, so it stays above.
     """
-    return left.join(right, "page_id", "full")
+    held = F.monotonically_increasing_id() >= 0
+    return left.join(right.select("page_id", *(
+        F.when(held, F.col(name)).alias(name) for name in right.columns if name != "page_id")),
+        "page_id", "left")
 
 
 def choices(parsed: DataFrame, content: str) -> DataFrame:
@@ -97,10 +102,11 @@ def extraction_decisions(pages: DataFrame, content: str = "auto") -> DataFrame:
 def root_rows(clean: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
     """Node rows below the chosen roots; below ``body``, or all of them, for a full page.
 
-    The row of the page itself always stays.
+    The row of the page itself always stays.  Each root becomes a mark just before
+    its element, and the list of them is gone before rows are sorted, so that many roots cost no
+    more than many nodes.
     """
     page = Window.partitionBy("page_id")
-    in_order = page.orderBy("pre").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     itself = F.coalesce(F.col("kind") == "page", F.lit(True))
     body = F.min(F.when(F.col("tag") == "body", F.struct("pre", "post"))).over(page)
     rows = clean.withColumn("_body", body)
@@ -108,15 +114,23 @@ def root_rows(clean: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
         F.col("_body")["pre"], F.col("_body")["post"])
     if chosen is None:
         return rows.where(in_page).drop("_body")
-    joined = _aligned(rows, chosen.select("page_id", "roots"))
-    is_root = F.coalesce(
-        (F.col("kind") == "elem") & F.array_contains("roots", F.col("pre")), F.lit(False))
-    reach = F.max(F.when(is_root, F.col("post"))).over(in_order)
+    own = F.array(F.lit(None).cast("int"))
+    roots = F.when(F.col("kind") == "page", F.col("roots"))
+    marked = (
+        _aligned(rows, chosen.select("page_id", "roots"))
+        .withColumn("_chosen", F.col("roots").isNotNull())
+        .withColumn("_mark", F.explode(F.coalesce(F.concat(own, roots), own)))
+        .drop("roots")
+        .withColumn("pre", F.coalesce("_mark", "pre")))
+    in_order = page.orderBy("pre", F.col("_mark").isNull())
+    is_root = (F.col("kind") == "elem") & F.lag(F.col("_mark").isNotNull()).over(in_order)
+    reach = F.max(F.when(F.col("_root"), F.col("post"))).over(
+        in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (
-        joined.withColumn("_reach", reach)
-        .where(F.when(F.col("roots").isNull(), in_page).otherwise(
+        marked.withColumn("_root", is_root).withColumn("_reach", reach)
+        .where(F.col("_mark").isNull() & F.when(~F.col("_chosen"), in_page).otherwise(
             itself | F.coalesce(F.col("_reach") >= F.col("pre"), F.lit(False))))
-        .drop("_body", "_reach", "roots"))
+        .drop("_body", "_chosen", "_mark", "_root", "_reach"))
 
 
 def convert_parsed(
@@ -133,13 +147,14 @@ def convert_parsed(
     rendered = render_markdown(rows, language)
     if not front_matter:
         return rendered
-    if fetched_at is None:
-        heads = page_metadata(shared(parsed))
-    else:
-        heads = page_metadata(parsed, fetched_at=fetched_at).repartition("page_id")
-    head = front_matter_text(F.col("metadata"))
+    heads, metadata = page_metadata(shared(parsed)), F.col("metadata")
+    if fetched_at is not None:
+        # Read apart from the nodes: what is carried along would make the sides differ.
+        times = parsed.select("page_id", iso_timestamp(F.col(fetched_at)).alias("_fetched"))
+        heads = heads.join(times, "page_id", "left")
+        metadata = metadata.withField("fetched_at", F.col("_fetched"))
     return _aligned(heads, rendered).select(
-        "page_id", F.concat(head, "markdown").alias("markdown"))
+        "page_id", F.concat(front_matter_text(metadata), "markdown").alias("markdown"))
 
 
 def to_markdown(pages: DataFrame, **options) -> DataFrame:
@@ -157,7 +172,12 @@ def to_markdown(pages: DataFrame, **options) -> DataFrame:
 
 
 def markdown_documents(pages: DataFrame, directory: str = ".", **options) -> DataFrame:
-    """Markdown with the page's URL and output path, ready for the Markdown sink."""
+    """Markdown with the page's URL and output path, ready for the Markdown sink.
+
+    Captures with an ``error`` give no document; ``failed_captures`` lists them.
+    """
+    if "error" in pages.columns:
+        pages = pages.where("error IS NULL")
     named = pages.select(
         "page_id", "url", joined_output_path(F.lit(directory), output_name(F.col("url"))).alias(
             "output_path"))

@@ -191,3 +191,11 @@ def test_streaming_conversion(spark, tmp_path):
     assert query.awaitTermination(120)
     found = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r.markdown for r in found.collect()) == ["0\n", "1\n", "2\n"]
+
+
+def test_failed_captures_give_no_document(spark):
+    frame = spark.createDataFrame(
+        [(1, "https://h.test/a", "<p>x", None), (2, "https://h.test/b", None, "refused")],
+        "page_id long, url string, html string, error string")
+    from pagesmelt.plans.convert import markdown_documents
+    assert [(r.page_id, r.markdown) for r in markdown_documents(frame).collect()] == [(1, "x\n")]

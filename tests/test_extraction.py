@@ -148,4 +148,22 @@ def test_pages_are_parsed_and_shuffled_once(spark):
     assert plan.count("hashpartitioning(page_id") <= 2  # spreading the input, then the one exchange
     for options in ({"content": "dom"}, {"content": "auto"}, {"front_matter": True},
                     {"content": "auto", "front_matter": True}):
-        assert exchanges(to_markdown(source, **options)).count("ArrowEvalPython") == 1
+        plan = exchanges(to_markdown(source, **options))
+        assert plan.count("ArrowEvalPython") == 1
+        # Node rows are never dealt out again above the exchange of whole pages.
+        assert "ENSURE_REQUIREMENTS" not in plan
+    timed = source.withColumn("at", F.lit(datetime(2026, 8, 29)))
+    plan = exchanges(to_markdown(timed, content="dom", front_matter=True, fetched_at="at"))
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_many_roots_keep_their_order_and_nothing_else(spark):
+    from pagesmelt.plans.convert import root_rows
+    html = "<body><p>a</p><div><p>b</p><p>c</p></div><p>d</p><p>e</p></body>"
+    rows = clean_nodes(node_rows(parse_pages(table(spark, {"x": html, "full": html}))))
+    texts = {r.text: r.pre for r in rows.where("kind = 'text' AND page_id = 0").collect()}
+    pres = [texts["b"] - 2, texts["b"] - 1, texts["e"] - 1]  # the div, a root inside it, a paragraph
+    chosen = spark.createDataFrame([(0, pres), (1, None)], "page_id long, roots array<int>")
+    kept = root_rows(rows, chosen).where("kind = 'text'").orderBy("page_id", "pre").collect()
+    assert [(r.page_id, r.text) for r in kept] == [
+        (0, "b"), (0, "c"), (0, "e"), *((1, t) for t in "abcde")]

@@ -53,6 +53,10 @@ DEFAULT = {
         "<table><caption>C</caption><thead><tr><td>h</td></tr></thead>"
         "<tbody><tr><td>v</td></tr></tbody></table>",
         "C\n\n| h |\n| --- |\n| v |"),
+    "code_language_below": (
+        "<pre>x<!-- c --><b></b><code class='language-rb'>a</code><code class='language-go'>b"
+        "</code></pre><p>m</p><pre class='language-c'>n</pre><code class='language-js'>z</code>",
+        "```rb\nxab\n```\n\nm\n\n```c\nn\n```\n\n`z`"),
     "code_language": (
         "<pre><code class='x LANG-c++'>a</code></pre><pre data-lang='sql'>b</pre>"
         "<pre class='language-py;x'>c</pre>",
