@@ -38,13 +38,20 @@ class TrieEncoder:
 
     def __init__(self, table: Merges):
         self.table = table
-        self.longest = max(map(len, table.ids), default=0)
         self.symbols = {
             place: self._atoms(name) for name, place in table.ids.items()}
         #: token strings that are their own encoding; no other token ever appears
         self.own = {
             name: place for name, place in table.ids.items()
             if table.merged(self.symbols[place]) == [place]}
+        #: by its last three characters and the word end, if any: length of the longest such token
+        self.reach: dict[str, int] = {}
+        for name in self.own:
+            for tail in {"", table.suffix or ""}:
+                body = name.removesuffix(tail)
+                if name.endswith(tail) and len(body) > 2:
+                    key = body[-3:] + tail
+                    self.reach[key] = max(self.reach.get(key, 0), len(body))
         self.fits: dict[tuple[int, int], bool] = {}
         self.kept: dict[str, tuple[str, str, int]] = {}
 
@@ -65,8 +72,8 @@ class TrieEncoder:
 
     def _last(self, text: str, end: int, states: list[int], lengths: list[int], tail: str) -> None:
         """Set the state of the node at depth ``end``."""
-        own = self.own
-        for start in range(max(0, end - self.longest), end):
+        own, reach = self.own, self.reach.get(text[max(0, end - 3):end] + tail, 2)
+        for start in range(max(0, end - reach), end):
             token = own.get(text[start:end] + tail)
             if token is not None and (start == 0 or self._fit(states[start], token)):
                 states[end], lengths[end] = token, end - start
