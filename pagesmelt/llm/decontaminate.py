@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagesmelt.llm import common
-from pagesmelt.llm.common import per_batch
+from pagesmelt.llm.common import per_batch, written
 
 WINDOW = 10
 #: Test items are taken in blocks of about this many bytes, so that no broadcast grows with them.
@@ -220,37 +220,60 @@ def remove_leaks(
 ) -> DataFrame:
     """``docs`` without benchmark passages; the columns stay as they are.
 
-    Spans of hit words are cut out of ``text``, again until no window is left, and ``n_chars``, if
-    there, is counted anew.  Documents with more than ``max_coverage`` of their words hit are dropped.
-    Null, empty and clean texts stay as they are.
+    The hit words of all blocks of items, found on the same text, are cut out of ``text`` at once,
+    again until no window of any block is left, so the result does not depend on ``block_bytes``;
+    ``n_chars``, if there, is counted anew.  Documents with more than ``max_coverage`` of their words
+    cut are dropped.  Null, empty and clean texts stay as they are.  With several blocks each round is
+    written, and only documents cut in it go to the next.
     """
     fields = [field for field in docs.schema.fields if field.name != "text"]
     names = [f"_c{place}" for place in range(len(fields))]
     schema = ", ".join(
         f"{name} {field.dataType.simpleString()}" for name, field in zip(names, fields))
-    schema = ", ".join([*([schema] if schema else []), "_text string", "_cut long", "_all long"])
-    found = docs.select(
+    schema = ", ".join([
+        *([schema] if schema else []), "_text string", "_cut long", "_all long", "_hit boolean",
+        "_spans array<struct<start:int,end:int>>"])
+    context = docs.sparkSession.sparkContext
+    blocks = [context.broadcast(automaton) for automaton in _blocks(
+        benchmark, "item_id", "text", block_bytes, window)]
+    alone = len(blocks) == 1
+
+    def one_round(found: DataFrame) -> DataFrame:
+        for place, sent in enumerate(blocks, 1):
+            def work(batch: dict, sent=sent, last=place == len(blocks)) -> dict:
+                out = {name: [] for name in ("_text", "_cut", "_all", "_hit", "_spans")}
+                for text, cut, length, known in zip(
+                        batch["_text"], batch["_cut"], batch["_all"], batch["_spans"]):
+                    words = words_of(text)
+                    length = length or len(words)
+                    spans = _merged(
+                        [(s["start"], s["end"]) for s in known] + sent.value.hits(words)[0])
+                    hit = bool(spans)
+                    while last and spans:
+                        cut += sum(end - start for start, end in spans)
+                        text = without_spans(text, spans)
+                        # further blocks see the cut text in the next round
+                        spans = sent.value.hits(words_of(text))[0] if alone else []
+                    row = (text, cut, length, hit, [{"start": s, "end": e} for s, e in spans])
+                    for name, value in zip(out, row):
+                        out[name].append(value)
+                return batch | out
+
+            found = per_batch(found, schema, work)
+        return found
+
+    found = one_round(docs.select(
         *(F.col(f"`{field.name}`").alias(name) for name, field in zip(names, fields)),
         F.col("text").alias("_text"), F.lit(0).cast("long").alias("_cut"),
-        F.lit(0).cast("long").alias("_all"))
-    for automaton in _blocks(benchmark, "item_id", "text", block_bytes, window):
-        sent = docs.sparkSession.sparkContext.broadcast(automaton)
-
-        def work(batch: dict, sent=sent) -> dict:
-            texts, cut, every = [], [], []
-            for text, before, length in zip(batch["_text"], batch["_cut"], batch["_all"]):
-                words = words_of(text)
-                length = length or len(words)
-                while spans := sent.value.hits(words)[0]:
-                    before += sum(end - start for start, end in spans)
-                    text = without_spans(text, spans)
-                    words = words_of(text)
-                texts.append(text)
-                cut.append(before)
-                every.append(length)
-            return batch | {"_text": texts, "_cut": cut, "_all": every}
-
-        found = per_batch(found, schema, work)
+        F.lit(0).cast("long").alias("_all"), F.lit(False).alias("_hit"),
+        F.expr("cast(array() AS array<struct<start:int,end:int>>)").alias("_spans")))
+    if not alone:
+        found = written(found)
+        clean, todo = found.where("NOT _hit"), found.where("_hit")
+        while not todo.isEmpty():
+            found = written(one_round(todo))
+            clean, todo = clean.union(found.where("NOT _hit")), found.where("_hit")
+        found = clean
     kept = found.where(F.col("_cut") <= F.lit(max_coverage) * F.col("_all"))
     place = {field.name: F.col(name) for name, field in zip(names, fields)}
     if "n_chars" in place:

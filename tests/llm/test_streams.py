@@ -177,6 +177,22 @@ def test_leaks_in_blocks_and_removed(spark, make_docs, odd_docs, no_docs):
     assert decontaminate.find_leaks(no_docs, bench).collect() == []
 
 
+def test_size_of_blocks_never_changes_what_is_removed(spark, make_docs):
+    passage = [f"w{k}" for k in range(60)]
+    items = [(k, " ".join(passage[k:k + 6 + k % 7])) for k in range(0, 48, 2)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    draw, clean = random.Random(6), [f"fine{k}" for k in range(30)]
+    texts = [" ".join(clean[:7] + passage[at:at + draw.randrange(5, 40)] + clean[7:])
+             for at in range(40)]
+    texts += [" ".join(passage[:5] + passage[4:19] + passage[5:30] + clean[:k]) for k in range(16)]
+    found = []
+    for size in (10_000, 400, 250):
+        kept = decontaminate.remove_leaks(make_docs(texts), bench, 6, block_bytes=size)
+        found.append(sorted((r.doc_id, r.text, r.n_chars) for r in kept.collect()))
+        assert not any(brute_leaks(text, items, 6)[1] for _, text, _ in found[-1])
+    assert found[0] == found[1] == found[2] and 0 < len(found[0]) < len(texts)
+
+
 KIND_PATTERNS = (
     ("assign", r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
     ("access", r"AKIA[A-Z0-9]+"), ("hex", r"[0-9a-f]+"))
