@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from pagesmelt.llm import crf_language, neural_lm, ngram_join, site_quality
+from pagesmelt.llm import crf_language, embedding_passes, neural_lm, ngram_join, site_quality
 from pagesmelt.llm.common import components
 from pagesmelt.llm.embedding_passes import near_vectors
 
@@ -64,6 +64,44 @@ def test_vectors_agree_with_brute_force(spark):
     assert near_vectors(spark.createDataFrame([], VECTORS)).collect() == []
 
 
+def test_large_tight_labels_lose_no_links(spark):
+    draw, rows, label = np.random.default_rng(8), [], []
+    for tight in (0.95, 0.8):  # mean cosine of a label: compared whole, and by more passes
+        made = draw.standard_normal((2_700, 64))
+        made /= np.linalg.norm(made, axis=1, keepdims=True)
+        made = np.sqrt(1 - tight) * made
+        made[:, 0] = np.sqrt(tight)
+        noise = draw.standard_normal((300, 64))
+        noise *= 0.19 / np.linalg.norm(noise, axis=1, keepdims=True)
+        rows += [*made, *(made[:300] + noise)]
+        label += [len(rows)] * 3_000
+    units = np.array(rows, dtype=np.float32).astype(np.float64)
+    vectors = [(k, v.tolist(), label[k], "x", "y") for k, v in enumerate(units)]
+    found = {r.vec_id: r for r in near_vectors(spark.createDataFrame(vectors, VECTORS)).collect()}
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    label = np.array(label)
+    links = (units @ units.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(links, False)
+    roots = roots_of(zip(*np.nonzero(links)), range(len(rows)))
+    assert links.sum() > 1_000
+    assert [found[k].component_id for k in range(len(rows))] == [roots[k] for k in range(len(rows))]
+    assert [found[k].n_links for k in range(len(rows))] == links.sum(axis=1).tolist()
+
+
+def test_windows_cross_small_partitions(spark, monkeypatch):
+    monkeypatch.setattr(embedding_passes, "CHUNK", 16)
+    keyed = spark.createDataFrame(
+        [(k, 0, [1.0, 0.0], 2, 0, k) for k in range(60)],
+        "node long, label int, vector array<float>, size int, pass_no int, key long")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "25")
+    try:
+        links = {(r.u, r.v) for r in embedding_passes._window_links(keyed, 10, 0.98).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert links == {(u, v) for v in range(60) for u in range(max(0, v - 10), v)}
+
+
 def brute_groups(texts, width, percent):
     sets = []
     for text in texts:
