@@ -12,7 +12,7 @@ import zlib
 import numpy as np
 import regex
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagesmelt.llm import common
@@ -20,13 +20,13 @@ from pagesmelt.llm.common import per_batch
 
 #: About so many training documents of each language are read to fit the model.
 SAMPLE_DOCS = 150
-#: At most so many languages, the most frequent.
-MOST_LANGUAGES = 64
 #: Feature weights; training words seen this often have a feature of their own.
 BUCKETS, LEXICON_FROM = 1 << 17, 3
 STEPS, RATE, DECAY = 40, 0.3, 1e-4
-#: Words whose scores a Python worker keeps.
-KEPT_WORDS = 200_000
+#: Words whose scores a Python worker keeps, and at most so many scores: fewer words of many languages.
+KEPT_WORDS, KEPT_SCORES = 200_000, 1 << 23
+#: Chains are taken side by side up to about so many scores of their words; a chain is never cut.
+SCORES = 1 << 20
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 SENTENCE = regex.compile(r"[.!?\n]+")
 UNKNOWN = "und"
@@ -63,7 +63,8 @@ class Chains:
         self.at = [starts[:n] + place for place, n in enumerate(self.active)]
         self.words, self.lengths = flat, lengths
 
-    def marginals(self, emission: np.ndarray, start: np.ndarray, move: np.ndarray):
+    def marginals(
+        self, emission: np.ndarray, start: np.ndarray, move: np.ndarray, count_moves: bool = True):
         """Language probabilities of every word, and the expected number of each transition.
 
         ``emission`` has a positive row for each word; every step is scaled to sum one.
@@ -80,14 +81,49 @@ class Chains:
             at = self.at[place]
             back = rows[at] * after[at]
             before = self.at[place - 1][:len(at)]
-            both = forward[before][:, :, None] * move[None] * back[:, None, :]
-            moves += (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+            if count_moves:
+                ahead = forward[before]
+                whole = ((ahead @ move) * back).sum(axis=1, keepdims=True)
+                moves += move * ((ahead / whole).T @ back)
             here = back @ move.T
             after[before] = here / here.sum(axis=1, keepdims=True)
         found = forward * after
         return found / found.sum(axis=1, keepdims=True), moves
 
 
+def grouped(chains: list[np.ndarray], most: int) -> list[range]:
+    """Runs of chains with about ``most`` words together."""
+    ends = np.cumsum([len(chain) for chain in chains]) // max(most, 1)
+    cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(chains)]
+    return [range(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
+
+
+class Sample:
+    """Some training chains, their words and the features of these."""
+
+    def __init__(self, chains: list[np.ndarray], golds: np.ndarray, listed: list[list[int]], size: int):
+        known, flat = np.unique(np.concatenate(chains), return_inverse=True)
+        ends = np.cumsum([len(chain) for chain in chains])
+        self.laid = Chains(np.split(flat, ends[:-1]))
+        self.listed = [listed[k] for k in known]
+        owner = np.repeat(np.arange(len(known)), [len(one) for one in self.listed])
+        buckets = np.concatenate([np.array(one) for one in self.listed])
+        order = np.argsort(buckets, kind="stable")
+        #: words in the order of their buckets, each bucket's first place, and the buckets
+        self.owner = owner[order]
+        self.buckets, self.first = np.unique(buckets[order], return_index=True)
+        self.gold = golds[self.laid.order]
+        self.wanted = np.zeros((len(known), size), dtype=np.float32)
+        np.add.at(self.wanted, (self.laid.words, np.repeat(self.gold, self.laid.lengths)), 1)
+
+    def slope(self, found: np.ndarray) -> np.ndarray:
+        """What the marginals leave to be wanted, by bucket."""
+        words = self.wanted.astype(np.float64)
+        for k in range(words.shape[1]):
+            words[:, k] -= np.bincount(self.laid.words, found[:, k], minlength=len(words))
+        return np.add.reduceat(words[self.owner], self.first, axis=0)
+
+
 class LanguageModel:
     """Weights, sent to the executors, where the scores of words are kept."""
 
@@ -120,59 +156,64 @@ class LanguageModel:
         if not chains or len(self.languages) < 2:
             return
         listed = [features(word, self.lexicon) for word in number]
-        flat = np.concatenate([np.array(one) for one in listed])
-        owner = np.repeat(np.arange(len(listed)), [len(one) for one in listed])
-        size, laid = len(self.languages), Chains(chains)
-        gold = np.array(golds)[laid.order]
-        per_word = np.repeat(gold, laid.lengths)
-        wanted = np.zeros((len(number), size))
-        np.add.at(wanted, (laid.words, per_word), 1.0)
+        size, golds = len(self.languages), np.array(golds)
+        samples = [
+            Sample([chains[k] for k in run], golds[run.start:run.stop], listed, size)
+            for run in grouped(chains, SCORES // size)]
         stays = np.zeros((size, size))
-        np.add.at(stays, (gold, gold), laid.lengths - 1.0)
-        weights = np.zeros((BUCKETS, size))
-        squares = np.full((BUCKETS, size), 1e-8)
+        np.add.at(stays, (golds, golds), np.array([len(chain) for chain in chains]) - 1.0)
+        weights = np.zeros((BUCKETS, size), dtype=np.float32)
+        squares = np.full((BUCKETS, size), 1e-8, dtype=np.float32)
+        change = np.empty_like(weights)
         bridge, bridge_squares = np.zeros((size, size)), np.full((size, size), 1e-8)
-        total = float(len(laid.words))
+        total = float(sum(len(chain) for chain in chains))
         for _ in range(STEPS):
-            emission = self.emissions(listed, weights)
-            found, moves = laid.marginals(emission, self.start, np.exp(bridge))
-            slope = wanted.copy()
-            for k in range(size):
-                slope[:, k] -= np.bincount(laid.words, found[:, k], minlength=len(number))
-                change = np.bincount(flat, slope[owner, k], minlength=BUCKETS) / total
-                change -= DECAY / total * weights[:, k]
-                squares[:, k] += change ** 2
-                weights[:, k] += RATE * change / np.sqrt(squares[:, k])
-            change = (stays - moves) / total
-            bridge_squares += change ** 2
-            bridge = np.clip(bridge + RATE * change / np.sqrt(bridge_squares), -4, 4)
-        self.weights = weights.astype(np.float32)
+            np.multiply(weights, -DECAY / total, out=change)
+            step, moves = np.exp(bridge), np.zeros((size, size))
+            for sample in samples:
+                emission = self.emissions(sample.listed, weights)
+                found, here = sample.laid.marginals(emission, self.start, step)
+                change[sample.buckets] += sample.slope(found) / total
+                moves += here
+            for k in range(0, BUCKETS, 1 << 12):
+                rows = slice(k, k + (1 << 12))
+                squares[rows] += change[rows] ** 2
+                weights[rows] += RATE * change[rows] / np.sqrt(squares[rows])
+            shift = (stays - moves) / total
+            bridge_squares += shift ** 2
+            bridge = np.clip(bridge + RATE * shift / np.sqrt(bridge_squares), -4, 4)
+        self.weights = weights
         self.move = np.exp(bridge)
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Language and its share of the words, per text."""
-        cut = [sentences(text) for text in texts]
-        missing = {word for one in cut for words in one for word in words} - self.number.keys()
-        if len(self.number) + len(missing) > KEPT_WORDS:
+    def _numbered(self, chains: list[list[str]]) -> list[np.ndarray]:
+        """The chains as numbers of words whose scores are at hand."""
+        missing = {word for words in chains for word in words} - self.number.keys()
+        if len(self.number) + len(missing) > min(KEPT_WORDS, KEPT_SCORES // len(self.languages)):
             self.number, self.emission = {}, np.empty((0, len(self.languages)))
-            missing = {word for one in cut for words in one for word in words}
+            missing = {word for words in chains for word in words}
         fresh = sorted(missing)
         self.number |= {word: len(self.emission) + k for k, word in enumerate(fresh)}
         self.emission = np.concatenate((self.emission, self.emissions(
             [features(word, self.lexicon) for word in fresh], self.weights)))
+        return [np.fromiter(map(self.number.__getitem__, words), dtype=np.int64) for words in chains]
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and its share of the words, per text."""
+        size = len(self.languages)
+        cut = [sentences(text) for text in texts]
         chains, owners = [], []
         for owner, one in enumerate(cut):
-            for words in one:
-                chains.append(np.fromiter(map(self.number.__getitem__, words), dtype=np.int64))
-                owners.append(owner)
-        if not chains or not self.languages:
+            chains += one
+            owners += [owner] * len(one)
+        if not chains or not size:
             return [(UNKNOWN, 0.0)] * len(texts)
-        laid = Chains(chains)
-        found, _ = laid.marginals(self.emission, self.start, self.move)
-        place = np.repeat(np.array(owners)[laid.order], laid.lengths)
-        mass = np.stack([
-            np.bincount(place, found[:, k], minlength=len(texts))
-            for k in range(len(self.languages))], axis=1)
+        mass = np.zeros((len(texts), size))
+        for run in grouped(chains, SCORES // size):
+            laid = Chains(self._numbered(chains[run.start:run.stop]))
+            found, _ = laid.marginals(self.emission, self.start, self.move, False)
+            place = np.repeat(np.array(owners[run.start:run.stop])[laid.order], laid.lengths)
+            for k in range(size):
+                mass[:, k] += np.bincount(place, found[:, k], minlength=len(texts))
         whole, best = mass.sum(axis=1), mass.argmax(axis=1)
         return [
             (self.languages[best[k]], float(min(mass[k, best[k]] / whole[k], 1.0)))
@@ -184,16 +225,21 @@ def fold(id_column: str = "_id") -> Column:
 
 
 def fit_language_model(docs: DataFrame) -> LanguageModel:
-    """From about ``SAMPLE_DOCS`` training rows of each language, picked by a hash of the id."""
-    counts = docs.where("NOT held_out AND _lang IS NOT NULL AND _text IS NOT NULL").groupBy(
-        "_lang").count().orderBy(F.desc("count"), "_lang").limit(MOST_LANGUAGES).collect()
-    share = F.lit(0.0)
-    for row in counts:
-        share = F.when(F.col("_lang") == row._lang, min(1.0, SAMPLE_DOCS / row["count"])).otherwise(
-            share)
+    """From about ``SAMPLE_DOCS`` training rows of each language, picked by a hash of the id.
+
+    Every language of a training row is learned.  The weights grow with the number of languages, and the
+    time of the fit with its square; chains are taken in groups, so scores of words do not add up.
+    """
+    labelled = docs.where("NOT held_out AND _lang IS NOT NULL AND _text IS NOT NULL")
+    counts = labelled.groupBy("_lang").count().collect()
+    shares = docs.sparkSession.createDataFrame(
+        [(row._lang, min(1.0, SAMPLE_DOCS / row["count"])) for row in counts],
+        f"_lang {dict(docs.dtypes)['_lang']}, share double")
     drawn = F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    rows = docs.where("NOT held_out AND _text IS NOT NULL").where(drawn < share).limit(
-        4 * SAMPLE_DOCS * max(len(counts), 1)).select("_text", "_lang").collect()
+    # a row for each language, so texts stay where they are; the rank bounds rows that share an id
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(drawn, "_text"))
+    rows = labelled.join(F.broadcast(shares), "_lang").where(drawn < F.col("share")).select(
+        "_lang", "_text", rank.alias("rank")).where(F.col("rank") <= 4 * SAMPLE_DOCS).collect()
     rows = sorted((row._lang, row._text) for row in rows)
     seen: dict[str, int] = {}
     for _, text in rows:
@@ -215,7 +261,8 @@ def identify_languages(
     Training reads rows with a text and a language whose id's CRC modulo 4 is not 2; prediction reads
     the text alone.  ``score`` is the predicted language's share of the words.  Null texts and texts
     without a letter, and all texts when no language is known, are ``und`` with score 0.  Repeated
-    rows stay.  Narrow: the model goes to the executors, of fixed size; whole texts are read.
+    rows stay.  Narrow: the model goes to the executors and grows
+    with the number of languages only; whole texts are read.
     """
     docs = docs.selectExpr(
         f"`{id_column}` AS _id", f"`{text_column}` AS _text", f"`{language_column}` AS _lang"

@@ -211,6 +211,22 @@ def test_languages_of_held_out_rows(spark, sf_dir, odd_docs, no_docs):
     assert crf_language.identify_languages(no_docs).collect() == []
 
 
+def test_more_than_64_languages(spark, monkeypatch):
+    monkeypatch.setattr(crf_language, "SCORES", 1 << 14)  # several groups of chains
+    monkeypatch.setattr(crf_language, "KEPT_SCORES", 1 << 14)
+    draw, letters = random.Random(12), "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for language in range(80):
+        words = ["".join(draw.choices(letters, k=5)) + letters[language % 26] for _ in range(12)]
+        rows += [(len(rows) + k, " ".join(draw.choices(words, k=12)) + ". " + " ".join(
+            draw.choices(words, k=6)), f"l{language}") for k in range(12 if language < 70 else 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in crf_language.identify_languages(docs).collect()}
+    held = [k for k in found if found[k].held_out]
+    assert len({found[k].lang_pred for k in found}) == 80
+    assert sum(found[k].lang_pred == rows[k][2] for k in held) >= 0.95 * len(held)
+
+
 def test_quality_of_rows_without_label(spark, make_docs, odd_docs, no_docs):
     draw = random.Random(9)
     words = [f"plain{k}" for k in range(300)]
