@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +61,25 @@ def per_batch(
     return frame.mapInArrow(run, schema)
 
 
+def per_partition(
+    frame: DataFrame, schema: str, work: Callable[[Iterable[dict]], Iterable[dict]],
+    rows: int = 256,
+) -> DataFrame:
+    """Rows of ``work`` over all of a task's batches, at most ``rows`` at a time, in their order."""
+    kinds = StructType.fromDDL(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(kinds)
+        cut = (b.slice(k, rows).to_pydict() for b in batches for k in range(0, b.num_rows, rows))
+        for out in work(cut):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out[field.name], field.type) for field in arrow], schema=arrow)
+
+    return frame.mapInArrow(run, schema)
+
+
 def _same(left: DataFrame, right: DataFrame) -> bool:
     fingerprint = [F.count("*"), F.sum(F.expr("cast(xxhash64(u, v) AS decimal(38, 0))"))]
     return left.agg(*fingerprint).first() == right.agg(*fingerprint).first()

@@ -1,7 +1,7 @@
 """The operators over their whole tables, as registered queries, with comparison SQL.
 
-SQL can state operators 1, 6 and 8 directly and operator 4 by its own hash; the others are held
-against brute force in ``tests/llm``.
+SQL can state operators 1, 6, 8, 11 and 12; the others are held against brute force in
+``tests/llm``.
 """
 
 from __future__ import annotations
@@ -14,13 +14,16 @@ from pyspark.sql import functions as F
 
 from pagesmelt.llm.crf_language import identify_languages
 from pagesmelt.llm.decontaminate import find_leaks
+from pagesmelt.llm.divergence import audit_sources
 from pagesmelt.llm.embedding_passes import near_vectors
 from pagesmelt.llm.neural_lm import score_texts
 from pagesmelt.llm.ngram_join import similar_documents
+from pagesmelt.llm.phrases import mine_phrases
 from pagesmelt.llm.secrets import scan_secrets, span_digest
 from pagesmelt.llm.shards import assign_shards, even_tree, grown_tree
 from pagesmelt.llm.site_quality import judge_documents
 from pagesmelt.llm.token_counts import count_tokens
+from pagesmelt.llm.token_files import token_documents
 from pagesmelt.llm.trie_bpe import encode_decode
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,10 +88,24 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr(span_digest(False)).alias("spans"))
 
 
+def op11_setm_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(_table(spark, sf_dir, "documents"))
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(_table(spark, sf_dir, "documents"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_documents(_table(spark, sf_dir, "documents"), path)
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query for query in (
         op1_projection_passes, op2_trie_bpe, op3_neural_lm, op4_hash_tree, op5_site_quality,
-        op6_ngram_join, op7_crf_language, op8_suffix_automaton, op9_token_counts, op10_secret_scan)}
+        op6_ngram_join, op7_crf_language, op8_suffix_automaton, op9_token_counts, op10_secret_scan,
+        op11_setm_phrases, op12_source_audit, op13_token_files)}
 
 _FOLD_AZ = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -165,3 +182,75 @@ least AS (SELECT u, min(w) AS component_id FROM reach GROUP BY u)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
 FROM documents d JOIN least ON least.u = d.doc_id LEFT JOIN size ON size.doc_id = d.doc_id
 """
+
+ORACLES["op11_setm_phrases"] = rf"""
+WITH piece AS (
+  SELECT lang, doc, unnest(range(1, len(pieces) + 1)) AS p, unnest(pieces) AS piece
+  FROM (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc, string_split_regex(
+    {_FOLD_AZ.format("coalesce(text, '')")},
+    '[.,;:!?\x0A-\x0D]') AS pieces FROM documents)),
+word AS (
+  SELECT lang, words, unnest(range(1, len(words) + 1)) AS pos
+  FROM (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM piece)),
+size AS (SELECT lang, count(*) AS n FROM word GROUP BY lang),
+f AS (
+  SELECT lang, k, words[pos:pos + k - 1] AS phrase, count(*) AS a
+  FROM word, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE pos + k - 1 <= len(words)
+  GROUP BY ALL HAVING count(*) >= 100),
+cut AS (
+  SELECT c.lang, c.phrase, c.k, c.a, s.n, j, x.a AS l, y.a AS r,
+    1000::HUGEINT * c.a * s.n // (x.a::HUGEINT * y.a) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM f WHERE k > 1) c JOIN size s USING (lang)
+  JOIN f x ON x.lang = c.lang AND x.phrase = c.phrase[1:j]
+  JOIN f y ON y.lang = c.lang AND y.phrase = c.phrase[j + 1:]),
+lowest AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner_part AS (
+  SELECT lang, a, phrase[b:e] AS phrase
+  FROM (SELECT lang, a, k, phrase, b, unnest(range(b + 1, k + 1)) AS e
+        FROM (SELECT *, unnest(range(1, k)) AS b FROM f WHERE k > 2))
+  WHERE e - b + 1 < k),
+left_over AS (
+  SELECT * FROM lowest c ANTI JOIN inner_part i ON i.lang = c.lang AND i.phrase = c.phrase AND i.a >= c.a)
+SELECT lang, row_number() OVER best AS rank, array_to_string(phrase, ' ') AS phrase, a, l, r, n,
+  score::BIGINT AS score
+FROM left_over
+WINDOW best AS (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(phrase, ' ')))
+QUALIFY row_number() OVER best <= 2000
+"""
+
+ORACLES["op12_source_audit"] = rf"""
+WITH doc AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({_FOLD_AZ.format("coalesce(text, '')")},
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+word AS (SELECT id, lang, source, unnest(terms) AS term FROM doc),
+kept AS (SELECT lang, term, count(*) AS n FROM word GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+langs AS (SELECT lang, count(term)::HUGEINT AS v, coalesce(sum(n), 0)::HUGEINT AS total
+  FROM (SELECT DISTINCT lang FROM doc) LEFT JOIN kept USING (lang) GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM doc),
+counts AS (SELECT lang, source, term, count(*) AS n FROM word SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS total
+  FROM groups LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+p AS (
+  SELECT lang, source, term, coalesce(c.n, 0) AS n,
+    1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (t.total + 5 * l.v) AS p,
+    1 + 1000000000::HUGEINT * (k.n + 5) // (l.total + 5 * l.v) AS q
+  FROM totals t JOIN langs l USING (lang) JOIN kept k USING (lang)
+  LEFT JOIN counts c USING (lang, source, term)),
+apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b USING (lang)
+  LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  WHERE a.source <> b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (
+    PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM found)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
