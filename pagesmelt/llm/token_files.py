@@ -9,6 +9,7 @@ a slot of its own, and the slot holds a fingerprint and the place of the key's f
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -16,11 +17,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pagesmelt.llm.common import per_partition, shared_folder, written
+from pagesmelt.llm.merges import Merges
+from pagesmelt.llm.token_counts import SPLIT
+from pagesmelt.llm.trie_bpe import UNCERTAIN
 
 #: Closes each document; also 2 or 4 zero bytes, the sink's line end.
 END_ID = 0
@@ -28,61 +33,51 @@ END_ID = 0
 SHARD_BYTES = 1 << 25
 #: Keys a part of the index holds, about.
 PART_KEYS = 1 << 15
-#: Pieces of text whose ids a Python worker keeps; it starts again beyond.
-KEPT_PIECES = 300_000
 #: Levels of bits after which a part counts as one with equal hashes.
 MOST_LEVELS = 64
 MAGIC = b"ids+keys"
 
 
-class PieceEncoder:
-    """Encodes texts with the tokenizers library, asking it once for each piece of text.
+class TextEncoder:
+    """Encodes texts as the tokenizers library does.
 
-    A byte-level tokenizer always cuts before a blank that is followed by no other white space, so
-    that blank and all up to the next one encode alone.  Texts with other white space around a
-    blank, or special strings, go to the library whole.
+    Where the file's ids ascend with its merges, a rank table gives the ids of texts whose characters
+    all Unicode versions class alike.  Other texts, and those with special strings, go to the library.
+    Nothing is kept between texts.
     """
 
     def __init__(self, path: str):
         self.path = path
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.kept: dict[str | tuple[str], bytes] = {}
+        self.ranked = _ranked(Merges(path))
 
     def __reduce__(self):
         return type(self), (self.path,)
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(one.ids, self.dtype).tobytes() for one in found]
-
-    def _cut(self, text: str) -> list[str] | None:
-        """The pieces of a text without their leading blank; none where cutting is not safe."""
-        pieces = text.split(" ")
-        if any(special in text for special in self.specials):
-            return None
-        if all(piece and not piece[0].isspace() for piece in pieces[1:]):
-            return pieces
-        return None
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as unsigned little-endian numbers of the file's width."""
+        if self.ranked is None or UNCERTAIN.search(text) or any(s in text for s in self.specials):
+            ids = self.library.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.ranked.encode_ordinary(text)
+        return np.array(ids, self.dtype).tobytes()
+
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """By text, its ids as unsigned little-endian numbers of the file's width."""
-        cut = [self._cut(text) for text in texts]
-        # The first piece has no blank before it: a name of its own.
-        named = [pieces and [(pieces[0],), *pieces[1:]] for pieces in cut]
-        kept = self.kept
-        missing = list({p for pieces in named if pieces for p in pieces if p not in kept})
-        if len(kept) + len(missing) > KEPT_PIECES:
-            kept = self.kept = {}
-            missing = list({p for pieces in named if pieces for p in pieces})
-        spelled = [p[0] if isinstance(p, tuple) else " " + p for p in missing]
-        kept.update(zip(missing, self._whole(spelled)))
-        rest = iter(self._whole([t for t, pieces in zip(texts, named) if pieces is None]))
-        return [next(rest) if pieces is None else b"".join([kept[p] for p in pieces])
-                for pieces in named]
+def _ranked(table: Merges) -> tiktoken.Encoding | None:
+    """A rank table for the file, where ids ascend with the merges."""
+    made = [place for _, place in table.ranks.values()]
+    if made != sorted(set(made)):
+        return None
+    byte_of = {character: byte for byte, character in enumerate(table.characters)}
+    ranks = {bytes([byte_of[c] for c in name]): place for name, place in table.ids.items()
+             if all(c in byte_of for c in name) and name not in table.special}
+    return tiktoken.Encoding(
+        "texts", pat_str=SPLIT.pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def _footer(keys: list[str | None], sizes: list[int], width: int) -> bytes:
@@ -321,13 +316,13 @@ def write_token_files(
     ordered = read.repartitionByRange(
         1 + int(amount) // shard_bytes, "id", "origin").sortWithinPartitions(
         "id", "origin", "text").selectExpr("cast(id AS string) AS key", "text")
-    encoder = PieceEncoder(tokenizer)
+    encoder = TextEncoder(tokenizer)
     end = np.array([END_ID], encoder.dtype).tobytes()
 
     def encoded(batches: Iterable[dict]) -> Iterator[dict]:
         keys, sizes = [], []
         for batch in batches:
-            found = encoder.encode(batch["text"])
+            found = [encoder.encode(text) for text in batch["text"]]
             keys += batch["key"]
             sizes += [len(one) // len(end) + 1 for one in found]
             # The sink ends the last one.
