@@ -96,3 +96,40 @@ def derived_captures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
         "page_id AS ord", "concat('<p>rendered ', page_id, '</p>') AS html",
         "CAST(NULL AS string) AS error", "page_id % 13 = 0 AS nav_timed_out").where("ord % 33 <> 0")
     return requests, static, rendered
+
+
+def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered and nested lists, a quote around the whole text, a rule and a code block."""
+    return table(spark, sf_dir, "documents").selectExpr(
+        "doc_id AS page_id", f"""concat(
+          '<ol start="', doc_id, '"><li>', source, '</li><li>', lang, '<ul><li>n ', doc_id,
+          '</li></ul></li></ol><blockquote><p>', {_ESCAPED}, '</p><ul><li>q</li></ul></blockquote><hr>',
+          '<pre data-lang="', lang, '">\n\n  x = ', doc_id, '  \n</pre>') AS html""")
+
+
+def article_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An article around the whole text, and in it what does not belong there."""
+    return table(spark, sf_dir, "documents").selectExpr(
+        "doc_id AS page_id", f"""concat(
+          '<body><div class="sidebar"><a href="/1">Side ', doc_id, '</a></div><article><h2>Head ', doc_id,
+          '</h2><p>', {_ESCAPED}, '</p><p>Second part of page ', doc_id, ', long enough to be read, and ',
+          'with more than one clause, so that it counts.</p><ul><li><a href="/2">the first related page',
+          '</a></li><li><a href="/3">the second related page</a></li></ul><form><p>Sign up</p></form>',
+          '<div class="promo"><p>Buy now</p></div></article></body>') AS html""")
+
+
+def odd_markup_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marked sections no tokenizer knows, in the middle of a page; every twentieth has no markup."""
+    return table(spark, sf_dir, "documents").selectExpr(
+        "doc_id AS page_id", f"""CASE WHEN doc_id % 20 > 0 THEN concat(
+          '<h1>Page ', doc_id, '</h1><![', source, '[x]]><p>', {_ESCAPED}, '</p><![ ',
+          lang, '>end') END AS html""")
+
+
+def role_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The content in an element whose role says so, beside a class of the same label twice."""
+    return table(spark, sf_dir, "documents").selectExpr(
+        "doc_id AS page_id", f"""concat(
+          '<div class="entry"><p>First ', doc_id, '.</p></div><section role="Main"><p>', {_ESCAPED},
+          '</p><p>Role ', doc_id, ', and words enough, that no page is too short to be taken as ',
+          'content by what it has.</p></section><div class="entry"><p>Last.</p></div>') AS html""")

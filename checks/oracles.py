@@ -91,15 +91,20 @@ _LABEL = _mark("trim(regexp_extract(a, '(?s)>(.*)</a>$', 1))")
 _LINK_KEEP = f"'* [' || {_LABEL} || '](' || {_resolved('origin', _HREF)} || ')'"
 _LINK_TEXT = f"'* ' || {_LABEL}"
 
-# Blocks of the article: each <p> starts one, <b> opens bold that stays open to the end.
-_ARTICLE = f"""
-    '# ' || replace({_mark("trim(h1, E' ' || chr(10))")}, chr(10), ' ') || chr(10) || chr(10) ||
+def _blocks(html: str) -> str:
+    """Each <p> starts a block; <b> opens bold that stays open to the end."""
+    return f"""
     array_to_string(list_filter(list_transform(
-      regexp_split_to_array(regexp_replace(article, '(?s)^<h1>.*?</h1>', ''), '<p>|</p>|<br>'),
+      regexp_split_to_array({html}, '<p>|</p>|<br>'),
       lambda b: CASE WHEN starts_with(b, '<b>')
         THEN '**' || {_mark("trim(substring(b, 4), E' ' || chr(10))")}
         ELSE {_mark("trim(b, E' ' || chr(10))")} END), lambda b: b <> ''), chr(10) || chr(10))
-    || repeat('**', len(regexp_extract_all(article, '<b>')))"""
+    || repeat('**', len(regexp_extract_all({html}, '<b>')))"""
+
+
+_ARTICLE = f"""
+    '# ' || replace({_mark("trim(h1, E' ' || chr(10))")}, chr(10), ' ') || chr(10) || chr(10) ||
+    {_blocks("regexp_replace(article, '(?s)^<h1>.*?</h1>', '')")}"""
 _FOOTER = _mark("trim(footer, E' ' || chr(10))")
 
 
@@ -109,6 +114,49 @@ def _page(nav: str) -> str:
     || ({_ARTICLE}) || chr(10) || chr(10) || {_FOOTER} || chr(10)"""
 
 
+# What the published heuristic makes of the given pages.  An article is a chain of <p><b>, each inside
+# the one before it, with closed paragraphs between; credit goes to the article from the first <p>, and to
+# each <b> from its paragraphs and the next <p>.  The best of them is the article or one <b>.
+_EXTRACTED = f"""
+grp AS (
+  SELECT page_id, g, rest, {_segments("part")} AS texts, list_transform(
+    regexp_extract_all(part, '(?s)<p>(.*?)</p>', 1),
+    lambda t: trim({_plain('t')}, E' \\n\\t\\r')) AS inner_texts
+  FROM (SELECT page_id, g, gs[g] AS part, '<b>' || array_to_string(gs[g:], '<p><b>') AS rest
+        FROM (SELECT page_id, gs, unnest(range(1, len(gs) + 1)) AS g
+              FROM (SELECT page_id, string_split(article, '<p><b>')[2:] AS gs FROM parts)))),
+tot AS (
+  SELECT *, sum(len(texts)) OVER later AS runs, sum(len(inner_texts)) OVER later AS inner_count,
+    count(*) OVER later AS groups,
+    sum(list_sum(list_transform(texts, lambda t: length(t)))) OVER later AS chars,
+    sum(list_sum(list_transform(texts, lambda t: length(t) - length(replace(t, ',', ''))))) OVER later
+      AS commas,
+    list_sum(list_transform(list_filter(inner_texts, lambda t: length(t) >= 25), lambda t:
+      2 + length(t) - length(replace(t, ',', '')) + least(length(t) / 100, 3))) AS inner_credit
+  FROM grp WINDOW later AS (PARTITION BY page_id ORDER BY g DESC)),
+credits AS (
+  SELECT *, chars + runs - 1 AS size, CASE WHEN chars + runs - 1 >= 25
+    THEN 2 + commas + least((chars + runs - 1) / 100, 3) END AS credit
+  FROM tot),
+nodes AS (
+  SELECT page_id, 0 AS g, 5 + credit AS points FROM credits WHERE g = 1
+  UNION ALL
+  SELECT page_id, g, coalesce(inner_credit + after, inner_credit, after)
+  FROM (SELECT *, lead(credit) OVER (PARTITION BY page_id ORDER BY g) AS after FROM credits)),
+best AS (
+  SELECT page_id, g FROM nodes WHERE points IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY points DESC, g) = 1),
+own AS (
+  SELECT b.page_id, b.g, rest, CASE WHEN b.g = 0 THEN d.text_length ELSE size END::INT AS own_length,
+    CASE WHEN b.g = 0 THEN d.paragraphs ELSE inner_count + groups - 1 END AS own_paragraphs,
+    CASE WHEN b.g = 0 THEN d.structural_elements ELSE 0 END AS own_structure
+  FROM best b JOIN decided d USING (page_id) LEFT JOIN credits c ON c.page_id = b.page_id AND c.g = b.g),
+extracted AS (
+  SELECT d.*, g, rest, own_length, own_structure,
+    coalesce(own_length >= 80 AND (own_paragraphs > 0 OR own_structure >= 2), false) AS ok
+  FROM decided d LEFT JOIN own USING (page_id))
+"""
+
 _FULL = f"{_with(_PARTS)}, md AS (SELECT *, {_page(_nav(_LINK_KEEP))} AS markdown FROM parts)"
 
 # --- pages derived from documents ------------------------------------------------------------
@@ -267,11 +315,55 @@ _HTML_CHARS = r"""
           FROM documents)
 """
 
+_SECOND = ("'Second part of page ' || doc_id || ', long enough to be read, and with more than one clause, '"
+           " || 'so that it counts.'")
+_ROLE = ("'Role ' || doc_id || ', and words enough, that no page is too short to be taken as content by '"
+         " || 'what it has.'")
+_BODY_BLOCK = f"CASE WHEN body = '' THEN '' ELSE body || {_NL} END"
+
+
+def _listing(language: str) -> str:
+    return f"""{_with(_DOC)}
+      SELECT doc_id AS page_id, doc_id || '. ' || source || chr(10) || (doc_id + 1) || '. ' || lang
+        || chr(10) || repeat(' ', len((doc_id + 1)::VARCHAR) + 2) || '* n ' || doc_id || {_NL} || '> '
+        || CASE WHEN body = '' THEN '' ELSE replace(body, chr(10), chr(10) || '> ') || chr(10) || '>'
+             || chr(10) || '> ' END || '* q' || {_NL} || '---' || {_NL} || '```' || {language}
+        || chr(10) || '  x = ' || doc_id || chr(10) || '```' || chr(10) AS markdown
+      FROM d"""
+
+
 ORACLES: dict[str, str] = {
     "url_list": """
       SELECT 2 * (n - 1) + k AS ord, url
       FROM (SELECT url, row_number() OVER (ORDER BY page_id) AS n FROM pages),
         (VALUES (0), (1)) v(k)""",
+    "url_sources": """
+      SELECT row_number() OVER (ORDER BY source, pos) - 1 AS ord, source, url
+      FROM (SELECT 0 AS source, event_id AS pos, 'http://events.example/' || event_id AS url
+            FROM events WHERE event_id % 50 = 0
+            UNION ALL SELECT 1, page_id, url FROM pages)""",
+    "article_choice": f"""
+      SELECT doc_id AS page_id, 'readability' AS selected,
+        'readability candidate passed quality checks' AS reason,
+        (5 + len(doc_id::VARCHAR) + 1 + len({_SECOND})
+          + CASE WHEN trim(text, E' \\n') = '' THEN 0 ELSE len(trim(text, E' \\n')) + 1 END)::INT
+          AS text_length, 2 AS paragraphs, 0::DOUBLE AS link_density, 1 AS structural_elements
+      FROM documents""",
+    "article_markdown": f"""{_with(_DOC)}
+      SELECT doc_id AS page_id, '## Head ' || doc_id || {_NL} || {_BODY_BLOCK} || {_SECOND} || chr(10)
+        AS markdown FROM d""",
+    "role_choice": """
+      SELECT doc_id AS page_id, 'section[role="main"]' AS selected,
+        'div.entry div.entry section[role="main"]' AS selectors FROM documents""",
+    "role_markdown": f"""{_with(_DOC)}
+      SELECT doc_id AS page_id, {_BODY_BLOCK} || {_ROLE} || chr(10) AS markdown FROM d""",
+    "lists_markdown": _listing("lang"),
+    "language_hook": _listing("'x-' || lang"),
+    "odd_markup": f"""{_with(_DOC)}
+      SELECT doc_id AS page_id, CASE WHEN doc_id % 20 = 0 THEN '' ELSE
+        '# Page ' || doc_id || {_NL} || {_BODY_BLOCK} || 'end' END || chr(10) AS markdown FROM d""",
+    "unreadable_pages": """
+      SELECT doc_id AS page_id, 'no markup' AS error FROM documents WHERE doc_id % 20 = 0""",
     "output_path": r"""
       SELECT page_id, 'out/' || CASE WHEN stem = '' THEN 'index' ELSE stem END || '.md' AS output_path
       FROM (SELECT page_id, regexp_replace(url_decode(replace(regexp_extract(regexp_extract(
@@ -401,6 +493,32 @@ ORACLES: dict[str, str] = {
       SELECT page_id, 'dom' AS requested_mode,
         CASE WHEN starts_with(reason, 'best') THEN 'full' ELSE 'article[0]' END AS selected, reason,
         1 AS candidate_count FROM decided""",
+    "readability_root": f"""{_with(_PARTS, _CANDIDATE)}, {_EXTRACTED}
+      SELECT page_id, CASE WHEN ok THEN 'readability' WHEN starts_with(reason, 'best') THEN 'full'
+          ELSE 'article[0]' END AS selected,
+        CASE WHEN ok THEN 'readability candidate passed quality checks'
+          WHEN starts_with(reason, 'best') THEN reason
+          ELSE 'readability candidate failed quality checks; selected DOM candidate' END AS reason,
+        CASE WHEN ok THEN own_length ELSE text_length END AS text_length
+      FROM extracted""",
+    "markdown_auto": f"""{_FULL}, {_CANDIDATE}, {_EXTRACTED}
+      SELECT md.page_id, CASE WHEN ok AND g > 0 THEN {_blocks("rest")} || chr(10)
+        WHEN starts_with(reason, 'best') AND NOT ok THEN markdown
+        ELSE ({_ARTICLE}) || chr(10) END AS markdown
+      FROM md JOIN extracted USING (page_id)""",
+    "quality_means": f"""{_with(_PARTS, _CANDIDATE)}, {_EXTRACTED},
+      body AS (SELECT *, {_segments("regexp_replace(" + _VISIBLE + ", '(?s)^.*?<body>', '')")} AS bs
+               FROM parts),
+      kept AS (
+        SELECT e AS extractor, CASE WHEN e = 'readability' AND ok THEN own_length
+            WHEN e = 'full' OR starts_with(reason, 'best')
+            THEN coalesce(list_sum(list_transform(bs, lambda t: length(t))) + len(bs) - 1, 0)
+            ELSE text_length END AS size,
+          CASE WHEN e = 'readability' AND ok THEN own_structure ELSE structural_elements END AS headings
+        FROM body JOIN extracted USING (page_id), (VALUES ('full'), ('dom'), ('readability')) v(e))
+      SELECT extractor, count(*) AS pages, avg(size) AS mean_text_length, avg(headings) AS mean_headings,
+        0::DOUBLE AS mean_code_blocks, 0::DOUBLE AS mean_tables, 0::DOUBLE AS mean_images
+      FROM kept GROUP BY extractor""",
     "decision_lines": f"""{_with(_PARTS, _CANDIDATE)}
       SELECT page_id, 'extraction: mode=dom selected=' || CASE WHEN starts_with(reason, 'best')
         THEN 'full' ELSE 'article[0]' END || ' reason=' || reason AS line FROM decided""",

@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.derived import derived_captures, derived_pages, derived_responses, pages, table
+from checks.derived import (
+    article_pages,
+    derived_captures,
+    derived_pages,
+    derived_responses,
+    listing_pages,
+    odd_markup_pages,
+    pages,
+    role_pages,
+    table,
+)
 from pagesmelt.fixed_values import HEADING_TAGS
 from pagesmelt.functions import (
     front_matter,
@@ -27,7 +37,13 @@ from pagesmelt.operators.captures import (
     sniffed_charset,
 )
 from pagesmelt.operators.metadata import page_metadata
-from pagesmelt.operators.nodes import is_run, node_rows, page_links, parse_pages
+from pagesmelt.operators.nodes import (
+    is_run,
+    node_rows,
+    page_links,
+    parse_failures,
+    parse_pages,
+)
 from pagesmelt.operators.render import code_language
 from pagesmelt.operators.reports import (
     batch_summary,
@@ -74,7 +90,18 @@ def url_list(spark, sf_dir):
         "posexplode(array(concat('# page ', page_id), concat('  ', url, '\\t'), '   ', url)) "
         "AS (part, line)")
     listed = url_lines(lines).withColumn("pos", F.struct("page_id", "part"))
-    return numbered(listed, "block")
+    return numbered(listed, "block", within="pos").select("ord", "url")
+
+
+def url_sources(spark, sf_dir):
+    """A list of events' addresses first, then the pages' own, in one order."""
+    first = table(spark, sf_dir, "events").where("event_id % 50 = 0").selectExpr(
+        "0 AS source", "CAST(event_id / 5000 AS int) AS block", "event_id AS pos",
+        "concat('http://events.example/', event_id) AS url")
+    second = table(spark, sf_dir, "pages").selectExpr(
+        "1 AS source", "CAST(page_id / 1000 AS int) AS block", "page_id AS pos", "url")
+    return numbered(first.union(second), "source", "block", within="pos").select(
+        "ord", "source", "url")
 
 
 def output_path(spark, sf_dir):
@@ -262,6 +289,47 @@ def readability_root(spark, sf_dir):
         "page_id", "selected", "reason", "candidates[0].text_length AS text_length")
 
 
+def article_choice(spark, sf_dir):
+    """The article extracted, after what does not belong to it went."""
+    return extraction_decisions(article_pages(spark, sf_dir), "readability").selectExpr(
+        "page_id", "selected", "reason", "candidates[0].text_length AS text_length",
+        "candidates[0].paragraphs AS paragraphs", "candidates[0].link_density AS link_density",
+        "candidates[0].structural_elements AS structural_elements")
+
+
+def article_markdown(spark, sf_dir):
+    return to_markdown(article_pages(spark, sf_dir), content="auto")
+
+
+def role_choice(spark, sf_dir):
+    return extraction_decisions(role_pages(spark, sf_dir), "dom").selectExpr(
+        "page_id", "selected", "candidates.selector AS selectors").withColumn(
+        "selectors", F.array_join(F.sort_array("selectors"), " "))
+
+
+def role_markdown(spark, sf_dir):
+    """The subtree a label names."""
+    return to_markdown(role_pages(spark, sf_dir), content="dom")
+
+
+def lists_markdown(spark, sf_dir):
+    return to_markdown(listing_pages(spark, sf_dir))
+
+
+def language_hook(spark, sf_dir):
+    """Code blocks whose language a rule of the caller names."""
+    return to_markdown(
+        listing_pages(spark, sf_dir), language=F.concat(F.lit("x-"), F.col("attrs")["data-lang"]))
+
+
+def odd_markup(spark, sf_dir):
+    return to_markdown(odd_markup_pages(spark, sf_dir))
+
+
+def unreadable(spark, sf_dir):
+    return parse_failures(odd_markup_pages(spark, sf_dir))
+
+
 def _given_markdown(**options):
     def query(spark, sf_dir):
         return to_markdown(pages(spark, sf_dir), **options)
@@ -324,6 +392,7 @@ def timing(spark, sf_dir):
 
 QUERIES: dict[str, Query] = {
     "url_list": url_list,
+    "url_sources": url_sources,
     "output_path": output_path,
     "output_collisions": collisions,
     "resolve_links": resolve_links,
@@ -355,6 +424,14 @@ QUERIES: dict[str, Query] = {
     "decision_lines": decision_text,
     "content_root_text": content_root_text,
     "readability_root": readability_root,
+    "article_choice": article_choice,
+    "article_markdown": article_markdown,
+    "role_choice": role_choice,
+    "role_markdown": role_markdown,
+    "lists_markdown": lists_markdown,
+    "language_hook": language_hook,
+    "odd_markup": odd_markup,
+    "unreadable_pages": unreadable,
     "markdown_full": _given_markdown(),
     "markdown_dom": _given_markdown(content="dom"),
     "markdown_auto": _given_markdown(content="auto"),

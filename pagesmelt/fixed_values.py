@@ -87,6 +87,11 @@ READABILITY_TAG_POINTS = {
     -3: ("address", "dd", "dl", "dt", "form", "li", "ol", "ul"),
     -5: ("footer", "h1", "h2", "h3", "h4", "h5", "h6", "header", "nav", "th"),
 }
+# Inside an article: always cut, and cut when their subtree reads like navigation.
+READABILITY_FORM_TAGS = ("form", "textarea", "iframe")
+READABILITY_BLOCK_TAGS = (
+    "table", "ul", "div", "aside", "header", "footer", "section",
+)
 READABILITY_MIN_PARAGRAPH = 25
 READABILITY_MIN_ARTICLE = 250
 

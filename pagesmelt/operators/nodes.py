@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesmelt.functions.text import text_trim
@@ -15,33 +15,45 @@ from pagesmelt.functions.urls import (
 )
 from pagesmelt.operators import tagsoup
 
+# Marks the key of a table whose buckets hold whole pages.
+_TOGETHER = "pages_together"
 NODE_FIELDS = tuple(field.name for field in tagsoup.NODE_TYPE)
 
 # Executors need no copy of this package: the walker travels with the plan.
 cloudpickle.register_pickle_by_value(tagsoup)
 
 
-def parse_pages(pages: DataFrame, base_url: str | None = None) -> DataFrame:
+def parse_pages(
+    pages: DataFrame, base_url: str | None = None, errors: bool = False
+) -> DataFrame:
     """Replace ``html`` by ``nodes``, one array per page; null where the markup is refused.
 
-    With ``base_url``, a column, every ``href``, ``src`` and ``srcset`` is made absolute.
+    With ``base_url``, a column, every ``href``, ``src`` and ``srcset`` is made absolute.  With
+    ``errors``, ``parse_error`` says why there are no nodes, from the same pass.
     Narrow: no shuffle, one row per page.  Parsing is the dear step, so the array is what gets
     shuffled and shared by the operators that read one page more than once.
     """
-    walk = F.arrow_udf(tagsoup.walk_pages, tagsoup.NODES_TYPE)
+    walk = F.arrow_udf(tagsoup.walk_pages, tagsoup.WALKED_TYPE)
     others = [name for name in pages.columns if name not in ("html", "nodes")]
-    parsed = pages.select(*others, walk(F.col("html")).alias("nodes"))
+    walked = pages.select(*others, walk(F.col("html")).alias("_walked"))
+    error = [F.col("_walked.error").alias("parse_error")] if errors else []
+    parsed = walked.select(*others, F.col("_walked.nodes").alias("nodes"), *error)
     if base_url is None:
         return parsed
     split = parsed.selectExpr("*", f"{url_parts_sql(base_url)} AS _base")
-    return split.select(*others, F.expr(_absolute_nodes(base_url)).alias("nodes"))
+    return split.select(
+        *others, F.expr(_absolute_nodes(base_url)).alias("nodes"), *(["parse_error"] if errors else []))
 
 
 def parse_failures(pages: DataFrame) -> DataFrame:
-    """Pages whose markup the tokenizer refuses; they convert to an empty document."""
-    parsed = parse_pages(pages.select("page_id", "html").where("html IS NOT NULL"))
+    """Pages of which nothing can be read, and why.
+
+    Sections of an unknown kind (``<![x[``) are comments, as browsers have it, so what is left are
+    pages without any HTML and what the tokenizer may still refuse.
+    """
+    parsed = parse_pages(pages.select("page_id", "html"), errors=True)
     return parsed.where("nodes IS NULL").select(
-        "page_id", F.lit("markup cannot be parsed").alias("error"))
+        "page_id", F.coalesce("parse_error", F.lit("no markup")).alias("error"))
 
 
 def _absolute_nodes(base_url: str) -> str:
@@ -58,9 +70,33 @@ def _absolute_nodes(base_url: str) -> str:
           THEN named_struct({fields}) ELSE n END) END"""
 
 
+def write_parsed(parsed: DataFrame, table: str, buckets: int) -> None:
+    """Parsed pages as a table bucketed by ``page_id``, for several conversions of one corpus.
+
+    Choose ``buckets`` for the corpus, a few hundred MB of nodes each.  What ``read_parsed``
+    yields needs no exchange, parse or sort of whole pages again.
+    """
+    marked = F.col("page_id").alias("page_id", metadata={_TOGETHER: True})
+    others = [name for name in parsed.columns if name != "page_id"]
+    parsed.select(marked, *others).repartition(buckets, "page_id").write.bucketBy(
+        buckets, "page_id").sortBy("page_id").format("parquet").saveAsTable(table)
+
+
+def read_parsed(spark: SparkSession, table: str) -> DataFrame:
+    """Parsed pages of a table that ``write_parsed`` wrote."""
+    return spark.table(table)
+
+
 def shared(parsed: DataFrame) -> DataFrame:
-    """Parsed pages hash partitioned on ``page_id``: the exchange all operators reuse."""
-    return parsed.select("page_id", "nodes").repartition("page_id")
+    """Parsed pages hash partitioned on ``page_id``: the exchange all operators reuse.
+
+    A bucketed table is partitioned already; should a step in between have lost that, Spark
+    itself deals the node rows out again.
+    """
+    pages = parsed.select("page_id", "nodes")
+    if parsed.schema["page_id"].metadata.get(_TOGETHER):
+        return pages
+    return pages.repartition("page_id")
 
 
 def node_rows(parsed: DataFrame) -> DataFrame:

@@ -1,11 +1,14 @@
-"""Clean node rows to Markdown: ordered fragments, one ordered aggregation per page.
+"""Clean node rows to Markdown: events, then gaps between atoms, then one text per page.
 
 Every element contributes codes and text at its opening and closing position.  *Atoms* (text,
-images, table cells, fences) split the page into gaps.  Within a gap all closing markers stand
+images, table cells, code blocks) split the page into gaps.  Within a gap all closing markers stand
 before all opening ones, so a gap becomes ``closers + separator + openers + atom`` and the
-separator follows from the gap's codes alone.  Fragments are joined per page in document order
-and the gaps resolved inside the joined text, so nothing is grouped finer than ``page_id``, whose
-partitioning the node rows already have.
+separator follows from the gap's codes alone.  Gaps are rows: codes, markers and texts stay in columns
+of their own, and no character of a page can be taken for one of them.  All groups are within a
+page, whose partitioning the node rows already have.
+
+Lists, quotes and definitions put a prefix before the lines inside them.  It is a column width, a
+running sum over the page, and for quotes the texts that a fold over their ends builds up.
 
 The expressions are written as SQL text: they are long, and parse much faster than they build.
 """
@@ -33,12 +36,6 @@ from pagesmelt.operators.nodes import with_closes
 # without trimming (u adds one), r a <br>, s n white space in text, w a space that stays,
 # . anything that keeps neighbouring white space apart.  Every event also says where it stands:
 # x in running text, h in a heading, d in a table cell.
-#
-# Characters Unicode reserves for internal use keep texts and codes apart.
-_PRE_START, _PRE_END = "\ufdd0", "\ufdd1"
-_CLOSER, _OPENER, _ATOM, _BOXES, _END, _GAP = (
-    "\ufdd2", "\ufdd3", "\ufdd4", "\ufdd5", "\ufdd6", "\ufdd7")
-_SEPARATORS = _CLOSER + _OPENER + _ATOM + _BOXES + _END + _GAP
 
 _MARKERS = {
     "b": "**", "strong": "**", "em": "*", "i": "*", "del": "~~", "s": "~~", "sub": "", "sup": "",
@@ -63,6 +60,7 @@ _IS_CELL = f"tag IN {_among(_CELLS)}"
 _SIBLINGS = "PARTITION BY page_id, parent"
 _RUNNING = "PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING"
 _NEAR = "PARTITION BY page_id ORDER BY pos"
+_BEFORE = f"{_NEAR} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
 
 def _with(rows: DataFrame, **columns: str) -> DataFrame:
@@ -224,8 +222,25 @@ def _table_rules(events: DataFrame) -> DataFrame:
                  THEN concat('\\n', {line.format('---')}) ELSE '' END""")
 
 
+def _ordinal(start: str, number: str) -> str:
+    """``start``, digits of any length, and ``number - 1`` added, as digits."""
+    digits = f"regexp_replace({start}, '^0+(?=[0-9])', '')"
+    head, tail = "left(d, length(d) - 18)", f"cast(right(d, 18) AS decimal(38, 0)) + {number} - 1"
+    # What the last 18 digits carry over goes past the nines before them.
+    carried = f"""
+        concat(CASE WHEN {head} RLIKE '^9*$' THEN '1' ELSE concat(
+          regexp_extract({head}, '^([0-9]*)[0-8]9*$', 1),
+          int(regexp_extract({head}, '([0-8])9*$', 1)) + 1) END,
+          repeat('0', length(regexp_extract({head}, '(9*)$', 1))))"""
+    return f"""
+        transform(array({digits}), d -> CASE
+          WHEN length(d) <= 18 THEN string({tail})
+          WHEN {tail} < 1000000000000000000BD THEN concat({head}, lpad(string({tail}), 18, '0'))
+          ELSE concat({carried}, lpad(string({tail} - 1000000000000000000BD), 18, '0')) END)[0]"""
+
+
 def _fragments(events: DataFrame) -> DataFrame:
-    """Per event: gap codes, closing and opening marker, atom, code after the atom, prefix."""
+    """Per event: gap codes, closing and opening marker, atom, code after the atom, column step."""
     marks = "CASE tag " + " ".join(
         f"WHEN '{tag}' THEN '{mark}'" for tag, mark in _MARKERS.items()) + " END"
     bullets = f"array({', '.join(repr(b) for b in BULLETS)})"
@@ -238,10 +253,9 @@ def _fragments(events: DataFrame) -> DataFrame:
         # A heading whose only image was decorative leaves just its marks.
         _bare=f"coalesce({_IS_HEADING} AND NOT inline AND NOT has_atom, false)",
         _bullet=f"""
-            CASE WHEN tag = 'li' AND ev = 'open' THEN CASE WHEN parent_tag = 'ol'
-              THEN concat(CASE WHEN list_start RLIKE '^[0-9]{{1,37}}$'
-                               THEN cast(list_start AS decimal(38, 0))
-                               ELSE 1 END + li_no - 1, '. ')
+            CASE WHEN tag = 'li' THEN CASE WHEN parent_tag = 'ol' THEN concat(
+                CASE WHEN list_start RLIKE '^[0-9]+$' THEN {_ordinal('list_start', 'li_no')}
+                     ELSE string(li_no) END, '. ')
               ELSE concat({bullets}[int(pmod(in_ul - 1, {len(BULLETS)}))], ' ') END END""")
     facts = _with(
         facts,
@@ -308,15 +322,11 @@ def _fragments(events: DataFrame) -> DataFrame:
                   ELSE concat('![', coalesce(attrs['alt'], ''), '](', coalesce(link, ''), _title,
                               ')') END
              WHEN tag = 'br' THEN CASE WHEN in_pre > 0 THEN '\n' END
-             WHEN tag = 'hr' THEN CASE WHEN in_pre = 0 THEN '---' END
+             WHEN tag = 'hr' THEN CASE WHEN in_pre = 0 THEN '---' ELSE '\n\n---\n\n' END
              WHEN {_IS_CELL} THEN CASE ev WHEN 'open' THEN ' ' ELSE repeat(' |', span) END
              WHEN tag = 'tr' THEN CASE ev WHEN 'open' THEN concat(overline, '|')
                   ELSE nullif(underline, '') END
-             WHEN tag = 'pre' AND in_pre = 0 THEN CASE ev
-                  WHEN 'open' THEN concat('```', coalesce(
-                    CASE WHEN next_code.pos < post THEN next_code.language END,
-                    language, ''), '\n{_PRE_START}')
-                  ELSE '{_PRE_END}\n```' END
+             WHEN tag = 'pre' AND in_pre = 0 THEN CASE ev WHEN 'close' THEN '\n```' END
              WHEN tag = 'q' THEN '"'
              WHEN _bare AND ev = 'open' THEN repeat('#', int(substring(tag, 2, 1)))
              WHEN tag = 'video' AND NOT inline AND coalesce(link, attrs['poster'], '') <> '' THEN
@@ -327,125 +337,128 @@ def _fragments(events: DataFrame) -> DataFrame:
                                 CASE WHEN link <> '' THEN concat('](', link, ')') ELSE '' END) END
              END"""
     after = f"""
-        CASE WHEN ev = 'text' THEN CASE WHEN in_pre > 0 OR blank THEN '' ELSE trail_code END
+        CASE WHEN in_pre > 0 THEN ''
+             WHEN ev = 'text' THEN CASE WHEN blank THEN '' ELSE trail_code END
              WHEN tag = 'hr' THEN ')'
              WHEN {_IS_CELL} AND ev = 'open' THEN '{{'
              WHEN tag = 'tr' AND ev = 'close' AND underline <> '' THEN ']'
-             WHEN tag = 'pre' AND ev = 'close' AND in_pre = 0 THEN ')'
+             WHEN tag = 'pre' AND ev = 'close' THEN ')'
              WHEN _bare AND ev = 'open' THEN ')'
              ELSE '' END"""
-    prefix = """
-        CASE WHEN ev <> 'open' OR inline OR in_pre > 0 THEN NULL
-             WHEN tag = 'li' THEN repeat(' ', length(_bullet))
-             WHEN tag = 'blockquote' THEN '> '
-             WHEN tag = 'dd' THEN '    ' END"""
-    return facts.selectExpr(
-        "page_id", "pos", "pre", "inline",
-        "CASE WHEN size(boxes) > 0 THEN array_join(boxes, ',') ELSE '' END AS boxes",
+    # The text of a code block is one atom with its fence, at the block's end.
+    fence = """
+        CASE WHEN tag = 'pre' AND ev = 'open' AND in_pre = 0 THEN concat('```', coalesce(
+          CASE WHEN next_code.pos < post THEN next_code.language END, language, ''), '\n') END"""
+    width = """
+        CASE WHEN ev NOT IN ('open', 'close') OR inline OR in_pre > 0 THEN NULL
+             WHEN tag = 'li' THEN length(_bullet)
+             WHEN tag = 'blockquote' THEN 2
+             WHEN tag = 'dd' THEN 4 END"""
+    return _with(facts, _atom=atom, _width=width).selectExpr(
+        "page_id", "pos",
         "CASE WHEN in_heading > 0 THEN 'h' WHEN in_cell > 0 THEN 'd' ELSE 'x' END AS place",
-        f"{code} AS code", f"{opener} AS opener", f"{closer} AS closer", f"{atom} AS atom",
-        f"{after} AS after", f"{prefix} AS prefix")
-
-
-def _joined(fragments: DataFrame) -> DataFrame:
-    """One text of fragments per page, in document order, with the prefixes of its boxes."""
-    # Reserved characters in a page's own text would read as codes.
-    def own(text: str) -> str:
-        return f"translate({text}, '{_SEPARATORS}', '')"
-
-    flat = own("CASE WHEN inline THEN replace(atom, chr(10), ' ') ELSE atom END")
-    pieces = _with(fragments, piece=f"""
-        concat(place, coalesce(lag(after) OVER ({_NEAR}), ''), code,
-          CASE WHEN closer IS NULL THEN '' ELSE concat('{_CLOSER}', {own('closer')}, '{_END}') END,
-          CASE WHEN opener IS NULL THEN ''
-               ELSE concat('{_OPENER}', boxes, '{_BOXES}', {own('opener')}, '{_END}') END,
-          CASE WHEN atom IS NULL THEN ''
-               ELSE concat('{_ATOM}', boxes, '{_BOXES}', {flat}, '{_GAP}') END)""")
-    return pieces.groupBy("page_id").agg(
-        F.expr("listagg(piece, '') WITHIN GROUP (ORDER BY pos)").alias("fragments"),
-        F.expr("map_from_entries(collect_list(named_struct('box', string(pre), 'prefix', prefix)) "
-               "FILTER (WHERE prefix IS NOT NULL))").alias("prefix_of"))
-
-
-def _assembled(pages: DataFrame) -> DataFrame:
-    """Resolve each gap's codes to a number of line breaks and of spaces, then join the page."""
-    split = f"""
-        transform(split(fragments, '{_GAP}'), gap -> named_struct(
-          'head', substring_index(gap, '{_ATOM}', 1),
-          'boxes', regexp_extract(gap, '^[^{_OPENER}{_ATOM}]*[{_OPENER}{_ATOM}]([^{_BOXES}]*)', 1),
-          'atom_boxes', regexp_extract(gap, '{_ATOM}([^{_BOXES}]*)', 1),
-          'atom', CASE WHEN contains(gap, '{_ATOM}')
-                       THEN substring_index(gap, '{_BOXES}', -1) ELSE '' END))"""
-    # White space of texts that became neighbours is one run of white space; where a gap stands
-    # is the outermost place it touches.
-    marked = f"""
-        transform(gaps, g -> struct(g.boxes, g.atom, g.atom_boxes,
-          CASE WHEN contains(g.head, '{_CLOSER}')
-               THEN array_join(regexp_extract_all(g.head, '{_CLOSER}([^{_END}]*)', 1), '')
-               ELSE '' END AS closers,
-          CASE WHEN contains(g.head, '{_OPENER}') THEN array_join(
-            regexp_extract_all(g.head, '{_OPENER}[^{_BOXES}]*{_BOXES}([^{_END}]*)', 1), '')
-               ELSE '' END AS openers,
-          regexp_replace(g.head, '[{_CLOSER}{_OPENER}][^{_END}]*{_END}', '') AS codes))"""
-    placed = """
-        transform(gaps, g -> struct(g.boxes, g.atom, g.atom_boxes, g.closers, g.openers,
-          CASE WHEN contains(g.codes, 'x') THEN 'x' WHEN contains(g.codes, 'h') THEN 'h'
-               ELSE 'd' END AS place,
-          regexp_replace(regexp_replace(regexp_replace(
-            translate(g.codes, 'xhd', ''), '[.]+', '.'), 's*n[sn]*', 'n'), 's+', 's') AS codes))"""
+        f"{code} AS code", f"{opener} AS opener", f"{closer} AS closer",
+        "CASE WHEN in_pre = 0 THEN CASE WHEN inline THEN replace(_atom, '\n', ' ') ELSE _atom END "
+        "END AS atom",
+        "CASE WHEN in_pre > 0 THEN _atom END AS verbatim", f"{fence} AS fence", f"{after} AS after",
+        "CASE ev WHEN 'open' THEN _width ELSE -_width END AS step",
+        "CASE WHEN tag = 'blockquote' AND _width > 0 THEN ev = 'open' END AS quotes")
+
+
+def _gaps(fragments: DataFrame) -> DataFrame:
+    """One row per gap: its codes, markers and atom, and the columns its lines start at."""
+    placed = _with(
+        fragments,
+        gap=f"count(atom) OVER ({_BEFORE})",
+        column=f"coalesce(sum(step) OVER ({_BEFORE}), 0)",
+        quoted=f"count(quotes) OVER ({_BEFORE})",
+        before=f"coalesce(lag(after) OVER ({_NEAR}), '')")
+    return placed.groupBy("page_id", "gap").agg(
+        F.expr("sort_array(collect_list(struct(pos, concat(before, code) AS code, closer, opener, "
+               "verbatim, fence, place)))").alias("e"),
+        F.max("atom").alias("atom"),
+        F.expr("min(CASE WHEN opener IS NOT NULL OR atom IS NOT NULL "
+               "THEN struct(pos, column, quoted) END)").alias("first"),
+        F.expr("max(CASE WHEN atom IS NOT NULL THEN struct(pos, column, quoted) END)").alias("last"),
+        F.expr("sort_array(collect_list(CASE WHEN quotes IS NOT NULL "
+               "THEN struct(pos, quotes, column) END))").alias("quotes")).selectExpr(
+        "page_id", "gap", "first", "last", "quotes",
+        "array_join(e.closer, '') AS closers", "array_join(e.opener, '') AS openers",
+        "array_join(e.code, '') AS codes", "array_join(e.fence, '') AS fence",
+        "array_join(e.verbatim, '') AS verbatim", "atom",
+        # Where a gap stands is the outermost place it touches.
+        "CASE WHEN array_contains(e.place, 'x') THEN 'x' WHEN array_contains(e.place, 'h') THEN 'h' "
+        "ELSE 'd' END AS place")
+
+
+def _separated(gaps: DataFrame) -> DataFrame:
+    """Resolve each gap's codes to a number of line breaks and of spaces."""
+    # White space of texts that became neighbours is one run of white space.
+    gaps = _with(gaps, codes=r"""
+        CASE WHEN codes = '' THEN '' ELSE regexp_replace(regexp_replace(regexp_replace(
+          codes, '[.]+', '.'), 's*n[sn]*', 'n'), 's+', 's') END""")
     # What the last trimming close leaves, what stands before the first trimming open, and what
     # that open asks for.
-    kept = r"""
-        transform(gaps, g -> struct(g.boxes, g.atom, g.atom_boxes, g.closers, g.openers, g.place,
-          CASE WHEN g.codes RLIKE r'^[.]*$' THEN '' ELSE translate(concat(
-            CASE regexp_extract(g.codes, r'([)\]}c>])[^)\]}c>]*$', 1)
-              WHEN ')' THEN '2' WHEN ']' THEN '1' WHEN 'c' THEN 'w'
-              WHEN '>' THEN CASE WHEN g.codes RLIKE r'[swc][.>]*>[^)\]}c>]*$' THEN 's' ELSE '' END
-              ELSE '' END,
-            regexp_extract(g.codes,
-              r'(?:^|(?<=[)\]}c>(\[{o<]))([^)\]}c>(\[{o<]*+)(?:[(\[{o<][^)\]}c>]*+)?$', 1),
-            CASE regexp_extract(g.codes, r'^[^(\[{o<]*+([(\[{o<])', 1)
-              WHEN '(' THEN '2' WHEN '[' THEN '1' WHEN 'o' THEN 'w'
-              WHEN '<' THEN CASE WHEN g.codes RLIKE r'^[^(\[{o<]*+<[.<]*+[swo]'
-                                 THEN 's' ELSE '' END
-              ELSE '' END), '.', '') END AS items))"""
-    counted = r"""
-        transform(gaps, g -> struct(g.boxes, g.atom, g.atom_boxes, g.closers, g.openers, g.place,
-          g.items,
-          CASE WHEN contains(g.items, '2') THEN 2 ELSE least(2, length(regexp_replace(
-            regexp_replace(g.items, r'(?<=[1nru])[1n]+', ''), '[^1nru]', ''))) END AS breaks))"""
-    separated = """
-        transform(gaps, g -> struct(g.boxes, g.atom, g.atom_boxes, g.closers, g.openers,
-          CASE WHEN g.items = '' THEN ''
-               WHEN g.place = 'h' THEN ' '
-               WHEN g.place = 'd' THEN repeat(
-                 ' ', g.breaks + length(regexp_replace(g.items, '[^sw]', '')))
-               WHEN g.breaks > 0 THEN concat(
-                 repeat('\n', g.breaks),
-                 translate(regexp_extract(g.items, '([sw]*)$', 1), 'sw', '  '))
-               ELSE repeat(' ', length(regexp_replace(g.items, '[^sw]', ''))) END AS separator))"""
-
-    def prefixed(text: str, boxes: str) -> str:
-        prefix = (f"array_join(transform(split({boxes}, ','), box -> "
-                  "coalesce(prefix_of[box], '')), '')")
-        return (f"CASE WHEN {boxes} = '' OR NOT contains({text}, '\\n') THEN {text} "
-                f"ELSE replace({text}, '\\n', concat('\\n', {prefix})) END")
-
-    text = f"""
+    gaps = _with(gaps, items=r"""
+        CASE WHEN codes IN ('', '.') THEN '' ELSE translate(concat(
+          CASE regexp_extract(codes, r'([)\]}c>])[^)\]}c>]*$', 1)
+            WHEN ')' THEN '2' WHEN ']' THEN '1' WHEN 'c' THEN 'w'
+            WHEN '>' THEN CASE WHEN codes RLIKE r'[swc][.>]*>[^)\]}c>]*$' THEN 's' ELSE '' END
+            ELSE '' END,
+          regexp_extract(codes,
+            r'(?:^|(?<=[)\]}c>(\[{o<]))([^)\]}c>(\[{o<]*+)(?:[(\[{o<][^)\]}c>]*+)?$', 1),
+          CASE regexp_extract(codes, r'^[^(\[{o<]*+([(\[{o<])', 1)
+            WHEN '(' THEN '2' WHEN '[' THEN '1' WHEN 'o' THEN 'w'
+            WHEN '<' THEN CASE WHEN codes RLIKE r'^[^(\[{o<]*+<[.<]*+[swo]' THEN 's' ELSE '' END
+            ELSE '' END), '.', '') END""")
+    spaces = "length(regexp_replace(items, '[^sw]', ''))"
+    gaps = _with(gaps, breaks=r"""
+        CASE WHEN items = '' THEN 0 WHEN contains(items, '2') THEN 2
+             ELSE least(2, length(regexp_replace(
+               regexp_replace(items, r'(?<=[1nru])[1n]+', ''), '[^1nru]', ''))) END""")
+    # A code block has neither blank lines at its start nor white space at its end.
+    stripped = (r"regexp_replace(regexp_replace(verbatim, r'\A[ \n]*\n', ''), "
+                r"r'(?<![ \n])[ \n]++\z', '')")
+    return gaps.selectExpr(
+        "page_id", "gap", "first", "last", "quotes", "closers", "openers",
+        f"""CASE WHEN items = '' THEN '' WHEN place = 'h' THEN ' '
+                 WHEN place = 'd' THEN repeat(' ', breaks + {spaces})
+                 WHEN breaks > 0 THEN concat(repeat('\n', breaks), translate(
+                   regexp_extract(items, '([sw]*)$', 1), 'sw', '  '))
+                 ELSE repeat(' ', {spaces}) END AS separator""",
+        f"CASE WHEN fence <> '' THEN concat(fence, {stripped}, atom) ELSE coalesce(atom, '') END "
+        "AS atom")
+
+
+def _joined(gaps: DataFrame) -> DataFrame:
+    """One text per page, with the prefixes of lists and quotes after its line breaks."""
+    pages = gaps.groupBy("page_id").agg(
+        F.expr("sort_array(collect_list(struct(gap, closers, separator, openers, atom, first, last)))"
+               ).alias("gaps"),
+        F.expr("sort_array(flatten(collect_list(CASE WHEN size(quotes) > 0 THEN quotes END)))"
+               ).alias("quotes"))
+    # The prefix after each start and end of a quote: filled or cut to its column, and its mark.
+    prefixes = """
+        aggregate(quotes, array(''), (done, q) -> array_append(done, CASE
+          WHEN q.quotes THEN concat(rpad(element_at(done, -1), int(q.column), ' '), '> ')
+          ELSE rpad(element_at(done, -1), int(q.column) - 2, ' ') END))"""
+
+    def prefixed(text: str, place: str) -> str:
+        prefix = f"rpad(prefixes[int({place}.quoted)], int({place}.column), ' ')"
+        return (f"CASE WHEN {place}.column > 0 AND contains({text}, '\n') "
+                f"THEN replace({text}, '\n', concat('\n', {prefix})) ELSE {text} END")
+
+    return pages.selectExpr(
+        "page_id", "gaps", f"CASE WHEN size(quotes) = 0 THEN array('') ELSE {prefixes} END AS prefixes"
+    ).selectExpr("page_id", f"""
         array_join(transform(gaps, g -> concat(
-          g.closers, {prefixed('g.separator', 'g.boxes')}, g.openers,
-          {prefixed('g.atom', 'g.atom_boxes')})), '')"""
-    for step in (split, marked, placed, kept, counted, separated):
-        pages = pages.selectExpr("page_id", "prefix_of", "fragments", f"{step} AS gaps")
-    return pages.selectExpr("page_id", f"{text} AS markdown")
+          g.closers, {prefixed('g.separator', 'g.first')}, g.openers,
+          {prefixed('g.atom', 'g.last')})), '') AS markdown""")
 
 
 def tidy_markdown(markdown: Column) -> Column:
     """No trailing blanks, no run of blank lines, one final line break."""
-    code = F.regexp_replace(markdown, f"{_PRE_START}(?:[ \\n]*\\n)?", "")
-    code = F.regexp_replace(code, f"(?<![ \\n])[ \\n]*+{_PRE_END}", "")
-    code = F.translate(code, _PRE_END, "")
-    lines = F.regexp_replace(code, r"(?<![ \t])[ \t]++(?=\n|\z)", "")
+    lines = F.regexp_replace(markdown, r"(?<![ \t])[ \t]++(?=\n|\z)", "")
     return F.concat(
         text_trim(F.regexp_replace(lines, r"\n{3,}", "\n\n")), F.lit("\n"))
 
@@ -459,5 +472,5 @@ def render_markdown(rows: DataFrame, language: Column | None = None) -> DataFram
                                 "attrs['src'] WHEN 'video' THEN attrs['src'] END")
     events = _with_neighbours(_events(_with_siblings(resolved), language))
     fragments = _fragments(_table_rules(_text_fields(events)))
-    pages = _assembled(_joined(fragments))
+    pages = _joined(_separated(_gaps(fragments)))
     return pages.select("page_id", tidy_markdown(F.col("markdown")).alias("markdown"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pagesmelt.fixed_values import MARKDOWN_LINK
 from pagesmelt.functions.urls import joined_output_path, output_name
 from pagesmelt.operators.clean import clean_nodes
 from pagesmelt.operators.nodes import is_run, joined_length, node_rows, parse_pages, run_length
-from pagesmelt.plans.convert import choices, root_rows, to_markdown
+from pagesmelt.plans.convert import choices, root_rows, to_markdown_with_lengths
 
 EXTRACTORS = ("full", "dom", "readability")
 
@@ -28,12 +28,17 @@ def link_count(markdown: Column) -> Column:
 
 
 def page_stats(pages: DataFrame, **options) -> DataFrame:
-    """Size of the input and the output of every page, and the links in the output."""
-    converted = to_markdown(pages, **options)
-    return pages.select("page_id", F.col("url").alias("path"), F.length("html").alias(
-        "html_chars")).join(converted, "page_id").select(
-        "page_id", "path", "html_chars", F.length("markdown").alias("markdown_chars"),
+    """Size of the input and the output of every page, and the links in the output.
+
+    The HTML is read once: its length is taken while it is parsed.  Addresses are a second, narrow read.
+    """
+    converted = to_markdown_with_lengths(pages, **options).select(
+        "page_id", "html_chars", F.length("markdown").alias("markdown_chars"),
         link_count(F.col("markdown")).alias("markdown_links"))
+    # A left join: an inner one would filter one of the two uses of the shared exchange.
+    paths = pages.select("page_id", F.col("url").alias("path"))
+    return converted.join(paths, "page_id", "left").select(
+        "page_id", "path", "html_chars", "markdown_chars", "markdown_links")
 
 
 def extraction_quality(
@@ -90,6 +95,17 @@ def batch_summary(captures: DataFrame) -> DataFrame:
         "failed", F.col("failed_count") > 0)
 
 
+def observed_batch(captures: DataFrame, name: str = "batch") -> tuple[DataFrame, Observation]:
+    """The captures as they are, and an observation of ``batch_summary``'s totals.
+
+    The totals are there once any action has gone through the captures: ``observation.get``.
+    """
+    seen, failed = Observation(name), F.col("error").isNotNull()
+    return captures.observe(
+        seen, F.count("*").alias("url_count"), F.count_if(~failed).alias("ok_count"),
+        F.count_if(failed).alias("failed_count")), seen
+
+
 def failed_captures(captures: DataFrame) -> DataFrame:
     return captures.where("error IS NOT NULL").select("ord", "url", "error")
 

@@ -16,14 +16,13 @@ from pagesmelt.fixed_values import INERT_TAGS, OPAQUE_TAGS, VOID_TAGS
 _VOID = frozenset(VOID_TAGS)
 _OPAQUE = frozenset(OPAQUE_TAGS)
 _INERT = frozenset(INERT_TAGS)
-# Elements that put a prefix before the Markdown lines inside them.
-_BOXES = frozenset(("li", "blockquote", "dd"))
 
 NODES_TYPE = (
     "array<struct<pre:int,post:int,parent:int,grandparent:int,parent_tag:string,kind:string,"
-    "tag:string,attrs:map<string,string>,text:string,raw:boolean,inert:boolean,boxes:array<int>,"
+    "tag:string,attrs:map<string,string>,text:string,raw:boolean,inert:boolean,"
     "list_start:string>>"
 )
+WALKED_TYPE = f"nodes:{NODES_TYPE},error:string"
 NODE_TYPE = pa.struct([
     ("pre", pa.int32()),
     ("post", pa.int32()),
@@ -36,7 +35,6 @@ NODE_TYPE = pa.struct([
     ("text", pa.string()),
     ("raw", pa.bool_()),
     ("inert", pa.bool_()),
-    ("boxes", pa.list_(pa.int32())),
     ("list_start", pa.string()),
 ])
 
@@ -52,39 +50,45 @@ class _NodeWalker(HTMLParser):
                          "text", "raw", "inert", "list_start")
         }
         self.attr_ends, self.attr_keys, self.attr_values = [0], [], []
-        self.box_ends, self.box_values = [0], []
         self._new_page()
 
     def _new_page(self) -> None:
         self.reset()
         self.clock = 0
-        # One entry per open element: row, tag, pre, raw, inert, number of enclosing boxes and
-        # the number a list says it starts with.
-        self.stack: list[tuple] = [(-1, "", -1, False, False, 0, None)]
+        # One entry per open element: row, tag, pre, raw, inert and the number a list says it
+        # starts with.
+        self.stack: list[tuple] = [(-1, "", -1, False, False, None)]
         self.open_names: dict[str, int] = {}
-        self.boxes: list[int] = []
         self.run: list[str] = []
         self.keep_space = 0
 
-    def add_page(self, html: str) -> bool:
-        """Walk one page; on markup the tokenizer refuses, leave no rows and return False."""
-        rows, attrs, boxes = len(self.columns["pre"]), len(self.attr_keys), len(self.box_values)
+    def add_page(self, html: str) -> str | None:
+        """Walk one page; where the tokenizer refuses it, leave no rows and return its reason."""
+        rows, attrs = len(self.columns["pre"]), len(self.attr_keys)
         self._new_page()
-        # The page itself: never dropped, so that every page keeps a row.
+        # The page itself: never dropped, so that every page keeps a row.  It says how long it was.
+        self.attr_keys.append("html_chars")
+        self.attr_values.append(str(len(html)))
         self._emit("page", None, None, False, False)
         try:
             self.feed(html)
             self.close()
-        except AssertionError:
+        except AssertionError as refusal:
             for column in self.columns.values():
                 del column[rows:]
             del self.attr_keys[attrs:], self.attr_values[attrs:], self.attr_ends[rows + 1:]
-            del self.box_values[boxes:], self.box_ends[rows + 1:]
-            return False
+            return f"markup cannot be parsed: {refusal}"
         self._end_run()
         while len(self.stack) > 1:
             self._pop()
-        return True
+        return None
+
+    def parse_marked_section(self, i, report=1):
+        """A section of a kind the tokenizer does not know is a comment up to the next ``>``."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i, report)
 
     def _emit(self, kind: str, tag: str | None, text: str | None, raw: bool, inert: bool) -> int:
         c, parent = self.columns, self.stack[-1]
@@ -100,19 +104,15 @@ class _NodeWalker(HTMLParser):
         c["text"].append(text)
         c["raw"].append(raw)
         c["inert"].append(inert)
-        c["list_start"].append(parent[6])
+        c["list_start"].append(parent[5])
         self.attr_ends.append(len(self.attr_keys))
-        if self.boxes:
-            self.box_values.extend(self.boxes)
-        self.box_ends.append(len(self.box_values))
         return pre
 
     def _pop(self) -> None:
-        row, tag, _, _, _, boxes, _ = self.stack.pop()
+        row, tag, *_ = self.stack.pop()
         self.columns["post"][row] = self.clock
         self.clock += 1
         self.open_names[tag] -= 1
-        del self.boxes[boxes:]
         if tag in ("pre", "textarea"):
             self.keep_space -= 1
 
@@ -140,11 +140,9 @@ class _NodeWalker(HTMLParser):
             self.clock += 1
             return
         self.stack.append((
-            len(self.columns["pre"]) - 1, tag, pre, raw, inert, len(self.boxes),
+            len(self.columns["pre"]) - 1, tag, pre, raw, inert,
             named.get("start") if tag == "ol" else None))
         self.open_names[tag] = self.open_names.get(tag, 0) + 1
-        if tag in _BOXES:
-            self.boxes.append(pre)
         if tag in ("pre", "textarea"):
             self.keep_space += 1
 
@@ -206,20 +204,21 @@ class _NodeWalker(HTMLParser):
                     pa.array(self.attr_ends, pa.int32()),
                     pa.array(self.attr_keys, pa.string()),
                     pa.array(self.attr_values, pa.string())))
-            elif field.name == "boxes":
-                parts.append(pa.ListArray.from_arrays(
-                    pa.array(self.box_ends, pa.int32()), pa.array(self.box_values, pa.int32())))
             else:
                 parts.append(pa.array(c[field.name], field.type))
         return pa.StructArray.from_arrays(parts, fields=list(NODE_TYPE))
 
 
 def walk_pages(html: pa.Array) -> pa.Array:
-    """Arrow array of HTML strings in, array of node lists out (null for refused markup)."""
+    """Arrow array of HTML strings in, array of node lists and errors out; either is null."""
     walker = _NodeWalker()
-    starts = []
+    starts, errors = [], []
     for page in html:
         text, start = page.as_py(), len(walker.columns["pre"])
-        starts.append(start if text is not None and walker.add_page(text) else None)
+        error = None if text is None else walker.add_page(text)
+        starts.append(None if text is None or error else start)
+        errors.append(error)
     starts.append(len(walker.columns["pre"]))
-    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), walker.to_arrow())
+    nodes = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), walker.to_arrow())
+    return pa.StructArray.from_arrays(
+        [nodes, pa.array(errors, pa.string())], names=["nodes", "error"])

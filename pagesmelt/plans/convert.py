@@ -59,17 +59,18 @@ def _aligned(left: DataFrame, right: DataFrame) -> DataFrame:
 def choices(parsed: DataFrame, content: str) -> DataFrame:
     """Decisions and, as ``roots``, the subtrees to convert; null means the full page.
 
+    ``cuts`` are subtrees inside the roots that do not belong to the article.
     Pages without any candidate have no row; ``extraction_decisions`` adds them.
     """
     _check("content", content, CONTENT[1:])
     clean = clean_nodes(node_rows(parsed))
     dom = dom_choice(content_candidates(clean))
     best, own = F.col("best"), F.lit(None).cast(CANDIDATE_TYPE)
-    own_roots: Column = F.lit(None).cast("array<int>")
+    own_roots = own_cuts = F.lit(None).cast("array<int>")
     after_readability = content in ("readability", "auto")
     if after_readability:
         dom = dom.join(readability_choice(root_rows(clean)), "page_id", "full")
-        own, own_roots = F.col("own"), F.col("own_roots")
+        own, own_roots, own_cuts = F.col("own"), F.col("own_roots"), F.col("own_cuts")
     by_own = F.coalesce(is_acceptable(own), F.lit(False))
     by_dom = F.coalesce(is_acceptable(best), F.lit(False))
     return dom.select(
@@ -79,7 +80,8 @@ def choices(parsed: DataFrame, content: str) -> DataFrame:
         F.when(by_own, F.lit(REASON_READABILITY)).otherwise(
             dom_reason(after_readability)).alias("reason"),
         F.when(by_own, F.array(own)).otherwise(F.col("candidates")).alias("candidates"),
-        F.when(by_own, own_roots).when(by_dom, F.array("root_pre")).alias("roots"))
+        F.when(by_own, own_roots).when(by_dom, F.array("root_pre")).alias("roots"),
+        F.when(by_own, own_cuts).alias("cuts"))
 
 
 def extraction_decisions(pages: DataFrame, content: str = "auto") -> DataFrame:
@@ -102,9 +104,9 @@ def extraction_decisions(pages: DataFrame, content: str = "auto") -> DataFrame:
 def root_rows(clean: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
     """Node rows below the chosen roots; below ``body``, or all of them, for a full page.
 
-    The row of the page itself always stays.  Each root becomes a mark just before
-    its element, and the list of them is gone before rows are sorted, so that many roots cost no
-    more than many nodes.
+    The row of the page itself always stays.  Each root, and each of the optional ``cuts`` inside
+    them, becomes a mark just before its element, and the lists are gone before rows are sorted, so
+    that many roots cost no more than many nodes.
     """
     page = Window.partitionBy("page_id")
     itself = F.coalesce(F.col("kind") == "page", F.lit(True))
@@ -114,23 +116,38 @@ def root_rows(clean: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
         F.col("_body")["pre"], F.col("_body")["post"])
     if chosen is None:
         return rows.where(in_page).drop("_body")
-    own = F.array(F.lit(None).cast("int"))
-    roots = F.when(F.col("kind") == "page", F.col("roots"))
+    cuts = F.col("cuts") if "cuts" in chosen.columns else F.lit(None).cast("array<int>")
+    lists = chosen.select("page_id", "roots", cuts.alias("cuts"))
+
+    def marks(name: str, is_cut: bool) -> Column:
+        named = F.transform(F.coalesce(F.col(name), F.array().cast("array<int>")), lambda pre: F.struct(
+            pre.alias("pre"), F.lit(is_cut).alias("cut")))
+        return F.when(F.col("kind") == "page", named)
+
+    own = F.array(F.lit(None).cast("struct<pre:int,cut:boolean>"))
     marked = (
-        _aligned(rows, chosen.select("page_id", "roots"))
+        _aligned(rows, lists)
         .withColumn("_chosen", F.col("roots").isNotNull())
-        .withColumn("_mark", F.explode(F.coalesce(F.concat(own, roots), own)))
-        .drop("roots")
-        .withColumn("pre", F.coalesce("_mark", "pre")))
+        .withColumn("_mark", F.explode(F.coalesce(
+            F.concat(own, marks("roots", False), marks("cuts", True)), own)))
+        .drop("roots", "cuts")
+        .withColumn("pre", F.coalesce("_mark.pre", "pre")))
     in_order = page.orderBy("pre", F.col("_mark").isNull())
-    is_root = (F.col("kind") == "elem") & F.lag(F.col("_mark").isNotNull()).over(in_order)
-    reach = F.max(F.when(F.col("_root"), F.col("post"))).over(
-        in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    told = (F.col("kind") == "elem") & F.lag("_mark.cut").over(in_order).isNotNull()
+    as_cut = F.lag("_mark.cut").over(in_order)
+
+    def reach(condition: Column) -> Column:
+        return F.max(F.when(condition, F.col("post"))).over(
+            in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+    below = F.coalesce(F.col("_reach") >= F.col("pre"), F.lit(False))
+    cut = F.coalesce(F.col("_cut_reach") >= F.col("pre"), F.lit(False))
     return (
-        marked.withColumn("_root", is_root).withColumn("_reach", reach)
+        marked.withColumns({"_root": told & ~as_cut, "_cut": told & as_cut})
+        .withColumns({"_reach": reach(F.col("_root")), "_cut_reach": reach(F.col("_cut"))})
         .where(F.col("_mark").isNull() & F.when(~F.col("_chosen"), in_page).otherwise(
-            itself | F.coalesce(F.col("_reach") >= F.col("pre"), F.lit(False))))
-        .drop("_body", "_chosen", "_mark", "_root", "_reach"))
+            itself | (below & ~cut)))
+        .drop("_body", "_chosen", "_mark", "_root", "_cut", "_reach", "_cut_reach"))
 
 
 def convert_parsed(
@@ -157,6 +174,22 @@ def convert_parsed(
         "page_id", F.concat(front_matter_text(metadata), "markdown").alias("markdown"))
 
 
+def page_lengths(parsed: DataFrame) -> DataFrame:
+    """``page_id, html_chars`` of parsed pages, null without nodes; no second look at the HTML."""
+    # A plain nodes[0] would be taken out below the shared exchange, which then would not be shared.
+    return shared(parsed).selectExpr("page_id", """
+        cast(array_join(transform(slice(nodes, 1, 1), n -> n.attrs['html_chars']), '') AS int)
+        AS html_chars""")
+
+
+def to_markdown_with_lengths(pages: DataFrame, **options) -> DataFrame:
+    """``page_id, html_chars, markdown`` in one pass over the pages, by one exchange."""
+    based = with_base_url(pages).select("page_id", "base_url", "html")
+    parsed = parse_pages(based, "base_url")
+    return _aligned(page_lengths(parsed), convert_parsed(parsed, **options)).select(
+        "page_id", "html_chars", "markdown")
+
+
 def to_markdown(pages: DataFrame, **options) -> DataFrame:
     """Convert a table of pages: ``page_id``, ``html`` and, for links, ``url``.
 
@@ -174,8 +207,10 @@ def to_markdown(pages: DataFrame, **options) -> DataFrame:
 def markdown_documents(pages: DataFrame, directory: str = ".", **options) -> DataFrame:
     """Markdown with the page's URL and output path, ready for the Markdown sink.
 
-    Captures with an ``error`` give no document; ``failed_captures`` lists them.
+    Captures with an ``error`` or without HTML give no document; ``failed_captures`` and
+    ``parse_failures`` list them.
     """
+    pages = pages.where("html IS NOT NULL")
     if "error" in pages.columns:
         pages = pages.where("error IS NULL")
     named = pages.select(

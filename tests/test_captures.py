@@ -65,15 +65,30 @@ def test_meaningful(spark, html, expected):
     assert meaningful_pages(frame).first().meaningful is expected
 
 
-def test_refused_markup_is_reported(spark):
+def test_unreadable_pages_are_reported(spark):
     from pagesmelt import to_markdown
     from pagesmelt.operators.nodes import parse_failures
     frame = spark.createDataFrame(
         [(1, "a<![what[x]]>b"), (2, "fine"), (3, None), (4, "after")],
         "page_id long, html string").coalesce(1)
-    assert [r.page_id for r in parse_failures(frame).collect()] == [1]
+    assert parse_failures(frame).collect() == [(3, "no markup")]
     found = {r.page_id: r.markdown for r in to_markdown(frame).collect()}
-    assert found == {1: "\n", 2: "fine\n", 3: "\n", 4: "after\n"}
+    assert found == {1: "ab\n", 2: "fine\n", 3: "\n", 4: "after\n"}
+
+
+def test_refused_markup_leaves_its_reason_and_no_rows(monkeypatch):
+    import pyarrow as pa
+    from pagesmelt.operators import tagsoup
+
+    def refuse(self, *_):
+        raise AssertionError("cannot go on")
+
+    monkeypatch.setattr(tagsoup._NodeWalker, "parse_bogus_comment", refuse)
+    found = tagsoup.walk_pages(pa.array(["<b>x<!-- -->", "y", None, "<p class=a>z<![ w>", "u"])).to_pylist()
+    assert [one["error"] for one in found] == [
+        None, None, None, "markup cannot be parsed: cannot go on", None]
+    assert [one["nodes"] and [node["text"] for node in one["nodes"] if node["text"]]
+            for one in found] == [["x"], ["y"], None, None, ["u"]]
 
 
 def captures(spark, method, strict=False):
@@ -136,11 +151,30 @@ def test_url_list_order_over_splits(spark, tmp_path):
     assert [r.url for r in rows] == names and [r.ord for r in rows] == list(range(3000))
 
 
+def test_numbering_has_no_window_over_all_rows(spark, monkeypatch):
+    from pagesmelt.sources import readers
+    for groups in (1, 2, 5, 64):
+        monkeypatch.setattr(readers, "GROUPS", groups)
+        rows = spark.range(500).selectExpr(
+            "int(id % 2) AS source", "concat('f', id % 7) AS file", "id AS pos", "-id AS more")
+        found = readers.numbered(rows, "source", "file", within="pos")
+        expected = sorted(rows.collect(), key=lambda r: (r.source, r.file, r.pos))
+        assert [r[:4] for r in sorted(found.collect(), key=lambda r: r.ord)] == [
+            tuple(r[name] for name in found.columns[:4]) for r in expected]
+        assert sorted(r.ord for r in found.collect()) == list(range(500))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert groups == 1 or "SinglePartition" not in plan
+    assert readers.numbered(rows.limit(0), "source", "file").collect() == []
+
+
 def test_html_files(spark, tmp_path):
     for name in ("b.html", "a.html", "c.txt"):
         (tmp_path / name).write_text(name)
-    rows = read_html_files(spark, str(tmp_path), str(tmp_path / "a.html")).collect()
-    assert sorted(r.html for r in rows) == ["a.html", "a.html", "b.html"]
+    rows = read_html_files(
+        spark, str(tmp_path / "c.txt"), str(tmp_path), str(tmp_path / "a.html")).collect()
+    assert [r.html for r in sorted(rows, key=lambda r: r.ord)] == [
+        "c.txt", "a.html", "b.html", "a.html"]
+    assert sorted(r.ord for r in rows) == [0, 1, 2, 3]
     assert [r.html for r in read_html_files(spark, str(tmp_path / "c.txt")).collect()] == ["c.txt"]
     with pytest.raises(Exception, match="missing.html"):
         read_html_files(spark, str(tmp_path / "missing.html"))

@@ -9,6 +9,10 @@ from pagesmelt.functions.yaml_text import yaml_scalar
 
 @pytest.mark.parametrize(("html", "expected"), [
     ("<ol start=12345678901><li>a</li><li>b</li></ol>", "12345678901. a\n12345678902. b\n"),
+    (f"<ol start={'9' * 60}><li>a</li><li>b</li></ol>", f"{'9' * 60}. a\n1{'0' * 60}. b\n"),
+    (f"<ol start=12{'9' * 40}><li>a</li><li>b</li></ol>", f"12{'9' * 40}. a\n13{'0' * 40}. b\n"),
+    (f"<ol start={'7' * 50}><li>a</li><li>b</li></ol>", f"{'7' * 50}. a\n{'7' * 49}8. b\n"),
+    ("<ol start=007><li>a</li></ol><ol start=x><li>b</li></ol>", "7. a\n\n1. b\n"),
     ("<p>b \x85c</p>", "b \x85c\n"),
     ("<pre>a \rb  \nc</pre>", "```\na \nb\nc\n```\n"),
 ])

@@ -81,7 +81,22 @@ DEFAULT = {
                        "a  b\n\nc\n\nd"),
     "inline_block": ("<h2>a<p>b</p><div>c</div></h2>", "## a b c"),
     "stray_end_tags": ("</div><p>a</b></p></p>b", "a\n\nb"),
-    "reserved_characters": ("<p>a﷒b﷗</p>", "ab"),
+    "reserved_characters": (
+        "<p>a\ufdd2b\ufdd7</p><pre>\ufdd0\n c\ufdd1\n</pre><ul><li>\ufdd5x<br>\ufdd6</li></ul>",
+        "a\ufdd2b\ufdd7\n\n```\n\ufdd0\n c\ufdd1\n```\n\n* \ufdd5x\n  \ufdd6"),
+    "code_in_lists_and_quotes": (
+        "<ul><li>a<pre>\n\nx\n\n  y \n\n</pre>b</li></ul><blockquote><pre>\n<b>\n z</b>\n</pre></blockquote>",
+        "* a\n\n  ```\n  x\n\n    y\n  ```\n\n  b\n\n> ```\n>  z\n> ```"),
+    "prefixes_after_quotes": (
+        "<ul><li>a<blockquote>b<ul><li>c<blockquote>d<br>e</blockquote>f</li></ul><p>g</p></blockquote>"
+        "<p>h</p></li><li>i<p>j</p></li></ul><blockquote>k<p>l</p></blockquote><dl><dd>m<p>n</p></dd></dl>",
+        "* a\n  > b\n  > + c\n  >   > d\n  >   > e\n  >\n  >   f\n  >\n  > g\n\n  h\n* i\n\n  j\n\n"
+        "> k\n>\n> l\n\n:   m\n\n    n"),
+    "quote_in_a_cell": (
+        "<table><tr><td><blockquote>a<p>b</p></blockquote></td></tr></table><ul><li>c<p>d</p></li></ul>",
+        "|  |\n| --- |\n| a b |\n\n* c\n\n  d"),
+    "unknown_sections": (
+        "<p>a<![what[x]]>b</p><![ y>c<!-- d --><![if gte mso 9]>e<![endif]><![CDATA[f]]><p>g", "ab\n\ncef\n\ng"),
 }
 
 
