@@ -43,6 +43,14 @@ REASON_DOM_AFTER_READABILITY = (
 )
 REASON_DOM = "highest-quality DOM candidate"
 
+# --- fixed values: metadata, the attribute and value of the tags read, first ones first ---------
+META_TITLE = (("property", "og:title"),)
+META_DESCRIPTION = (("name", "description"), ("property", "og:description"))
+META_AUTHOR = (("name", "author"), ("property", "article:author"))
+META_PUBLISHED = (
+    ("property", "article:published_time"), ("name", "date"), ("name", "datePublished"))
+LINK_CANONICAL = "canonical"
+
 # --- fixed values: captures -------------------------------------------------------------------
 HTML_MEDIA_TYPES = ("text/html", "application/xhtml+xml")
 JS_SHELL_MARKERS = (

@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagesmelt.fixed_values import (
+    LINK_CANONICAL,
+    META_AUTHOR,
+    META_DESCRIPTION,
+    META_PUBLISHED,
+    META_TITLE,
+)
 from pagesmelt.functions.text import SPACE_SQL
 from pagesmelt.functions.yaml_text import iso_timestamp
 
@@ -52,14 +59,13 @@ def page_metadata(parsed: DataFrame, *, fetched_at: str | None = None) -> DataFr
     heads = parsed.select("page_id", *carried, "nodes", F.expr(_HEAD).alias("_head"))
     found = heads.selectExpr(
         "page_id", *carried,
-        f"coalesce({_meta(('property', 'og:title'))}, {_text_below('title')}, "
+        f"coalesce({_meta(*META_TITLE)}, {_text_below('title')}, "
         f"{_text_below('h1')}) AS title",
-        f"{_meta(('name', 'description'), ('property', 'og:description'))} AS description",
-        _first("n.tag = 'link' AND contains(n.attrs['rel'], 'canonical')", "attrs")
+        f"{_meta(*META_DESCRIPTION)} AS description",
+        _first(f"n.tag = 'link' AND contains(n.attrs['rel'], '{LINK_CANONICAL}')", "attrs")
         + " AS _canonical",
-        f"{_meta(('name', 'author'), ('property', 'article:author'))} AS author",
-        _meta(("property", "article:published_time"), ("name", "date"), ("name", "datePublished"))
-        + " AS published_time",
+        f"{_meta(*META_AUTHOR)} AS author",
+        f"{_meta(*META_PUBLISHED)} AS published_time",
         f"{_trimmed(_first("n.tag = 'html'", "attrs['lang']"))} AS language")
     fetched = F.lit(None).cast("string") if fetched_at is None else iso_timestamp(F.col(fetched_at))
     return found.select(

@@ -372,17 +372,23 @@ def _gaps(fragments: DataFrame) -> DataFrame:
         gap=f"count(atom) OVER ({_BEFORE})",
         column=f"coalesce(sum(step) OVER ({_BEFORE}), 0)",
         quoted=f"count(quotes) OVER ({_BEFORE})",
-        before=f"coalesce(lag(after) OVER ({_NEAR}), '')")
-    return placed.groupBy("page_id", "gap").agg(
-        F.expr("sort_array(collect_list(struct(pos, concat(before, code) AS code, closer, opener, "
-               "verbatim, fence, place)))").alias("e"),
-        F.max("atom").alias("atom"),
-        F.expr("min(CASE WHEN opener IS NOT NULL OR atom IS NOT NULL "
-               "THEN struct(pos, column, quoted) END)").alias("first"),
-        F.expr("max(CASE WHEN atom IS NOT NULL THEN struct(pos, column, quoted) END)").alias("last"),
-        F.expr("sort_array(collect_list(CASE WHEN quotes IS NOT NULL "
-               "THEN struct(pos, quotes, column) END))").alias("quotes")).selectExpr(
-        "page_id", "gap", "first", "last", "quotes",
+        before=f"coalesce(lag(after) OVER ({_NEAR}), '')",
+        final=f"lead(pos) OVER ({_NEAR}) IS NULL")
+    packed = placed.selectExpr(
+        "page_id", "pos", "gap", "atom", "atom IS NOT NULL OR final AS ends",
+        "struct(concat(before, code) AS code, closer, opener, verbatim, fence, place) AS event",
+        "CASE WHEN opener IS NOT NULL OR atom IS NOT NULL THEN struct(column, quoted) END AS place",
+        "CASE WHEN quotes IS NOT NULL THEN struct(pos, quotes, column) END AS quote")
+    # A window, as a grouping would sort and merge the rows twice; a gap is a handful of rows.
+    whole = ("(PARTITION BY page_id, gap ORDER BY pos "
+             "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
+    gathered = _with(
+        packed,
+        e=f"collect_list(event) OVER {whole}",
+        first=f"first_value(place) IGNORE NULLS OVER {whole}",
+        quotes=f"collect_list(quote) OVER {whole}")
+    return gathered.where("ends").selectExpr(
+        "page_id", "gap", "first", "place AS last", "quotes",
         "array_join(e.closer, '') AS closers", "array_join(e.opener, '') AS openers",
         "array_join(e.code, '') AS codes", "array_join(e.fence, '') AS fence",
         "array_join(e.verbatim, '') AS verbatim", "atom",
