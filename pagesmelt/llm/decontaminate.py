@@ -20,6 +20,8 @@ from pagesmelt.llm.common import per_batch, written
 WINDOW = 10
 #: Test items are taken in blocks of about this many bytes, so that no broadcast grows with them.
 BLOCK_BYTES = 400_000
+#: Texts that are in a worker's memory at once.
+BATCH_ROWS = 256
 #: Letters and digits lower-cased, other ASCII to spaces; bytes beyond ASCII belong to words.
 FOLDED = bytes(
     byte if byte >= 0x80 or chr(byte).isalnum() else 0x20
@@ -259,7 +261,7 @@ def remove_leaks(
                         out[name].append(value)
                 return batch | out
 
-            found = per_batch(found, schema, work)
+            found = per_batch(found, schema, work, rows=BATCH_ROWS)
         return found
 
     found = one_round(docs.select(

@@ -128,7 +128,7 @@ def _heavy(docs: DataFrame, shingler: Shingler, percent: int) -> np.ndarray:
             np.concatenate([*prefixes, np.empty(0, dtype=np.int64)]), return_counts=True)
         return {"gram": grams[counts > 1], "many": counts[counts > 1]}
 
-    counted = per_batch(docs.select("_text"), "gram long, many long", work)
+    counted = per_batch(docs.select("_text"), "gram long, many long", work, rows=4 * BATCH_ROWS)
     rows = counted.groupBy("gram").agg(F.sum("many").alias("many")).where(
         F.col("many") > HEAVY_FROM).orderBy(
         F.desc("many"), "gram").limit(HEAVY_COLUMNS).select("gram").collect()

@@ -25,6 +25,8 @@ SAMPLE_DOCS = 8_000
 #: most so many a head.
 WORD_FROM, MOST_WORDS = 3, 2_000
 STEPS, RATE, DECAY = 200, 0.2, 1e-4
+#: Texts that are in a worker's memory at once.
+BATCH_ROWS = 256
 #: Rejected from this probability on.
 REJECT_FROM = 0.5
 #: Starts of words, of so many bytes, are tried like words.
@@ -195,7 +197,7 @@ def _scored(docs: DataFrame, model: Classifiers, columns: list[str]) -> DataFram
 
     schema = ", ".join([*(f"`{name}` {kinds[name]}" for name in columns),
                         *(f"_{head} double" for head in HEADS)])
-    return per_batch(docs, schema, work)
+    return per_batch(docs, schema, work, rows=BATCH_ROWS)
 
 
 def _chance(logit: Column) -> Column:
