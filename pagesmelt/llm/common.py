@@ -62,20 +62,26 @@ def per_batch(
 
 
 def per_partition(
-    frame: DataFrame, schema: str, work: Callable[[Iterable[dict]], Iterable[dict]],
-    rows: int = 256,
+    frame: DataFrame, schema: str, work: Callable[[Iterable], Iterable[dict]], rows: int = 256,
+    columns: bool = False,
 ) -> DataFrame:
-    """Rows of ``work`` over all of a task's batches, at most ``rows`` at a time, in their order."""
+    """Rows of ``work`` over all of a task's batches, at most ``rows`` at a time, in their order.
+
+    Batches come as lists of Python values or, with ``columns``, as Arrow columns; what is given
+    back may be either or numpy.
+    """
     kinds = StructType.fromDDL(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(kinds)
-        cut = (b.slice(k, rows).to_pydict() for b in batches for k in range(0, b.num_rows, rows))
-        for out in work(cut):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[field.name], field.type) for field in arrow], schema=arrow)
+        cut = (b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows))
+        for out in work(cut if columns else (b.to_pydict() for b in cut)):
+            found = [out[field.name] for field in arrow]
+            yield pa.RecordBatch.from_arrays([
+                one.cast(field.type) if isinstance(one, pa.Array) else pa.array(one, field.type)
+                for field, one in zip(arrow, found)], schema=arrow)
 
     return frame.mapInArrow(run, schema)
 

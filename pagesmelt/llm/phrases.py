@@ -10,10 +10,11 @@ before it is extended again.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
@@ -28,7 +29,11 @@ LEAST, TOP = 100, 2_000
 #: Bits of the map of frequent groups that is broadcast (8 MB), whatever the corpus.
 MAP_BITS = 1 << 26
 #: Counts a Python worker holds before it passes them on.
-HELD_COUNTS = 300_000
+HELD_COUNTS = 120_000
+#: Documents whose occurrences are joined and counted at a time.
+BATCH_DOCS = 1_024
+#: Counted groups a Python worker holds before it passes them on.
+HELD_GROUPS = 1 << 19
 #: Spark's own bitmaps hold so many bits a row.
 _BUCKET_BITS = 1 << 15
 
@@ -61,16 +66,25 @@ def _place(columns: list[np.ndarray]) -> np.ndarray:
     return (_mixed(columns) % np.uint64(MAP_BITS)).astype(np.int64)
 
 
-def _distinct(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct tuples and how often each stands there."""
-    _, first, line, counts = np.unique(
-        _mixed(columns), return_index=True, return_inverse=True, return_counts=True)
+_Groups = tuple[list[np.ndarray], np.ndarray]
+
+
+def _distinct(columns: list[np.ndarray], counts: np.ndarray | None = None) -> _Groups:
+    """Distinct tuples and how often each stands there, or the sums of their ``counts``."""
+    _, first, line = np.unique(_mixed(columns), return_index=True, return_inverse=True)
     found = [column[first] for column in columns]
-    if all(np.array_equal(one[line], column) for one, column in zip(found, columns)):
-        return found, counts
-    # Two tuples of the batch share all 64 bits.
-    found, counts = np.unique(np.stack(columns), axis=1, return_counts=True)
-    return list(found), counts
+    if not all(np.array_equal(one[line], column) for one, column in zip(found, columns)):
+        # Two tuples of the batch share all 64 bits.
+        rows, line = np.unique(np.stack(columns), axis=1, return_inverse=True)
+        found, line = list(rows), line.ravel()
+    return found, np.bincount(line, counts, len(found[0])).astype(np.int64)
+
+
+def _merged(held: list[_Groups]) -> _Groups:
+    if len(held) == 1:
+        return held[0]
+    columns = [np.concatenate(one) for one in zip(*(columns for columns, _ in held))]
+    return _distinct(columns, np.concatenate([counts for _, counts in held]))
 
 
 # --- level 1: words -----------------------------------------------------------------------------
@@ -130,66 +144,100 @@ def _shown(bits: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
+class _Numbers(dict):
+    """Numbers of the words of one language, 0 for those that are not frequent."""
+
+    def of(self, words: list[bytes], number: Callable[[list[bytes]], np.ndarray]) -> np.ndarray:
+        missing = {word for word in words if word not in self}
+        if len(self) + len(missing) > HELD_COUNTS:
+            frequent = {word: known for word, known in self.items() if known}
+            self.clear()
+            if len(frequent) < HELD_COUNTS // 2:
+                self.update(frequent)
+            missing = {word for word in words if word not in self}
+        if missing:
+            missing.discard(b".")
+            self.update(zip(missing, number(list(missing)).tolist()))
+            self[b"."] = 0
+        return np.array([self[word] for word in words], np.int64)
+
+
+def _lists(lengths: np.ndarray, values: np.ndarray) -> pa.Array:
+    """Lists of the given lengths, empty ones left out."""
+    ends = np.concatenate([[0], np.cumsum(lengths[lengths > 0])])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+
+
 def _occurrences(batches: Iterable[dict], bits, seed: int) -> Iterator[dict]:
     """Level 1: by document, the positions and numbers of words that may be frequent."""
-    known: dict[tuple[str, bytes], int] = {}
+    known: dict[str, _Numbers] = {}
+
+    def number(lang: str, words: list[bytes]) -> np.ndarray:
+        ids = np.array([word_id(lang, word, seed) for word in words], np.int64)
+        return np.where(_shown(bits.value, [ids]), ids, 0)
+
     for batch in batches:
-        out = {"at": [], "w1": []}
+        places, ids = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for lang, text in zip(batch["lang"], batch["_text"]):
-            words = words_of(text)
-            missing = [word for word in set(words) if (lang, word) not in known]
-            if len(known) + len(missing) > HELD_COUNTS:
-                known.clear()
-                missing = list(set(words))
-            if missing:
-                ids = np.array([word_id(lang, word, seed) for word in missing], np.int64)
-                kept = np.where(_shown(bits.value, [ids]), ids, 0)
-                known.update(zip([(lang, word) for word in missing], kept.tolist()))
-                known[lang, b"."] = 0
-            ids = np.array([known[lang, word] for word in words], np.int64)
-            at = np.flatnonzero(ids)
-            if len(at):
-                out["at"].append(at)
-                out["w1"].append(ids[at])
-        yield out
+            found = known.setdefault(lang, _Numbers()).of(
+                words_of(text), lambda words, lang=lang: number(lang, words))
+            places.append(np.flatnonzero(found))
+            ids.append(found[places[-1]])
+        lengths = np.array([len(one) for one in places[1:]], np.int64)
+        yield {"at": _lists(lengths, np.concatenate(places)),
+               "w1": _lists(lengths, np.concatenate(ids))}
 
 
 # --- levels 2 and up ----------------------------------------------------------------------------
 
-def _extended(row_at: np.ndarray, words: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Merge join of one document's relation with itself: a phrase, and the one a word further on."""
-    follows = np.flatnonzero(row_at[1:] == row_at[:-1] + 1)
-    return row_at[follows], [one[follows] for one in words] + [words[-1][follows + 1]]
+def _extended(batch: pa.RecordBatch, level: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Merge join of a relation of ``level`` words with itself: a phrase, and the one a word on.
 
+    Rows are lists by document, sorted by position; the result names its document's row.
+    """
+    at, *words = (batch.column(name).flatten().to_numpy() for name in (
+        "at", *_names(level)))
+    document = np.repeat(np.arange(batch.num_rows), np.diff(batch.column("at").offsets.to_numpy()))
+    follows = np.flatnonzero((at[1:] == at[:-1] + 1) & (document[1:] == document[:-1]))
+    return (document[follows], at[follows],
+            [one[follows] for one in words] + [words[-1][follows + 1]])
 
-def _relations(batch: dict, level: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    names = [f"w{k}" for k in range(1, level + 1)]
-    for at, *words in zip(batch["at"], *(batch[name] for name in names)):
-        yield np.array(at, np.int32), [np.array(one, np.int64) for one in words]
 
+def _names(level: int) -> list[str]:
+    return [f"w{k}" for k in range(1, level + 1)]
 
-def _group_counts(batches: Iterable[dict], level: int) -> Iterator[dict]:
-    """Candidates of ``level`` words over a relation one level below, counted."""
-    names = [f"w{k}" for k in range(1, level + 1)]
-    for batch in batches:
-        joined = [_extended(*one)[1] for one in _relations(batch, level - 1)]
-        if joined:
-            columns, counts = _distinct([np.concatenate(one) for one in zip(*joined)])
-            yield dict(zip(names, columns)) | {"n": counts}
 
+def _group_counts(batches: Iterable[pa.RecordBatch], level: int) -> Iterator[dict]:
+    """Candidates of ``level`` words over a relation one level below, counted.
 
-def _kept(batches: Iterable[dict], level: int, bits) -> Iterator[dict]:
+    A task sums what it finds for as long as that shortens it, so that a group leaves it once or
+    a few times.
+    """
+    held: list[_Groups] = []
+    for batch in batches:
+        _, _, words = _extended(batch, level - 1)
+        if len(words[0]):
+            held.append(_distinct(words))
+        if sum(len(counts) for _, counts in held) >= HELD_GROUPS:
+            held = [_merged(held)]
+            if len(held[0][1]) >= HELD_GROUPS // 2:
+                yield dict(zip(_names(level), held[0][0])) | {"n": held[0][1]}
+                held = []
+    if held:
+        columns, counts = _merged(held)
+        yield dict(zip(_names(level), columns)) | {"n": counts}
+
+
+def _kept(batches: Iterable[pa.RecordBatch], level: int, bits) -> Iterator[dict]:
     """The relation of ``level`` words, semi-joined with the map of frequent groups."""
-    names = [f"w{k}" for k in range(1, level + 1)]
     for batch in batches:
-        out: dict[str, list] = {name: [] for name in ("at", *names)}
-        for relation in _relations(batch, level - 1):
-            at, words = _extended(*relation)
-            shown = _shown(bits.value, words)
-            if shown.any():
-                for name, column in zip(("at", *names), (at, *words)):
-                    out[name].append(column[shown])
-        yield out
+        document, at, words = _extended(batch, level - 1)
+        if not len(at):
+            continue
+        shown = _shown(bits.value, words)
+        lengths = np.bincount(document[shown], minlength=batch.num_rows)
+        yield {name: _lists(lengths, column[shown])
+               for name, column in zip(("at", *_names(level)), (at, *words))}
 
 
 def _levels(read: DataFrame, least: int, most_words: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -199,22 +247,21 @@ def _levels(read: DataFrame, least: int, most_words: int) -> tuple[DataFrame, li
     groups = [frequent.selectExpr("id AS w1", "n")]
     relation = None
     for level in range(1, most_words):
-        names = [f"w{k}" for k in range(1, level + 1)]
-        bits = spark.sparkContext.broadcast(_map_of(groups[-1], names))
-        columns = "at array<int>, " + ", ".join(f"{name} array<long>" for name in names)
+        bits = spark.sparkContext.broadcast(_map_of(groups[-1], _names(level)))
+        columns = "at array<int>, " + ", ".join(f"{name} array<long>" for name in _names(level))
         if relation is None:
             relation = written(per_partition(
                 read, columns, lambda batches, bits=bits: _occurrences(batches, bits, seed)))
         else:
             relation = written(per_partition(
-                relation, columns,
-                lambda batches, level=level, bits=bits: _kept(batches, level, bits)))
-        names.append(f"w{level + 1}")
+                relation, columns, lambda batches, level=level, bits=bits: _kept(
+                    batches, level, bits), rows=BATCH_DOCS, columns=True))
         counted = per_partition(
-            relation, ", ".join(f"{name} long" for name in names) + ", n long",
-            lambda batches, level=level + 1: _group_counts(batches, level), rows=4_096)
-        groups.append(written(
-            counted.groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= least)))
+            relation, ", ".join(f"{name} long" for name in _names(level + 1)) + ", n long",
+            lambda batches, level=level + 1: _group_counts(batches, level), rows=BATCH_DOCS,
+            columns=True)
+        groups.append(written(counted.groupBy(*_names(level + 1)).agg(
+            F.sum("n").alias("n")).where(F.col("n") >= least)))
     return words, groups
 
 

@@ -82,6 +82,13 @@ def test_phrases_are_those_of_plain_counting(chatter):
         assert rows(phrases.mine_phrases(frame, least=least, top=top)) == plain_phrases(docs, least, top)
 
 
+def test_small_holds_change_nothing(chatter, monkeypatch):
+    docs, frame = chatter
+    for name in ("HELD_COUNTS", "HELD_GROUPS", "BATCH_DOCS"):
+        monkeypatch.setattr(phrases, name, 7)
+    assert rows(phrases.mine_phrases(frame, least=5)) == plain_phrases(docs, 5, 2_000)
+
+
 def test_a_full_map_changes_nothing(chatter, monkeypatch):
     docs, frame = chatter
     monkeypatch.setattr(phrases, "_map_of", lambda *_: np.full(phrases.MAP_BITS // 8, 255, np.uint8))
@@ -108,6 +115,8 @@ def test_equal_batch_hashes_are_told_apart(monkeypatch):
     monkeypatch.setattr(phrases, "_mixed", lambda columns: np.zeros(len(columns[0]), np.uint64))
     found, counts = phrases._distinct(columns)
     assert dict(zip(zip(*map(list, found)), counts)) == {(1, 5): 2, (2, 5): 1, (3, 5): 1}
+    summed, counts = phrases._merged([(columns, np.array([1, 2, 3, 4])), (columns, np.arange(4))])
+    assert dict(zip(zip(*map(list, summed)), counts)) == {(1, 5): 6, (2, 5): 3, (3, 5): 7}
 
 
 def test_phrases_of_no_rows(spark, no_docs):
