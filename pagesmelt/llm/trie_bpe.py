@@ -24,7 +24,7 @@ from pagesmelt.llm.merges import Merges
 #: Texts that are encoded at a time; all their ids are in memory at once.
 BATCH_ROWS = 256
 #: Words whose encoding a Python worker keeps; it starts again beyond.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 200_000
 # Fixed value: how the tokenizer file splits a normalised text; the white space class is spelled out.
 SPLIT = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
@@ -40,18 +40,19 @@ class TrieEncoder:
         self.table = table
         self.symbols = {
             place: self._atoms(name) for name, place in table.ids.items()}
-        #: token strings that are their own encoding; no other token ever appears
-        self.own = {
-            name: place for name, place in table.ids.items()
-            if table.merged(self.symbols[place]) == [place]}
-        #: by its last three characters and the word end, if any: length of the longest such token
-        self.reach: dict[str, int] = {}
-        for name in self.own:
-            for tail in {"", table.suffix or ""}:
-                body = name.removesuffix(tail)
-                if name.endswith(tail) and len(body) > 2:
-                    key = body[-3:] + tail
-                    self.reach[key] = max(self.reach.get(key, 0), len(body))
+        #: token strings that are their own encoding, as they stand inside a word and at its end; no
+        #: other token ever appears
+        self.own: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        #: by its last three characters: length of the longest such token
+        self.reach: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        for name, place in table.ids.items():
+            if table.merged(self.symbols[place]) == [place]:
+                last = bool(table.suffix) and name.endswith(table.suffix) and name != table.suffix
+                body = name.removesuffix(table.suffix) if last else name
+                for at_end in {last, last or not table.suffix}:
+                    self.own[at_end][body] = place
+                    self.reach[at_end][body[-3:]] = max(
+                        self.reach[at_end].get(body[-3:], 0), len(body))
         self.fits: dict[tuple[int, int], bool] = {}
         self.kept: dict[str, tuple[str, str, int]] = {}
 
@@ -67,14 +68,19 @@ class TrieEncoder:
         known = self.fits.get((left, right))
         if known is None:
             both = self.symbols[left] + self.symbols[right]
+            if len(self.fits) >= KEPT_WORDS:
+                self.fits.clear()
             known = self.fits[left, right] = self.table.merged(both) == [left, right]
         return known
 
-    def _last(self, text: str, end: int, states: list[int], lengths: list[int], tail: str) -> None:
-        """Set the state of the node at depth ``end``."""
-        own, reach = self.own, self.reach.get(text[max(0, end - 3):end] + tail, 2)
-        for start in range(max(0, end - reach), end):
-            token = own.get(text[start:end] + tail)
+    def _last(self, text: str, end: int, states: list[int], lengths: list[int], last: bool) -> None:
+        """Set the state of the node at depth ``end``; the ``last`` symbol carries the word end.
+
+        Exactly one token fits, so any order of trying is right; short ones are the most frequent.
+        """
+        own, reach = self.own[last], self.reach[last].get(text[max(0, end - 3):end], 2)
+        for start in range(end - 1, max(0, end - reach) - 1, -1):
+            token = own.get(text[start:end])
             if token is not None and (start == 0 or self._fit(states[start], token)):
                 states[end], lengths[end] = token, end - start
                 return
@@ -97,9 +103,9 @@ class TrieEncoder:
                 states.append(0)
                 lengths.append(0)
             for end in range(depth + 1, inner + 1):
-                self._last(word, end, states, lengths, "")
+                self._last(word, end, states, lengths, False)
             ready, previous = inner, word
-            self._last(word, inner + 1, states, lengths, self.table.suffix)
+            self._last(word, inner + 1, states, lengths, True)
             ids, end = [], inner + 1
             while end:
                 ids.append(states[end])
