@@ -8,6 +8,8 @@ word's language, also where a text switches, and a document takes the language o
 from __future__ import annotations
 
 import zlib
+from itertools import accumulate, chain
+from operator import add
 
 import numpy as np
 import regex
@@ -25,6 +27,8 @@ BUCKETS, LEXICON_FROM = 1 << 17, 3
 STEPS, RATE, DECAY = 40, 0.3, 1e-4
 #: Words whose scores a Python worker keeps, and at most so many scores: fewer words of many languages.
 KEPT_WORDS, KEPT_SCORES = 200_000, 1 << 23
+#: Names of features whose buckets a Python worker keeps.
+KEPT_NAMES = 200_000
 #: Chains are taken side by side up to about so many scores of their words; a chain is never cut.
 SCORES = 1 << 20
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -37,15 +41,29 @@ def sentences(text: str | None) -> list[list[str]]:
     return [words for part in SENTENCE.split((text or "").lower()) if (words := WORD.findall(part))]
 
 
+class _Buckets(dict):
+    """Buckets of feature names, found once each; it starts again beyond ``KEPT_NAMES``."""
+
+    def __missing__(self, name: str) -> int:
+        if len(self) >= KEPT_NAMES:
+            self.clear()
+        found = self[name] = zlib.crc32(name.encode("utf-8", "replace")) % BUCKETS
+        return found
+
+
+_BUCKET_OF = _Buckets()
+
+
 def features(word: str, lexicon: frozenset[str]) -> list[int]:
     """Buckets of the affixes, n-grams and, if known, the word itself.  Long words keep all of them."""
     marked = f"^{word}$"
-    names = ["p" + word[:k] for k in (1, 2, 3)] + ["s" + word[-k:] for k in (1, 2, 3)]
-    names += [marked[k:k + 2] for k in range(len(marked) - 1)]
-    names += [marked[k:k + 3] for k in range(len(marked) - 2)]
+    pairs = list(map(add, marked, marked[1:]))
+    names = ["p" + word[:1], "p" + word[:2], "p" + word[:3],
+             "s" + word[-1:], "s" + word[-2:], "s" + word[-3:],
+             *pairs, *map(add, pairs, marked[2:])]
     if word in lexicon:
         names.append("w" + word)
-    return [zlib.crc32(name.encode("utf-8", "replace")) % BUCKETS for name in names]
+    return list(map(_BUCKET_OF.__getitem__, names))
 
 
 class Chains:
@@ -187,15 +205,19 @@ class LanguageModel:
 
     def _numbered(self, chains: list[list[str]]) -> list[np.ndarray]:
         """The chains as numbers of words whose scores are at hand."""
-        missing = {word for words in chains for word in words} - self.number.keys()
+        every = list(chain.from_iterable(chains))
+        number = self.number
+        missing = {word for word in every if word not in number}
         if len(self.number) + len(missing) > min(KEPT_WORDS, KEPT_SCORES // len(self.languages)):
             self.number, self.emission = {}, np.empty((0, len(self.languages)))
-            missing = {word for words in chains for word in words}
-        fresh = sorted(missing)
+            missing = set(every)
+        fresh = list(missing)
         self.number |= {word: len(self.emission) + k for k, word in enumerate(fresh)}
         self.emission = np.concatenate((self.emission, self.emissions(
             [features(word, self.lexicon) for word in fresh], self.weights)))
-        return [np.fromiter(map(self.number.__getitem__, words), dtype=np.int64) for words in chains]
+        numbers = np.fromiter(map(self.number.__getitem__, every), dtype=np.int64, count=len(every))
+        ends = list(accumulate(map(len, chains), initial=0))
+        return [numbers[a:b] for a, b in zip(ends, ends[1:])]
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and its share of the words, per text."""
