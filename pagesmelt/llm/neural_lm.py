@@ -139,10 +139,24 @@ def train(pairs: np.ndarray, steps: int = STEPS) -> np.ndarray:
 
 
 def _head(counts: DataFrame) -> Vocabulary:
+    """The most frequent words, ``HEAD_WORDS`` at most: all those from some count on.
+
+    The count comes from a histogram of counts (eight steps a doubling), so that no task sends more
+    than its share of the head to the driver.  What is left is joined in Spark.
+    """
     total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
     end = counts.where(F.col("word") == END).agg(F.sum("c")).first()[0] or 0
-    head = counts.where(F.col("word") != END).where(F.octet_length("word") <= HEAD_BYTES).orderBy(
-        F.desc("c"), "word").limit(HEAD_WORDS).collect()
+    words = counts.where(F.col("word") != END).where(
+        F.octet_length("word") <= HEAD_BYTES).withColumn(
+        "_step", F.floor(8 * F.log2("c")).cast("int"))
+    taken, least = 0, None
+    for step, many in sorted(words.groupBy("_step").count().collect(), reverse=True):
+        taken += many
+        if taken > HEAD_WORDS:
+            break
+        least = step
+    head = [] if least is None else words.where(F.col("_step") >= least).select("word", "c").collect()
+    head.sort(key=lambda row: (-row.c, row.word))
     return Vocabulary([tuple(row) for row in head], total or 0, distinct, end)
 
 
