@@ -116,7 +116,8 @@ def _page(nav: str) -> str:
 
 # What the published heuristic makes of the given pages.  An article is a chain of <p><b>, each inside
 # the one before it, with closed paragraphs between; credit goes to the article from the first <p>, and to
-# each <b> from its paragraphs and the next <p>.  The best of them is the article or one <b>.
+# each <b> from its paragraphs and the next <p>.  The best of them is the article or one <b>; without any
+# credit it is the body, of which the list of links is cut.
 _EXTRACTED = f"""
 grp AS (
   SELECT page_id, g, rest, {_segments("part")} AS texts, list_transform(
@@ -147,10 +148,16 @@ best AS (
   SELECT page_id, g FROM nodes WHERE points IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY points DESC, g) = 1),
 own AS (
-  SELECT b.page_id, b.g, rest, CASE WHEN b.g = 0 THEN d.text_length ELSE size END::INT AS own_length,
-    CASE WHEN b.g = 0 THEN d.paragraphs ELSE inner_count + groups - 1 END AS own_paragraphs,
-    CASE WHEN b.g = 0 THEN d.structural_elements ELSE 0 END AS own_structure
-  FROM best b JOIN decided d USING (page_id) LEFT JOIN credits c ON c.page_id = b.page_id AND c.g = b.g),
+  SELECT d.page_id, b.g, rest, CASE WHEN b.g IS NULL THEN coalesce(
+        list_sum(list_transform(body, lambda t: length(t))) + len(body) - 1, 0)
+      WHEN b.g = 0 THEN d.text_length ELSE size END::INT AS own_length,
+    CASE WHEN b.g > 0 THEN inner_count + groups - 1 ELSE d.paragraphs END AS own_paragraphs,
+    CASE WHEN b.g > 0 THEN 0 ELSE d.structural_elements END AS own_structure
+  FROM decided d
+  JOIN (SELECT page_id, list_concat({_segments("article")}, {_segments("footer")}) AS body FROM parts) p
+    USING (page_id)
+  LEFT JOIN best b ON b.page_id = d.page_id
+  LEFT JOIN credits c ON c.page_id = b.page_id AND c.g = b.g),
 extracted AS (
   SELECT d.*, g, rest, own_length, own_structure,
     coalesce(own_length >= 80 AND (own_paragraphs > 0 OR own_structure >= 2), false) AS ok
@@ -502,7 +509,8 @@ ORACLES: dict[str, str] = {
         CASE WHEN ok THEN own_length ELSE text_length END AS text_length
       FROM extracted""",
     "markdown_auto": f"""{_FULL}, {_CANDIDATE}, {_EXTRACTED}
-      SELECT md.page_id, CASE WHEN ok AND g > 0 THEN {_blocks("rest")} || chr(10)
+      SELECT md.page_id, CASE WHEN ok AND g IS NULL THEN {_page("''")}
+        WHEN ok AND g > 0 THEN {_blocks("rest")} || chr(10)
         WHEN starts_with(reason, 'best') AND NOT ok THEN markdown
         ELSE ({_ARTICLE}) || chr(10) END AS markdown
       FROM md JOIN extracted USING (page_id)""",
