@@ -4,7 +4,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from pagesmelt import decode_responses, meaningful_pages, select_captures
+from pagesmelt import decode_responses, meaningful_pages, parse_pages, select_captures
 from pagesmelt.operators.reports import (
     batch_summary,
     capture_timing,
@@ -233,3 +233,25 @@ def test_failed_captures_give_no_document(spark):
         "page_id long, url string, html string, error string")
     from pagesmelt.plans.convert import markdown_documents
     assert [(r.page_id, r.markdown) for r in markdown_documents(frame).collect()] == [(1, "x\n")]
+
+
+def test_a_batch_of_pages_is_parsed_in_portions(spark, monkeypatch):
+    """Every page once and in order, whatever the size of the batch; no portion holds it whole."""
+    import pyarrow as pa
+
+    from pagesmelt.operators import tagsoup
+
+    texts = [None if k % 7 == 0 else "" if k % 11 == 0 else f"<p>{k}" * (k % 50) for k in range(3_000)]
+    texts[1_500] = "<b>x</b>" * (tagsoup.HELD_BYTES // 4)
+    held, walk = [], tagsoup.walk_pages
+    monkeypatch.setattr(tagsoup, "walk_pages", lambda html: held.append(html) or walk(html))
+    found = pa.chunked_array(list(tagsoup.walk_batches(iter([pa.array(texts), pa.array([], pa.string())]))))
+    assert found.equals(pa.chunked_array([walk(pa.array(texts))]))
+    assert max(map(len, held)) <= tagsoup.HELD_PAGES
+    sizes = [sum(len(text or "") for text in part.to_pylist()) for part in held if len(part) > 1]
+    assert max(sizes) <= tagsoup.HELD_BYTES
+
+    frame = spark.createDataFrame(list(enumerate(texts)), "page_id long, html string").coalesce(1)
+    counts = {r.page_id: r.n for r in parse_pages(frame).selectExpr("page_id", "size(nodes) AS n").collect()}
+    assert counts == dict(enumerate(None if nodes["nodes"] is None else len(nodes["nodes"])
+                                    for nodes in walk(pa.array(texts)).to_pylist()))
