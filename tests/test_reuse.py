@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pagesmelt import parse_pages, to_markdown
 from pagesmelt.operators.nodes import read_parsed, write_parsed
 from pagesmelt.operators.reports import batch_summary, observed_batch, page_stats
-from pagesmelt.plans.convert import convert_parsed
+from pagesmelt.plans.convert import convert_parsed, markdown_documents
 
 PAGES = [
     (1, "http://h/a", "<h1>A</h1><p>x <a href='/y'>y</a> <b>z"), (2, "http://h/b", ""),
@@ -63,3 +63,14 @@ def test_observed_totals_are_those_of_the_summary(spark):
     assert watched.where("ord < 60").count() == 50
     summary = batch_summary(captures).first().asDict()
     assert totals.get == {name: summary[name] for name in ("url_count", "ok_count", "failed_count")}
+
+
+def test_partitions_of_parsed_pages_are_not_merged(spark, tmp_path):
+    """A task of a conversion gets its share of the pages, not what packs into one advised size."""
+    spark.range(64).selectExpr("id AS page_id", "'http://h/' AS url", "'<p>x' AS html").write.parquet(
+        str(tmp_path / "pages"))
+    pages = spark.read.parquet(str(tmp_path / "pages"))
+    for frame in (to_markdown(pages, content="dom"), markdown_documents(pages), page_stats(pages)):
+        assert frame.groupBy(F.spark_partition_id()).count().count() == 4
+        plan = executed(frame)
+        assert plan.count("ArrowEvalPython") == 1
