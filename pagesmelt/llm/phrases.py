@@ -34,6 +34,9 @@ HELD_COUNTS = 120_000
 BATCH_DOCS = 1_024
 #: Counted groups a Python worker holds before it passes them on.
 HELD_GROUPS = 1 << 19
+#: Candidates of three words and more are first counted by place in a table of so many, whatever the
+#: corpus, in parts of so many places, up to so many at a place.
+FOLD_PLACES, FOLD_PART, FOLD_MOST = 1 << 24, 1 << 12, 127
 #: Spark's own bitmaps hold so many bits a row.
 _BUCKET_BITS = 1 << 15
 
@@ -61,9 +64,9 @@ def _mixed(columns: list[np.ndarray]) -> np.ndarray:
     return x
 
 
-def _place(columns: list[np.ndarray]) -> np.ndarray:
-    """Where tuples stand in the map of frequent groups."""
-    return (_mixed(columns) % np.uint64(MAP_BITS)).astype(np.int64)
+def _place(columns: list[np.ndarray], places: int = MAP_BITS) -> np.ndarray:
+    """Where tuples stand in the map of frequent groups, or in a table of so many places."""
+    return (_mixed(columns) % np.uint64(places)).astype(np.int64)
 
 
 _Groups = tuple[list[np.ndarray], np.ndarray]
@@ -140,7 +143,7 @@ def _map_of(groups: DataFrame, names: list[str]) -> np.ndarray:
 
 
 def _shown(bits: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
-    at = _place(columns)
+    at = _place(columns, 8 * len(bits))
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
@@ -207,15 +210,59 @@ def _names(level: int) -> list[str]:
     return [f"w{k}" for k in range(1, level + 1)]
 
 
-def _group_counts(batches: Iterable[pa.RecordBatch], level: int) -> Iterator[dict]:
+def _folded(batches: Iterable[pa.RecordBatch], level: int, most: int) -> Iterator[dict]:
+    """Occurrences of candidates of ``level`` words by place, ``most`` at most, in parts of the table."""
+    held = np.zeros(FOLD_PLACES, np.uint8)
+    for batch in batches:
+        _, _, words = _extended(batch, level - 1)
+        place, many = np.unique(_place(words, FOLD_PLACES), return_counts=True)
+        held[place] = np.minimum(held[place] + many, most)
+    place = np.flatnonzero(held)
+    part, lengths = np.unique(place // FOLD_PART, return_counts=True)
+    if len(part):
+        yield {"part": part, "place": _lists(lengths, (place % FOLD_PART).astype(np.int16)),
+               "n": _lists(lengths, held[place].astype(np.int8))}
+
+
+def _may_reach(relation: DataFrame, level: int, least: int) -> np.ndarray:
+    """A map of the places at which candidates of ``level`` words occur ``least`` times together.
+
+    A candidate with as many has its place shown, as it alone reaches them there; it may show others too.
+    What a task has above ``FOLD_MOST`` need not be known: one such count is enough.
+    """
+    most = min(least, FOLD_MOST)
+
+    def summed(table: pa.Table) -> pa.Table:
+        place, n = (table.column(name).combine_chunks().flatten().to_numpy() for name in ("place", "n"))
+        reached = np.bincount(place, n, FOLD_PART) >= most
+        return pa.table({
+            "part": table.column("part")[:1],
+            "bits": pa.array([np.packbits(reached, bitorder="little").tobytes()], pa.binary())
+        }).slice(0, int(reached.any()))
+
+    rows = per_partition(
+        relation, "part long, place array<smallint>, n array<tinyint>",
+        lambda batches: _folded(batches, level, most), rows=BATCH_DOCS, columns=True,
+    ).groupBy("part").applyInArrow(summed, "part long, bits binary").collect()
+    bits = np.zeros(FOLD_PLACES // 8, np.uint8)
+    for row in rows:
+        start = row["part"] * (FOLD_PART // 8)
+        bits[start:start + FOLD_PART // 8] = np.frombuffer(row["bits"], np.uint8)
+    return bits
+
+
+def _group_counts(batches: Iterable[pa.RecordBatch], level: int, may_reach=None) -> Iterator[dict]:
     """Candidates of ``level`` words over a relation one level below, counted.
 
-    A task sums what it finds for as long as that shortens it, so that a group leaves it once or
-    a few times.
+    Those that the map ``may_reach`` does not show are left out.  A task sums what it finds for as long
+    as that shortens it, so that a group leaves it once or a few times.
     """
     held: list[_Groups] = []
     for batch in batches:
         _, _, words = _extended(batch, level - 1)
+        if may_reach is not None:
+            shown = _shown(may_reach.value, words)
+            words = [one[shown] for one in words]
         if len(words[0]):
             held.append(_distinct(words))
         if sum(len(counts) for _, counts in held) >= HELD_GROUPS:
@@ -256,10 +303,13 @@ def _levels(read: DataFrame, least: int, most_words: int) -> tuple[DataFrame, li
             relation = written(per_partition(
                 relation, columns, lambda batches, level=level, bits=bits: _kept(
                     batches, level, bits), rows=BATCH_DOCS, columns=True))
+        # Pairs are many more than places; of longer candidates most are too rare to be worth moving.
+        reach = None if level == 1 else spark.sparkContext.broadcast(
+            _may_reach(relation, level + 1, least))
         counted = per_partition(
             relation, ", ".join(f"{name} long" for name in _names(level + 1)) + ", n long",
-            lambda batches, level=level + 1: _group_counts(batches, level), rows=BATCH_DOCS,
-            columns=True)
+            lambda batches, level=level + 1, reach=reach: _group_counts(batches, level, reach),
+            rows=BATCH_DOCS, columns=True)
         groups.append(written(counted.groupBy(*_names(level + 1)).agg(
             F.sum("n").alias("n")).where(F.col("n") >= least)))
     return words, groups
@@ -309,7 +359,8 @@ def mine_phrases(
     All counts are exact.  Only counts are shuffled, summed per batch before; a word or phrase with
     a third of all occurrences is a few rows a task.  The broadcast map of frequent groups has a
     fixed size; where it is too small it lets through more occurrences, whose groups
-    the next count drops, and nothing else.
+    the next count drops, and nothing else.  So has the table by which candidates of three words and
+    more are counted before their words are moved.
     """
     read = docs.selectExpr(
         "coalesce(lang, 'und') AS lang", f"coalesce(`{text_column}`, '') AS _text")

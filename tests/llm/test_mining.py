@@ -5,10 +5,12 @@ import re
 import struct
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -119,6 +121,35 @@ def test_equal_batch_hashes_are_told_apart(monkeypatch):
     assert dict(zip(zip(*map(list, summed)), counts)) == {(1, 5): 6, (2, 5): 3, (3, 5): 7}
 
 
+def test_rare_candidates_stay_in_their_tasks(spark):
+    """No frequent candidate is lost, and next to no rare one is moved to be counted."""
+    draw = np.random.default_rng(5)
+    docs = [np.concatenate([[1, 2, 3, 4], draw.integers(10, 1 << 60, 60)]) for _ in range(200)]
+    pairs = [(list(range(len(doc) - 1)), doc[:-1].tolist(), doc[1:].tolist()) for doc in docs]
+    relation = spark.createDataFrame(pairs, "at array<int>, w1 array<long>, w2 array<long>").repartition(5)
+    for least in (100, 150, 200):
+        bits = phrases._may_reach(relation, 3, least)
+        triples = [np.concatenate(one) for one in zip(*((doc[:-2], doc[1:-1], doc[2:]) for doc in docs))]
+        shown = phrases._shown(bits, triples)
+        frequent = (triples[0] < 3) & (triples[2] < 5)
+        assert shown[frequent].all() and frequent.sum() == 400
+        assert (shown & ~frequent).sum() <= 5
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(one) for one in zip(*pairs)], names=["at", "w1", "w2"])
+        moved = list(phrases._group_counts([batch], 3, SimpleNamespace(value=bits)))
+        counted = {group[:3]: group[3] for group in zip(*(moved[0][name].tolist() for name in (
+            "w1", "w2", "w3", "n")))}
+        assert counted[1, 2, 3] == counted[2, 3, 4] == 200 and len(counted) <= 7
+    assert not phrases._may_reach(relation.limit(0), 3, 1).any()
+
+
+def test_a_full_table_of_places_changes_nothing(chatter, monkeypatch):
+    docs, frame = chatter
+    monkeypatch.setattr(
+        phrases, "_may_reach", lambda *_: np.full(phrases.FOLD_PLACES // 8, 255, np.uint8))
+    assert rows(phrases.mine_phrases(frame, least=5)) == plain_phrases(docs, 5, 2_000)
+
+
 def test_phrases_of_no_rows(spark, no_docs):
     assert phrases.mine_phrases(no_docs).collect() == []
 
