@@ -92,18 +92,41 @@ def names_of(text: str) -> set[bytes]:
     return words.union(*(starts_of(words, size) for size in STARTS))
 
 
-def telling_numbers(found: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
+class Tally:
+    """In how many texts names, as CRCs, stand; of texts not yet counted it holds ``BATCH_ROWS``."""
+
+    def __init__(self):
+        self.texts, self.held = 0, []
+        self.names, self.counts = np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.int64)
+
+    def add(self, names: np.ndarray) -> None:
+        self.texts += 1
+        self.held.append(names)
+        if len(self.held) >= BATCH_ROWS:
+            self.sums()
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct names in order, and their texts."""
+        if self.held:
+            names, counts = np.unique(np.concatenate(self.held), return_counts=True)
+            self.names, place = np.unique(np.concatenate([self.names, names]), return_inverse=True)
+            self.counts = np.bincount(
+                place, np.concatenate([self.counts, counts]), len(self.names)).astype(np.int64)
+            self.held = []
+        return self.names, self.counts
+
+
+def telling_numbers(every: Tally, wanted: Tally) -> np.ndarray:
     """Names, as CRCs, more frequent with the label than chance allows: a likelihood-ratio test of each.
 
     The threshold rises with the number of names tried.
     """
-    total, own = len(found), int(wanted.sum())
+    total, own = every.texts, wanted.texts
     if own in (0, total):
         return np.empty(0, dtype=np.uint32)
-    tried, n = np.unique(np.concatenate(found), return_counts=True)
+    tried, n = every.sums()
     tried, n = tried[n >= WORD_FROM], n[n >= WORD_FROM].astype(np.float64)
-    hits, counts = np.unique(
-        np.concatenate([one for one, hit in zip(found, wanted) if hit]), return_counts=True)
+    hits, counts = wanted.sums()
     a = np.zeros(len(tried))
     common, here, there = np.intersect1d(tried, hits, assume_unique=True, return_indices=True)
     a[here] = counts[there]
@@ -127,10 +150,14 @@ class Classifiers:
         """Per head, AdaGrad on the regularised log-likelihood over telling words and the form."""
         kept = different(texts)
         texts, targets = [texts[k] for k in kept], targets[kept]
-        found = [
-            np.unique(np.fromiter(map(zlib.crc32, names_of(text)), dtype=np.uint32))
-            for text in texts]
-        told = [telling_numbers(found, targets[:, head]) for head in range(len(HEADS))]
+        tally, own_tallies = Tally(), [Tally() for _ in HEADS]
+        for text, wanted in zip(texts, targets):
+            found = np.unique(np.fromiter(map(zlib.crc32, names_of(text)), dtype=np.uint32))
+            tally.add(found)
+            for own_tally, hit in zip(own_tallies, wanted):
+                if hit:
+                    own_tally.add(found)
+        told = [telling_numbers(tally, own_tally) for own_tally in own_tallies]
         every = set(np.concatenate(told).tolist()) if texts else set()
         spelled = [
             [name for name in sorted(names_of(text)) if zlib.crc32(name) in every] for text in texts]

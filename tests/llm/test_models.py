@@ -318,3 +318,16 @@ def test_pipeline_agrees_with_plain_stages(spark, make_docs, tmp_path, monkeypat
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert len(rows) == len(expected) and 10 < len(rows) < len(texts)
     assert {r.doc_id: (r.n_tokens, list(r.ids), r.decoded) for r in rows} == expected
+
+
+def test_names_are_tallied_without_holding_every_text():
+    draw = np.random.default_rng(3)
+    found = [np.unique(draw.integers(0, 500, size, dtype=np.uint32)) for size in draw.integers(0, 40, 1_000)]
+    tally, most = site_quality.Tally(), 0
+    for names in found:
+        tally.add(names)
+        most = max(most, len(tally.held))
+    names, counts = np.unique(np.concatenate(found), return_counts=True)
+    assert most < site_quality.BATCH_ROWS and tally.texts == 1_000
+    assert np.array_equal(tally.sums()[0], names) and np.array_equal(tally.sums()[1], counts)
+    assert tally.sums()[0].dtype == np.uint32 and not site_quality.Tally().sums()[0].size
