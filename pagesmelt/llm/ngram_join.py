@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -209,15 +210,37 @@ def _forest(node: np.ndarray, first: np.ndarray, second: np.ndarray) -> pa.Table
     return pa.table({"u": node[label[moved]], "v": node[moved]})
 
 
-def _blocked(rows: DataFrame, group: str) -> DataFrame:
-    """Rows dealt to every pair of blocks of their group, ``low`` and ``high``."""
-    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = rows.join(sizes, group).select(
-        *rows.columns, F.pmod(F.xxhash64("node"), F.col("blocks")).alias("mine"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+def _blocked(rows: DataFrame, group: str, *settled: Column) -> DataFrame:
+    """Rows dealt to the pairs of blocks of their group, ``low`` and ``high``, that are not settled.
+
+    Rows of a group that agree in a ``settled`` column, null aside, need no comparison with each other.
+    The most of them make blocks of their own, which meet the other blocks only; a group without
+    other rows is left out.
+    """
+    kinds = [one.alias(f"_settled_{k}") for k, one in enumerate(settled)]
+    rows, names = rows.select("*", *kinds), rows.columns
+    agreed = [
+        rows.where(F.col(f"_settled_{k}").isNotNull()).groupBy(group, F.col(f"_settled_{k}").alias("value"))
+        .agg(F.count("*").alias("many")).select(group, F.lit(k).alias("kind"), "value", "many")
+        for k in range(len(settled))]
+    most = reduce(DataFrame.union, agreed).groupBy(group).agg(
+        F.max(F.struct("many", "kind", "value")).alias("most"))
+    sizes = rows.groupBy(group).agg(F.count("*").alias("all")).join(most, group, "left").withColumn(
+        "many", F.coalesce("most.many", F.lit(0)))
+    blocks = F.ceil((F.col("all") - F.col("many")) / BLOCK)
+    sizes = sizes.where("all > many").select(
+        group, "most", blocks.alias("blocks"), F.ceil(F.col("many") / BLOCK).alias("more"))
+    apart = reduce(lambda a, b: a | b, (
+        (F.col("most.kind") == k) & (F.col("most.value") == F.col(f"_settled_{k}"))
+        for k in range(len(settled))))
+    dealt = rows.join(sizes, group).withColumn("_apart", F.coalesce(apart, F.lit(False)))
+    mine = F.when(F.col("_apart"), F.col("blocks") + F.pmod(F.xxhash64("node"), F.col("more"))).otherwise(
+        F.pmod(F.xxhash64("node"), F.col("blocks")))
+    last = F.when(F.col("_apart"), F.col("blocks")).otherwise(F.col("blocks") + F.col("more")) - 1
     return dealt.select(
-        *rows.columns, "mine", F.least("mine", "other").alias("low"),
-        F.greatest("mine", "other").alias("high"))
+        *names, mine.alias("mine"),
+        F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other")).select(
+        *names, "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
 
 
 def _product(table: pa.Table, column: str):
@@ -236,9 +259,14 @@ def _dense_links(rest: DataFrame, nodes: DataFrame, docs: DataFrame, width: int,
     First the prefixes of a column's nodes are multiplied: pairs that the bound lets through make
     clusters.  Then the whole sets of a cluster are.  Both go block by block, every pair of blocks is a
     product, and no more edges leave it than keep its nodes together.
+
+    Near copies share many columns.  Nodes are compared in the largest one they have, ``first``; where two
+    of the same ``first`` meet again, or two of one component, nothing is left to compare.
     """
     dense = rest.groupBy("gram").agg(F.count("*").alias("many")).where(F.col("many") > DENSE_FROM)
-    columns = rest.join(dense.select("gram"), "gram").select("gram", "node", "root").join(
+    entries = written(rest.join(dense, "gram").select("gram", "node", "root", "many"))
+    first = entries.groupBy("node").agg(F.max(F.struct("many", "gram"))["gram"].alias("first"))
+    columns = entries.select("gram", "node", "root").join(first, "node").join(
         nodes.select("node", "n", "prefix"), "node")
 
     def close(table: pa.Table) -> pa.Table:
@@ -261,15 +289,16 @@ def _dense_links(rest: DataFrame, nodes: DataFrame, docs: DataFrame, width: int,
         first, second = np.nonzero(apart & (shared * 100 >= union * percent))
         return _forest(node, left[first], right[second])
 
-    edges = _blocked(columns, "gram").groupBy("gram", "low", "high").applyInArrow(
-        close, "u long, v long")
+    elsewhere = F.when(F.col("first") != F.col("gram"), F.col("first"))
+    edges = _blocked(columns, "gram", F.col("root"), elsewhere).groupBy(
+        "gram", "low", "high").applyInArrow(close, "u long, v long")
     clusters = components(edges)
     members = written(clusters.select("node", F.col("root").alias("cluster")).join(
         rest.select("node", "root").distinct(), "node"))
     sets = _whole_sets(members.select("node"), nodes, docs, width)
     return written(
-        _blocked(members.join(sets, "node"), "cluster").groupBy("cluster", "low", "high")
-        .applyInArrow(link, "u long, v long"))
+        _blocked(members.join(sets, "node"), "cluster", F.col("root")).groupBy(
+            "cluster", "low", "high").applyInArrow(link, "u long, v long"))
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int):

@@ -10,6 +10,7 @@ from functools import partial
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -143,6 +144,34 @@ def test_similar_documents_agree_with_brute_force(make_docs, width, percent, mon
         k: (len(sets[k]), roots[k]) for k in range(len(texts))}
 
 
+def test_settled_pairs_are_not_dealt_again(spark, monkeypatch):
+    """Every pair that is not settled meets once at least; members of many columns are dealt in one of them."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    draw = random.Random(6)
+    rows = [(draw.randrange(5), node, draw.randrange(6) if group else 1, draw.choice((None, 7, 7, 8)))
+            for node in range(120) for group in range(2)]
+    rows = list({(r[0], r[1]): r for r in rows}.values()) + [(9, node, 3, None) for node in range(20)]
+    frame = spark.createDataFrame(rows, "gram long, node long, root long, first long")
+    dealt = ngram_join._blocked(frame, "gram", F.col("root"), F.col("first"))
+    met = {}
+    for r in dealt.collect():
+        met.setdefault((r.gram, r.low, r.high), []).append(r)
+    pairs = {(key[0], *sorted((a.node, b.node))) for key, some in met.items() for a in some for b in some
+             if a.mine == key[1] and b.mine == key[2]}
+    for gram, node, root, first in rows:
+        for other, second, its, where in rows:
+            if gram == other and node < second and root != its and (first is None or first != where):
+                assert (gram, node, second) in pairs
+    assert 9 not in {r.gram for r in dealt.collect()}  # one component: nothing to compare
+
+    def made(members):
+        many = spark.range(members).selectExpr("id AS node", "id AS root", "explode(sequence(0L, 9L)) AS gram")
+        first = F.when(F.col("gram") > 0, F.lit(0))  # all have their largest column in common
+        return ngram_join._blocked(many, "gram", F.col("root"), first).count()
+
+    assert made(64) <= 64 * 18  # 16 blocks in one column; 64 * 160 were made by all ten
+
+
 def test_one_document_of_each_group_stays(make_docs, odd_docs, no_docs):
     texts = ["a b c d e f g", "A B C D E F G", "other words are here now ok", None, None, ""]
     docs = make_docs(texts)
