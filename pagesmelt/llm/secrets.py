@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +39,8 @@ KEYWORDS = {
 }
 VALUE_LENGTH, ACCESS_LENGTH, HEX_LENGTH = 8, 16, 32
 REDACTED = "[REDACTED]"
+#: Texts that are masked at a time, whatever the Arrow batch.
+BATCH_ROWS = 256
 
 IS_HEX = np.zeros(256, dtype=bool)
 IS_HEX[list(b"0123456789abcdef")] = True
@@ -126,25 +130,32 @@ def span_digest(base_only: bool) -> str:
         "s -> concat_ws(':', s.kind, cast(s.start AS string), cast(s.end AS string))))")
 
 
+def masked(text: str | None, automaton) -> str | None:
+    """The text with a mark for each secret; overlapping ones share it."""
+    out, at, free = [], 0, 0
+    for start, _, end in find_spans(text, automaton):
+        if start >= free:
+            out += [text[at:start], REDACTED]
+        at = free = max(end, free)
+    return "".join(out) + text[at:] if out else text
+
+
+def mask_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """``masked`` over Arrow batches of texts, ``BATCH_ROWS`` at a time."""
+    automaton = keyword_automaton()
+    for texts in batches:
+        for start in range(0, len(texts), BATCH_ROWS):
+            yield pa.array([masked(text, automaton) for text in
+                            texts.slice(start, BATCH_ROWS).to_pylist()], pa.string())
+
+
 def redact(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """``docs`` with every secret replaced by a mark; the columns stay as they are.
 
     Overlapping secrets share one mark; ``n_chars``, if there, is counted anew.  Null and empty texts
     stay as they are.
     """
-    def masked(text: str | None, automaton) -> str | None:
-        out, at, free = [], 0, 0
-        for start, _, end in find_spans(text, automaton):
-            if start >= free:
-                out += [text[at:start], REDACTED]
-            at = free = max(end, free)
-        return "".join(out) + text[at:] if out else text
-
-    @F.pandas_udf("string")
-    def mask(texts):
-        automaton = keyword_automaton()
-        return texts.map(lambda text: masked(text, automaton), na_action="ignore")
-
+    mask = F.arrow_udf(mask_batches, "string")
     out = docs.withColumn(text_column, mask(F.col(f"`{text_column}`")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

@@ -11,6 +11,8 @@ from __future__ import annotations
 import hashlib
 import os
 import unicodedata
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import regex
@@ -38,23 +40,23 @@ class TrieEncoder:
 
     def __init__(self, table: Merges):
         self.table = table
-        self.symbols = {
-            place: self._atoms(name) for name, place in table.ids.items()}
         #: token strings that are their own encoding, as they stand inside a word and at its end; no
         #: other token ever appears
         self.own: tuple[dict[str, int], dict[str, int]] = ({}, {})
         #: by its last three characters: length of the longest such token
         self.reach: tuple[dict[str, int], dict[str, int]] = ({}, {})
         for name, place in table.ids.items():
-            if table.merged(self.symbols[place]) == [place]:
+            if table.merged(self._atoms(name)) == [place]:
                 last = bool(table.suffix) and name.endswith(table.suffix) and name != table.suffix
                 body = name.removesuffix(table.suffix) if last else name
                 for at_end in {last, last or not table.suffix}:
                     self.own[at_end][body] = place
                     self.reach[at_end][body[-3:]] = max(
                         self.reach[at_end].get(body[-3:], 0), len(body))
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.kept: dict[str, tuple[str, str, int]] = {}
+        #: by left and right token, as one number
+        self.fits: dict[int, bool] = {}
+        #: by word its ids, four bytes each: a fifth of the room that ids and tokens take as texts
+        self.kept: dict[str, bytes] = {}
 
     def _atoms(self, spelled: str) -> list[int]:
         """Single symbols of a spelled string; a word end belongs to the last one."""
@@ -65,12 +67,13 @@ class TrieEncoder:
         return [self.table.ids[c] for c in spelled]
 
     def _fit(self, left: int, right: int) -> bool:
-        known = self.fits.get((left, right))
+        key = left << 32 | right
+        known = self.fits.get(key)
         if known is None:
-            both = self.symbols[left] + self.symbols[right]
+            both = self._atoms(self.table.names[left]) + self._atoms(self.table.names[right])
             if len(self.fits) >= KEPT_WORDS:
                 self.fits.clear()
-            known = self.fits[left, right] = self.table.merged(both) == [left, right]
+            known = self.fits[key] = self.table.merged(both) == [left, right]
         return known
 
     def _last(self, text: str, end: int, states: list[int], lengths: list[int], last: bool) -> None:
@@ -125,34 +128,34 @@ class TrieEncoder:
             at = hit.end()
         return out + split(text[at:] if at else text)
 
-    def entries(self, texts: list[list[str]]) -> dict[str, tuple[str, str, int]]:
-        """By word: its ids and its tokens, each joined by spaces, and their number."""
+    def entries(self, texts: list[list[str]]) -> dict[str, bytes]:
+        """By word: its ids as 32-bit integers."""
         kept = self.kept
         missing = {word for words in texts for word in words if word not in kept}
         if len(kept) + len(missing) > KEPT_WORDS:
             kept = self.kept = {}
             missing = {word for words in texts for word in words}
         plain = {self.table.spelled(word): word for word in missing if word not in self.table.special}
-        names = self.table.names
         for spelled, ids in self.encode_words(list(plain)).items():
-            kept[plain[spelled]] = (
-                " ".join(map(str, ids)), " ".join([names[place] for place in ids]), len(ids))
+            kept[plain[spelled]] = array("i", ids).tobytes()
         for word in missing & self.table.special.keys():
-            kept[word] = (str(self.table.special[word]), word, 1)
+            kept[word] = array("i", [self.table.special[word]]).tobytes()
         return kept
 
-    def rows(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
-        """Per text: number of tokens, ids and decoded text."""
-        out = []
-        for start in range(0, len(texts), 256):
-            cut = [self.pieces(text or "") for text in texts[start:start + 256]]
+    def encoded(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, str]]:
+        """Per text: ids and decoded text."""
+        names = self.table.names
+        for start in range(0, len(texts), BATCH_ROWS):
+            cut = [self.pieces(text or "") for text in texts[start:start + BATCH_ROWS]]
             known = self.entries(cut)
             for words in cut:
-                found = [known[word] for word in words]
-                out.append((
-                    sum([entry[2] for entry in found]), " ".join([entry[0] for entry in found]),
-                    " ".join([entry[1] for entry in found])))
-        return out
+                ids = np.frombuffer(b"".join([known[word] for word in words]), dtype=np.int32)
+                yield ids, " ".join([names[place] for place in ids.tolist()])
+
+    def rows(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
+        """Per text: number of tokens, ids and decoded text."""
+        return [(len(ids), " ".join(map(str, ids.tolist())), decoded)
+                for ids, decoded in self.encoded(texts)]
 
 
 def split(text: str) -> list[str]:
@@ -187,14 +190,16 @@ def encode_decode(
     encoder = docs.sparkSession.sparkContext.broadcast(TrieEncoder(Merges(tokenizer)))
 
     def work(batch: dict) -> dict:
-        rows = encoder.value.rows(batch["_text"])
-        out = {"_id": batch["_id"], "n_tokens": [row[0] for row in rows]}
         if digests:
+            rows = encoder.value.rows(batch["_text"])
             digest = [[hashlib.sha256(row[k].encode()).hexdigest() for row in rows] for k in (1, 2)]
-            return out | {"ids_sha256": digest[0], "decoded_sha256": digest[1]}
-        return out | {
-            "ids": [np.array(row[1].split(), dtype=np.int32) for row in rows],
-            "decoded": [row[2] for row in rows]}
+            return {"_id": batch["_id"], "n_tokens": [row[0] for row in rows],
+                    "ids_sha256": digest[0], "decoded_sha256": digest[1]}
+        ids, decoded = [], []
+        for found, text in encoder.value.encoded(batch["_text"]):
+            ids.append(found)
+            decoded.append(text)
+        return {"_id": batch["_id"], "n_tokens": list(map(len, ids)), "ids": ids, "decoded": decoded}
 
     kind = dict(docs.dtypes)[id_column]
     rest = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"

@@ -4,9 +4,11 @@ import hashlib
 import random
 import re
 import string
+import sys
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -46,6 +48,14 @@ def test_encoder_agrees_with_the_library(fuzz):
         assert decoded == library.decode(ids, skip_special_tokens=False)
 
 
+def test_kept_words_take_four_bytes_a_token(fuzz):
+    encoder = TrieEncoder(Merges(WORD_BPE))
+    for (ids, decoded), row in zip(encoder.encoded(fuzz), encoder.rows(fuzz)):
+        assert (len(ids), " ".join(map(str, ids.tolist())), decoded) == row
+    for word, entry in encoder.kept.items():
+        assert len(entry) == 4 * encoder.rows([word])[0][0] and sys.getsizeof(entry) < 40 + len(entry)
+
+
 def test_counter_agrees_with_the_library(fuzz):
     library, counter = Tokenizer.from_file(BYTE_BPE), TokenCounter(Merges(BYTE_BPE))
     assert len(counter.single) > 40_000
@@ -231,6 +241,13 @@ def test_secrets_fuzz():
         assert ",".join(f"{k}:{s}:{e}" for s, k, e in base) == brute_spans(text), text
 
 
+def test_texts_are_masked_in_portions():
+    texts = [None, "", "password = hunter2hunter2 ok", "plain"] * 200
+    found = list(secrets.mask_batches(iter([pa.array(texts, pa.string()), pa.array([], pa.string())])))
+    assert [len(part) for part in found] == [256, 256, 256, 32]
+    assert pa.concat_arrays(found).to_pylist() == [None, "", "[REDACTED] ok", "plain"] * 200
+
+
 def test_checksums_and_redaction(make_docs, odd_docs, no_docs):
     body = "a1B2" * 7 + "zz"
     number, check = zlib.crc32(body.encode()), ""
