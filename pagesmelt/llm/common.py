@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -39,12 +40,24 @@ def written(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Memory that this process freed goes back to the system, as far as its allocators can tell.
+
+    Python workers stay between tasks, and what they hold counts against the executor.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def per_batch(
     frame: DataFrame, schema: str, work: Callable[[dict], dict], rows: int = 1 << 20,
 ) -> DataFrame:
     """Rows of ``work`` over Arrow batches, as columns of Python values in and out.
 
-    At most ``rows`` at a time: a bound on memory where a row's result is large.
+    At most ``rows`` at a time: a bound on memory where a row's result is large.  After each Arrow
+    batch the memory freed goes back to the system.
     """
     kinds = StructType.fromDDL(schema)
     names = kinds.names
@@ -53,10 +66,13 @@ def per_batch(
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(kinds)
-        for batch in (b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows)):
-            out = work(batch.to_pydict())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[name], arrow.field(name).type) for name in names], schema=arrow)
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows):
+                out = work(whole.slice(start, rows).to_pydict())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(out[name], arrow.field(name).type) for name in names], schema=arrow)
+            out = whole = None
+            give_back()
 
     return frame.mapInArrow(run, schema)
 

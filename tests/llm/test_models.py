@@ -9,6 +9,7 @@ from functools import partial
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -300,6 +301,28 @@ def test_pipeline_stages(spark, sf_dir, odd_docs, no_docs):
         assert stage(spark, no_docs, sf_dir).collect() == [], name
 
 
+def test_python_gets_texts_in_portions(spark, sf_dir, no_docs):
+    """12 MB of one partition reach a worker in more than one portion, by every stage's session."""
+    name, texts = "spark.sql.execution.arrow.maxBytesPerBatch", spark.range(0, 300, 1, 1).selectExpr(
+        "id", "repeat('forty thousand characters of text in all', 1000) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": pa.array([batch.nbytes], pa.int64())})
+
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(name)
+            stage(spark, no_docs, sf_dir)
+            found = [row.bytes for row in texts.mapInArrow(sizes, "bytes long").collect()]
+            assert len(found) > 1 and max(found) < 9 << 20
+        spark.conf.set(name, "1m")
+        stage(spark, no_docs, sf_dir)
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.unset(name)
+
+
 def plain_cut(text, items, window=10):
     """The text without windows of the items, and the share of its words that went."""
     word, cut = re.compile("[0-9A-Za-z\x80-\U0010ffff]+"), 0

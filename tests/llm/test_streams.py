@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from pagesmelt.llm import decontaminate, queries, secrets, shards
+from pagesmelt.llm import common, decontaminate, queries, secrets, shards
 from pagesmelt.llm.merges import Merges
 from pagesmelt.llm.token_counts import TokenCounter, count_tokens
 from pagesmelt.llm.trie_bpe import TrieEncoder, encode_decode
@@ -56,6 +56,25 @@ def test_kept_words_take_four_bytes_a_token(fuzz):
         assert len(entry) == 4 * encoder.rows([word])[0][0] and sys.getsizeof(entry) < 40 + len(entry)
 
 
+def test_memory_goes_back_after_each_arrow_batch(spark, monkeypatch):
+    class Frame:
+        def mapInArrow(self, run, schema):
+            return run
+
+    seen, done = [], []
+    monkeypatch.setattr(common, "give_back", lambda: seen.append(len(done)))
+    run = common.per_batch(Frame(), "n long", lambda batch: {"n": [2 * n for n in batch["n"]]}, rows=2)
+    batches = [pa.RecordBatch.from_pydict({"n": pa.array(range(k), pa.int64())}) for k in (5, 0, 3)]
+    for out in run(iter(batches)):
+        done += out["n"].to_pylist()
+    assert done == [0, 2, 4, 6, 8, 0, 2, 4] and seen == [5, 5, 8]
+    monkeypatch.undo()
+    held = pa.allocate_buffer(1 << 26)
+    del held
+    common.give_back()
+    assert pa.total_allocated_bytes() < 1 << 26
+
+
 def test_counter_agrees_with_the_library(fuzz):
     library, counter = Tokenizer.from_file(BYTE_BPE), TokenCounter(Merges(BYTE_BPE))
     assert len(counter.single) > 40_000
